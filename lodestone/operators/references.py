@@ -31,12 +31,13 @@ def record_arrivals(parsed: DataFrame) -> DataFrame:
     row), current_seen (earliest of the highest revision's rows), the three lists.
     A null ``ingested_at`` counts only if no other is known.
     """
-    earliest_first = -F.unix_micros("ingested_at")
+    seen = F.col("ingested_at").cast("timestamp")
+    earliest_first = -F.unix_micros(seen)
     lists = [F.col(f"metadata.{f}").alias(f) for f in FIELDS]
     newest = F.max(F.struct("revision", earliest_first.alias("age"), (F.col("is_deleted") == F.lit(False)).alias("live"), *lists)).alias("c")
     return (
         parsed.groupBy("repo", "id")
-        .agg(newest, F.min("ingested_at").alias("first_seen"))
+        .agg(newest, F.min(seen).alias("first_seen"))
         .select(
             "repo", "id", padded_number(F.col("id")).alias("number"), F.coalesce(F.col("c.live"), F.lit(False)).alias("is_live"),
             "first_seen", F.timestamp_micros(-F.col("c.age")).alias("current_seen"), *[F.col(f"c.{f}").alias(f) for f in FIELDS],
