@@ -90,3 +90,21 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Keys that `hot_key_join` spreads; their list is broadcast and has at most this many rows.
+HOT_KEYS = 1000
+
+
+def hot_key_join(big: DataFrame, small: DataFrame, key: str, weight: str, on: str, salts: int = 32) -> DataFrame:
+    """Inner join of many rows per key to one row per key, where some keys are very frequent.
+
+    Only the ``HOT_KEYS`` keys with the greatest ``weight`` (their number of rows in
+    ``big``) are salted: their few rows of ``small`` are repeated ``salts`` times and
+    their rows of ``big`` spread by a hash of ``on``.  All other keys join as they are.
+    """
+    hot = small.orderBy(F.desc(weight), key).limit(HOT_KEYS).select(F.col(key), F.lit(True).alias("_hot"))
+    left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(on), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
