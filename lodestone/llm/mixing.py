@@ -10,6 +10,9 @@ until one per source is left, which alone is rounded by itself.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,10 +46,10 @@ def sized_texts(documents: DataFrame, targets: DataFrame, vocabulary: str = toke
     return one.select("r.*").where("n_tokens > 0")
 
 
-def _pivot(ids: np.ndarray, w: np.ndarray, p: np.ndarray, seed: int) -> tuple[np.ndarray, int | None]:
-    """Round ``p`` pairwise, keeping ``sum(w * p)``; returns it and the place still fractional, if any."""
+def pivot(w: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
+    """Round ``p`` pairwise, keeping ``sum(w * p)``; at most one place stays fractional."""
     draw = np.random.default_rng(seed).random(len(p))
-    p = p.astype(float).copy()
+    p = p.copy()
     held: int | None = None
     for i in range(len(p)):
         if not 0.0 < p[i] < 1.0:
@@ -64,18 +67,21 @@ def _pivot(ids: np.ndarray, w: np.ndarray, p: np.ndarray, seed: int) -> tuple[np
             if abs(p[k]) < 1e-9 or abs(p[k] - 1) < 1e-9:
                 p[k] = round(p[k])
         held = a if 0.0 < p[a] < 1.0 else b if 0.0 < p[b] < 1.0 else None
-    return p, held
+    return p
 
 
 _NODE = "source string, bucket int, doc_id bigint, n_tokens bigint, p double"
 
 
-def _round_bucket(group: pd.DataFrame, level: int) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
-    mix = f"{SEED}|{level}|{group['source'].iat[0]}|{group['bucket'].iat[0]}"
-    seed = int.from_bytes(__import__("hashlib").sha256(mix.encode()).digest()[:8], "big")
-    group["p"] = _pivot(group["doc_id"].to_numpy(), group["n_tokens"].to_numpy(float), group["p"].to_numpy(), seed)[0]
-    return group[["source", "bucket", "doc_id", "n_tokens", "p"]]
+def _rounder(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
+        name = f"{SEED}|{level}|{group['source'].iat[0]}|{group['bucket'].iat[0]}"
+        seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
+        group["p"] = pivot(group["n_tokens"].to_numpy(float), group["p"].to_numpy(float), seed)
+        return group[["source", "bucket", "doc_id", "n_tokens", "p"]]
+
+    return run
 
 
 def round_copies(texts: DataFrame, n: int) -> DataFrame:
@@ -89,8 +95,7 @@ def round_copies(texts: DataFrame, n: int) -> DataFrame:
     nodes = texts.select("source", F.pmod(F.xxhash64("doc_id", "source"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "n_tokens", "p")
     done: list[DataFrame] = []
     while True:
-        here = level
-        rounded = materialize(nodes.groupBy("source", "bucket").applyInPandas(lambda g, here=here: _round_bucket(g, here), _NODE), "mix")
+        rounded = materialize(nodes.groupBy("source", "bucket").applyInPandas(_rounder(level), _NODE), "mix")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(rounded.where(~open_))
         if buckets == 1:
