@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import distinctiveness, ideal_point, mixing, tokens
+from lodestone.llm import distinctiveness, ideal_point, mixing, splitting, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,7 +20,13 @@ def _mixture(s, d):
     return mixing.mix_sources(_read(s, d, "documents"), _read(s, d, "mix_targets"))
 
 
+def _pieces(s, d):
+    return splitting.split_oversized(_read(s, d, "documents_parsed"), _read(s, d, "split_limits"))
+
+
 QUERIES = {
+    "p2_found": lambda s, d: _pieces(s, d).where("piece = 0 AND n_pieces > 1").select("repo", "id", "item"),
+    "p2_pieces": lambda s, d: _pieces(s, d),
     "p3_found": lambda s, d: distinctiveness.distinctive_terms(_scored(s, d)).select("chunk_id", "term"),
     "p3_scores": lambda s, d: _scored(s, d),
     "p3_spread": lambda s, d: distinctiveness.vocabulary_spread(_read(s, d, "vocabulary_terms")),
@@ -32,6 +38,16 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p2_found": """
+WITH cur AS (SELECT repo, id, max(revision) AS revision FROM documents_parsed GROUP BY repo, id),
+rec AS (
+  SELECT DISTINCT d.repo, d.id, length(d.raw_content) AS r, length(d.sections.context) AS c, length(d.sections.decision) AS e, length(d.sections.considered_options) AS o
+  FROM documents_parsed d JOIN cur ON d.repo = cur.repo AND d.id = cur.id AND d.revision = cur.revision WHERE d.is_deleted = false
+), items AS (
+  SELECT repo, id, 'raw_content' AS item, r AS n FROM rec UNION ALL SELECT repo, id, 'context', c FROM rec
+  UNION ALL SELECT repo, id, 'decision', e FROM rec UNION ALL SELECT repo, id, 'considered_options', o FROM rec
+)
+SELECT repo, id, item FROM items JOIN split_limits USING (item) WHERE n > max_chars""",
     "p3_found": """
 WITH counting AS (
   SELECT chunk_id, term_counts FROM bm25_entries

@@ -75,7 +75,8 @@ _NODE = "source string, bucket int, doc_id bigint, n_tokens bigint, p double"
 
 def _rounder(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "n_tokens"]).reset_index(drop=True)
+        # long texts first: what stays open at the end is short, and so is the error
+        group = group.sort_values(["n_tokens", "doc_id"], ascending=[False, True]).reset_index(drop=True)
         name = f"{SEED}|{level}|{group['source'].iat[0]}|{group['bucket'].iat[0]}"
         seed = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big")
         group["p"] = pivot(group["n_tokens"].to_numpy(float), group["p"].to_numpy(float), seed)
