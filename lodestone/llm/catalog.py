@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import distinctiveness, ideal_point, mixing, splitting, tokens
+from lodestone.llm import distinctiveness, ideal_point, mixing, residue, splitting, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,9 @@ QUERIES = {
     "p8_ids": lambda s, d: tokens.encode_corpus(_read(s, d, "documents")),
     "p9_mix": lambda s, d: _mixture(s, d),
     "p9_report": lambda s, d: mixing.mixture_report(_mixture(s, d), _read(s, d, "mix_targets")),
+    "p10_found": lambda s, d: residue.judge(_read(s, d, "documents")).select("doc_id"),
+    "p10_kinds": lambda s, d: residue.judge(_read(s, d, "documents")),
+    "p10_clean": lambda s, d: residue.without_residue(_read(s, d, "documents")).select("doc_id", "lang", "source", "text"),
 }
 
 ORACLE = {
