@@ -1,7 +1,7 @@
 """Template residue, filler and error pages: weak labels, a linear classifier, an exact check.
 
 A text is read in windows of 32 bytes, 16 apart.  A window's features are hashed byte
-4-grams and 8-grams of its lower-cased text, with the document's length and title
+3-grams and 6-grams of its lower-cased text, with the document's length and title
 shape beside them.  Weights are those of an L2-regularised logistic regression fitted
 on weak labels (phrases, placeholder forms, response statuses) over a bounded sample
 of documents, and the threshold is validated on repositories that the fit hasn't seen.
@@ -27,7 +27,7 @@ SAMPLE_WINDOWS = 40_000
 WINDOW, STEP = 32, 16
 BITS = 16
 #: How far below the lowest score of a known positive the threshold lies.
-MARGIN = 1.0
+MARGIN = 1.5
 SLICE_BYTES = 2 << 20
 
 # Names that templates leave to be filled in.
@@ -169,13 +169,12 @@ _LOWER[65:91] += 32
 
 
 def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 4-gram and 8-gram that start at each byte (the last ones are padded)."""
-    b = _LOWER[np.concatenate([data, np.zeros(8, np.uint8)])]
-    g = b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)
-    four = g * np.uint32(0x9E3779B1)
-    eight = (four[:-4] ^ (four[4:] * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
+    """Hashed 3-gram and 6-gram that start at each byte (the last ones are padded)."""
+    b = _LOWER[np.concatenate([data, np.zeros(6, np.uint8)])]
+    short = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
+    long = (short[:-3] ^ (short[3:] * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
     n = len(data)
-    return (four[:n] >> np.uint32(32 - BITS)).astype(np.int32), (eight[:n] >> np.uint32(32 - BITS)).astype(np.int32)
+    return (short[:n] >> np.uint32(32 - BITS)).astype(np.int32), (long[:n] >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 def _shape(raw: bytes) -> np.ndarray:
@@ -190,8 +189,8 @@ def _starts(n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ResidueModel:
-    four: np.ndarray
-    eight: np.ndarray
+    short: np.ndarray
+    long: np.ndarray
     dense: np.ndarray
     threshold: float
     report: dict
@@ -203,8 +202,8 @@ class ResidueModel:
         data = np.frombuffer(pad.join([*raw, b""]), np.uint8)
         if not len(data):
             return np.full(len(texts), -np.inf)
-        h4, h8 = _hashes(data)
-        total = np.concatenate([[0.0], np.cumsum(self.four[h4] + self.eight[h8], dtype=np.float64)])
+        hs, hl = _hashes(data)
+        total = np.concatenate([[0.0], np.cumsum(self.short[hs] + self.long[hl], dtype=np.float64)])
         out = np.full(len(texts), -np.inf)
         sizes = np.array([len(r) for r in raw])
         begins = np.concatenate([[0], np.cumsum(sizes + len(pad))[:-1]])
@@ -224,7 +223,7 @@ class ResidueModel:
 def _windows(raw: bytes, spans: list[tuple[int, int]] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash rows of a text's windows (-1 where a window is short); with spans only those that cover most of one."""
     n = len(raw)
-    h4, h8 = _hashes(np.frombuffer(raw, np.uint8))
+    hs, hl = _hashes(np.frombuffer(raw, np.uint8))
     at = _starts(n)
     if spans is not None:
         at = np.array([a for a in at if any(min(a + WINDOW, e) - max(a, s) >= min(e - s, STEP) * 0.9 for s, e in spans)], np.int64)
@@ -232,7 +231,7 @@ def _windows(raw: bytes, spans: list[tuple[int, int]] | None) -> tuple[np.ndarra
     inside = place < n
     place = np.minimum(place, n - 1)
     dense = np.repeat(_shape(raw)[None, :], len(at), 0)
-    return np.where(inside, h4[place], -1), np.where(inside, h8[place], -1), dense
+    return np.where(inside, hs[place], -1), np.where(inside, hl[place], -1), dense
 
 
 @cache
@@ -279,19 +278,19 @@ def fit(rows: list[tuple[str, str]], epochs: int = 25, rate: float = 0.5, l2: fl
         a = len(text[:at].encode("utf-8", "replace")) + len(lead)
         pos.append(_windows(inserted[-1].encode("utf-8", "replace"), [(a, a + len(s.encode()))]))
     neg = neg or [_windows(b"plain words about a decision and its consequences for the teams that own it", None)]
-    x4, x8, xd = (np.concatenate([w[k] for w in [*pos, *neg]]) for k in range(3))
+    xs, xl, xd = (np.concatenate([w[k] for w in [*pos, *neg]]) for k in range(3))
     n_pos = sum(len(w[0]) for w in pos)
-    y = np.concatenate([np.ones(n_pos), np.zeros(len(x4) - n_pos)]).astype(np.float32)
+    y = np.concatenate([np.ones(n_pos), np.zeros(len(xs) - n_pos)]).astype(np.float32)
     weight = np.where(y > 0, 0.5 / max(1, n_pos), 0.5 / max(1, len(y) - n_pos)).astype(np.float32)
     size = 1 << BITS
-    w4, w8, wd = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32), np.zeros(xd.shape[1], np.float32)
-    s4, s8, sd = np.full(size + 1, 1e-8, np.float32), np.full(size + 1, 1e-8, np.float32), np.full(xd.shape[1], 1e-8, np.float32)
-    f4, f8 = x4.ravel(), x8.ravel()
+    ws, wl, wd = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32), np.zeros(xd.shape[1], np.float32)
+    ss, sl, sd = np.full(size + 1, 1e-8, np.float32), np.full(size + 1, 1e-8, np.float32), np.full(xd.shape[1], 1e-8, np.float32)
+    fs, fl = xs.ravel(), xl.ravel()
     for _ in range(epochs):  # AdaGrad over all windows
-        z = (w4[x4].sum(1) + w8[x8].sum(1)) / WINDOW + xd @ wd
+        z = (ws[xs].sum(1) + wl[xl].sum(1)) / WINDOW + xd @ wd
         r = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
-        each = np.repeat(r, x4.shape[1]) / WINDOW
-        for w, s, f in ((w4, s4, f4), (w8, s8, f8)):
+        each = np.repeat(r, xs.shape[1]) / WINDOW
+        for w, s, f in ((ws, ss, fs), (wl, sl, fl)):
             g = np.bincount(np.where(f < 0, size, f), each, size + 1).astype(np.float32) + l2 * w
             g[size] = 0
             s += g * g
@@ -299,13 +298,13 @@ def fit(rows: list[tuple[str, str]], epochs: int = 25, rate: float = 0.5, l2: fl
         g = xd.T @ r + l2 * wd
         sd += g * g
         wd -= rate * 0.2 * g / np.sqrt(sd)
-    model = ResidueModel(w4[:size], w8[:size], wd, 0.0, {})
+    model = ResidueModel(ws[:size], wl[:size], wd, 0.0, {})
     known = [t for h, t in rows if h not in held and residue_spans(t)] + [t for t, flag in check if flag] + list(_seeds()) + inserted
     least = float(model.scores(known).min()) - MARGIN
     ok = np.array([flag for _, flag in check], bool)
     high = model.scores([t for t, _ in check]) >= least if check else np.zeros(0, bool)
     report = {"documents": len(rows), "held_hosts": len(held), "held_documents": len(check), "recall": float(high[ok].mean()) if ok.any() else None, "candidates": float(high.mean()) if len(high) else None, "threshold": least}
-    return ResidueModel(model.four, model.eight, model.dense, least, report)
+    return ResidueModel(model.short, model.long, model.dense, least, report)
 
 
 def train(documents: DataFrame, max_docs: int = SAMPLE_DOCS) -> ResidueModel:
