@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import distinctiveness, ideal_point, mixing, neighbors, residue, splitting, tokens
+from lodestone.llm import distinctiveness, ideal_point, markup, mixing, neighbors, residue, splitting, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,9 @@ QUERIES = {
     "p3_spread": lambda s, d: distinctiveness.vocabulary_spread(_read(s, d, "vocabulary_terms")),
     "p4_found": lambda s, d: ideal_point.undisputed(ideal_point.ideal_point_ranking(_read(s, d, "candidate_evaluations"))),
     "p4_ranking": lambda s, d: ideal_point.ideal_point_ranking(_read(s, d, "candidate_evaluations")).withColumn("closeness", F.round("closeness", 6)),
+    "p6_found": lambda s, d: markup.summaries_with_markup(_read(s, d, "documents_parsed")).select("repo", "id"),
+    "p6_marks": lambda s, d: markup.summaries_with_markup(_read(s, d, "documents_parsed")),
+    "p6_clean": lambda s, d: markup.clean_texts(_read(s, d, "documents_parsed")),
     "p7_found": lambda s, d: neighbors.similar_pairs(_read(s, d, "chunks")),
     "p7_nearest": lambda s, d: neighbors.nearest(_read(s, d, "chunks")),
     "p8_ids": lambda s, d: tokens.encode_corpus(_read(s, d, "documents")),
