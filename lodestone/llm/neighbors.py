@@ -27,11 +27,12 @@ SAMPLE_VECTORS = 20_000
 CELL_ROWS, MOST_CELLS = 4096, 4096
 #: Vectors that one shard indexes, about.
 SHARD_ROWS = 8192
-#: Evenly spaced nodes that a search compares first, and how many of them it starts from.
-POOL, ENTRIES = 2048, 8
+#: A search first compares one node in so many, evenly spaced, and starts from the best of them.
+ENTRY_STEP, ENTRIES = 2, 8
 #: Out-degree, beam width, nodes a search expands at once, and the relaxation of the pruning rule.
 DEGREE, BEAM, EXPAND, ALPHA = 16, 24, 4, 1.2
 QUERY_BLOCK = 512
+MOST_TASKS = 20_000
 
 
 def usable(column: pa.Array, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray
 
 
 def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    order = np.argsort(-sims, axis=1)[:, :k]
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), order
 
 
@@ -146,9 +147,9 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> np.nda
     return graph
 
 
-def entries(x: np.ndarray, queries: np.ndarray, pool: int = POOL, keep: int = ENTRIES) -> np.ndarray:
+def entries(x: np.ndarray, queries: np.ndarray, step: int = ENTRY_STEP, keep: int = ENTRIES) -> np.ndarray:
     """The best few of evenly spaced nodes to start each query from."""
-    nodes = np.unique(np.linspace(0, len(x) - 1, min(pool, len(x))).astype(np.int64))
+    nodes = np.arange(0, len(x), step if len(x) > 64 * step else 1)
     s = queries @ x[nodes].T
     k = min(keep, len(nodes))
     return nodes[np.argpartition(-s, k - 1, axis=1)[:, :k]]
@@ -329,7 +330,9 @@ def _search(vectors: DataFrame, probes: int, beam: int, degree: int, least: floa
     def run(table: pa.Table) -> pa.Table:
         return _shard_pairs(table, beam, degree, least, k)
 
-    return _routed(vectors, routing, probes, key, column).groupBy("shard").applyInArrow(run, _PAIRS)
+    # as many tasks as shards: a task's input doesn't grow with the table
+    routed = _routed(vectors, routing, probes, key, column).repartition(min(MOST_TASKS, int(routing.shards.sum())), "shard")
+    return routed.groupBy("shard").applyInArrow(run, _PAIRS)
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.9, probes: int = 2, beam: int = BEAM, degree: int = DEGREE, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
