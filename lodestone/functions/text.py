@@ -31,10 +31,6 @@ TECHNOLOGIES = (
 BLANK = r"[\s ﻿]"
 
 
-def _literals(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def words(text: Column) -> Column:
     """Lower-case runs of ASCII letters, digits, ``-`` and ``_`` without these at their ends; nulls give no words."""
     runs = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_-]+", " ")), " ")
@@ -48,8 +44,7 @@ def tokenize(text: Column, sub_tokens: bool = True, split_bonded: bool = False)
     ``split_bonded`` treats ``_`` as a blank, so that only the parts remain.
     """
     source = F.regexp_replace(text, "_", " ") if split_bonded else text
-    stop = _literals(STOP_WORDS)
-    keep = lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)
+    keep = lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS)
     tokens = F.filter(words(source), keep)
     if not sub_tokens or split_bonded:
         return tokens
@@ -99,7 +94,7 @@ def truncate_words(text: Column, most: int) -> Column:
 def entities(content: Column) -> Column:
     """Technical identifiers in order of kind: code spans, acronyms, known technologies, record numbers."""
     spans = F.filter(F.transform(F.regexp_extract_all(content, F.lit(r"`([^`\n\r]+)`"), 1), lambda s: F.trim(s)), lambda s: F.length(s).between(2, 40) & ~F.contains(s, F.lit(" ")))
-    acronyms = F.filter(F.regexp_extract_all(content, F.lit(r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9_-]{1,10})(?![A-Za-z0-9_])"), 1), lambda a: ~F.array_contains(_literals(STOP_ACRONYMS), a))
+    acronyms = F.filter(F.regexp_extract_all(content, F.lit(r"(?<![A-Za-z0-9_])([A-Z][A-Z0-9_-]{1,10})(?![A-Za-z0-9_])"), 1), lambda a: ~a.isin(STOP_ACRONYMS))
     known = F.transform(F.regexp_extract_all(content, F.lit(rf"(?i)(?<![A-Za-z0-9_])({TECHNOLOGIES})(?![A-Za-z0-9_])"), 1), lambda t: F.regexp_replace(F.lower(t), r"\s+", "-"))
     numbers = F.transform(F.regexp_extract_all(content, F.lit(r"(?i)ADR[-:\s]*([0-9]{1,4})"), 1), lambda n: F.concat(F.lit("adr-"), pad4(n)))
     lower = lambda column: F.transform(column, lambda s: F.lower(s))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.session import hot_key_join
+from lodestone.session import hot_key_join, materialize
 
 K1, B = 1.2, 0.75
 
@@ -54,22 +54,33 @@ def query_terms(queries: DataFrame, text: str = "text", key: str = "query_id") -
     return queries.select(F.col(key).alias("query_id"), F.posexplode(tokens).alias("ord", "term"))
 
 
+def stored(index: Index) -> Index:
+    """The index as tables in the shared folder: every later use reads them instead of tokenising again."""
+    postings = materialize(index.postings, "postings")
+    return Index(postings, materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "frequencies"), materialize(index.totals, "totals"))
+
+
 def score(index: Index, terms: DataFrame, k1: float = K1, b: float = B, section: str | None = None) -> DataFrame:
-    """(query_id, chunk_id, doc_id, section_type, score, matched_terms) of every chunk with a query term.
+    """(query_id, chunk_id, doc_id, section_type, score) of every chunk with a query term.
 
-    Frequencies and lengths are those of all chunks, whatever the section filter.
+    Frequencies and lengths are those of all chunks, whatever the section filter.  Sums
+    only: which terms matched is found for the rows that are kept, by `matched_terms`.
     """
     postings = index.postings if section is None else index.postings.where(F.col("section_type") == section)
-    asked = terms.groupBy("term").agg(F.collect_list(F.struct("query_id", "ord")).alias("asked"))
+    asked = terms.groupBy("term").agg(F.collect_list("query_id").alias("asked"))
     weights = asked.join(index.frequencies, "term").crossJoin(index.totals)  # totals is one row
     weights = weights.select("term", "asked", "df", idf(F.col("n"), F.col("df")).alias("idf"), "avg_length")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(1.0)))
-    hits = hot_key_join(postings, weights, "term", "df", "chunk_id").select("chunk_id", "doc_id", "section_type", "term", part.alias("part"), F.explode("asked").alias("q"))
-    return (
-        hits.groupBy("q.query_id", "chunk_id", "doc_id", "section_type")
-        .agg(F.sum("part").alias("score"), F.array_sort(F.collect_list(F.struct("q.ord", "term"))).alias("m"))
-        .select("query_id", "chunk_id", "doc_id", "section_type", "score", F.transform("m", lambda x: x["term"]).alias("matched_terms"))
-    )
+    hits = hot_key_join(postings, weights, "term", "df", "chunk_id").select("chunk_id", "doc_id", "section_type", part.alias("part"), F.explode("asked").alias("query_id"))
+    return hits.groupBy("query_id", "chunk_id", "doc_id", "section_type").agg(F.sum("part").alias("score"))
+
+
+def matched_terms(index: Index, terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds ``matched_terms``, in the query's order, to rows of (query_id, chunk_id, ...)."""
+    wanted = index.postings.select("chunk_id", "term").join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    pairs = rows.select("query_id", "chunk_id").distinct().join(wanted, "chunk_id").join(terms, ["query_id", "term"])
+    found = pairs.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("m"))
+    return rows.join(found.select("query_id", "chunk_id", F.transform("m", lambda x: x["term"]).alias("matched_terms")), ["query_id", "chunk_id"], "left")
 
 
 def attribution(index: Index, terms: DataFrame) -> DataFrame:

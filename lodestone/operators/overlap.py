@@ -34,12 +34,11 @@ def similarities(drafts: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     parts = ("summary", "context", "decision")
     pivot = drafts.where(F.col("section_type").isin(*parts)).groupBy("draft_id").agg(*[F.max(F.when(F.col("section_type") == p, F.col("embedding"))).alias(p) for p in parts])
-    sections = chunks.select("chunk_id", "doc_id", "section_type")
     out = None
     for part in parts:
         asked = pivot.select("draft_id", F.coalesce(part, "summary").alias("embedding"))
         against = chunks if part == "summary" else chunks.where(F.col("section_type").isin(part, "summary"))
-        scores = search.dense_scores(asked, against, "draft_id").withColumnRenamed("query_id", "draft_id").join(sections, "chunk_id")
+        scores = search.dense_scores(asked, against, "draft_id", carry=("doc_id", "section_type")).withColumnRenamed("query_id", "draft_id")
         if part == "summary":
             value = F.max("similarity")
         else:

@@ -57,16 +57,19 @@ def top_k(df: DataFrame, key: str, order: list[F.Column], k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
-def dense_scores(queries: DataFrame, corpus: DataFrame, query: str = "query_id", key: str = "chunk_id", column: str = "embedding", least: float | None = None) -> DataFrame:
+def dense_scores(queries: DataFrame, corpus: DataFrame, query: str = "query_id", key: str = "chunk_id", column: str = "embedding", least: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, chunk_id, similarity) of all queries against all rows, or those of at least ``least``.
 
     Queries go in blocks of at most ``BLOCK`` vectors, each broadcast to one pass over
-    the corpus in which every Arrow batch is one matrix product.  Rows whose vector is
+    the corpus in which every Arrow batch is one matrix product.  ``carry`` names columns
+    of the corpus that come along, which saves a join of all pairs.  Rows whose vector is
     null, of another length or not finite have no similarity; a zero vector has 0.
     """
     spark = corpus.sparkSession
     held = queries.where(F.col(column).isNotNull()).select(query, column)
     kinds = f"query_id {queries.schema[query].dataType.simpleString()}, chunk_id {corpus.schema[key].dataType.simpleString()}, similarity double"
+    kinds += "".join(f", `{c}` {corpus.schema[c].dataType.simpleString()}" for c in carry)
+    names_out = ["query_id", "chunk_id", "similarity", *carry]
     n = held.count()
     blocks = max(1, -(-n // BLOCK))
     out = None
@@ -90,9 +93,10 @@ def dense_scores(queries: DataFrame, corpus: DataFrame, query: str = "query_id",
                 for lo in range(0, len(rows), 2048):
                     s = np.clip(q @ _unit(x[lo : lo + 2048]).T, -1, 1)
                     a, c = np.nonzero(s >= least) if least is not None else np.indices(s.shape).reshape(2, -1)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), b.column(0).take(pa.array(rows[lo + c])), pa.array(s[a, c])], ["query_id", "chunk_id", "similarity"])
+                    at = pa.array(rows[lo + c])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), b.column(0).take(at), pa.array(s[a, c]), *(b.column(2 + i).take(at) for i in range(len(carry)))], names_out)
 
-        found = corpus.select(key, column).mapInArrow(run, kinds)
+        found = corpus.select(key, column, *carry).mapInArrow(run, kinds)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -123,8 +127,8 @@ def sparse_search(scores: DataFrame, docs: DataFrame, k: int = 5, threshold: flo
     most = first.groupBy("query_id").agg(F.max("score").alias("most"))
     kept = docs if statuses is None else docs.where(F.lower("status").isin(statuses))
     hits = first.join(most, "query_id").withColumn("relative", F.col("score") / F.col("most")).where(F.col("relative") >= threshold).join(kept.select("chunk_id"), "chunk_id", "left_semi")
-    best = hits.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("chunk_id", "relative", "matched_terms"), F.struct(-F.col("relative"), F.col("chunk_id"))).alias("b"))
-    rows = best.select("query_id", "doc_id", "b.chunk_id", "b.relative", "b.matched_terms")
+    best = hits.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("chunk_id", "relative"), F.struct(-F.col("relative"), F.col("chunk_id"))).alias("b"))
+    rows = best.select("query_id", "doc_id", "b.chunk_id", "b.relative")
     return top_k(rows, "query_id", [F.desc("relative"), F.asc("doc_id")], k).withColumn("relative", round_half_up(F.col("relative"), 3))
 
 

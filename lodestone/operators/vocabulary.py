@@ -22,10 +22,10 @@ MOST_PHRASES = 200_000
 
 def shingles(text: Column) -> Column:
     """Bigrams and trigrams of neighbouring words inside clauses, none of them a stop or generic word."""
-    stop = F.array(*[F.lit(w) for w in (*T.STOP_WORDS, *T.GENERIC_WORDS)])
+    stop = [*T.STOP_WORDS, *T.GENERIC_WORDS]
     clauses = F.split(F.coalesce(text, F.lit("")), r"[.!?;:\n\r|()\[\]{}\"]+")
     words = F.transform(clauses, lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9\s_-]", " "), r"\s+"), lambda w: F.length(w) > 0))
-    plain = lambda ws: F.transform(ws, lambda w: ~F.array_contains(stop, w))
+    plain = lambda ws: F.transform(ws, lambda w: ~w.isin(stop))
 
     def grams(pair: Column, n: int) -> Column:
         last = F.size(pair["w"]) - n
@@ -38,21 +38,25 @@ def shingles(text: Column) -> Column:
 
 
 def candidates(records: DataFrame, key: list[str]) -> DataFrame:
-    """(key, phrase, source) of every emission; records need raw_content, metadata and sections."""
+    """(key, ord, phrase, clean, source) of every emission; records need raw_content, metadata and sections.
+
+    Phrases are cleaned before the explode: a filter on the clean form is then a look-up
+    and isn't expanded into its patterns.
+    """
     raw = F.coalesce("raw_content", F.lit(""))
     all_ = lambda pattern, group=1: F.regexp_extract_all(raw, F.lit(pattern), group)
     spans = F.filter(F.transform(all_(r"`([^`\n\r]+)`"), lambda s: F.trim(s)), lambda s: F.length(s).between(2, 45))
     headers = F.transform(all_(r"(?m)^#{1,3}[ \t]+([^\r\n]+)$"), lambda h: F.trim(F.regexp_replace(F.regexp_replace(h, r"(?i)^ADR[-:\s]*[0-9]{1,4}[:\s-]*", ""), r"[:|()]", " ")))
     options = F.transform(all_(r"(?i)(?:Option|\* Option|\+ Option|- Option)[ \t]+[0-9]+:[ \t]*([^\n\r]+)"), lambda o: F.trim(F.regexp_replace(o, "[\"`]", "")))
-    acronyms = F.filter(all_(r"(?<![A-Za-z0-9_])([a-z]{1,2}[A-Z]{2,}|[A-Z][A-Z0-9_-]{1,8})(?![A-Za-z0-9_])"), lambda a: ~F.array_contains(F.array(*[F.lit(x) for x in T.STOP_ACRONYMS]), a))
+    acronyms = F.filter(all_(r"(?<![A-Za-z0-9_])([a-z]{1,2}[A-Z]{2,}|[A-Z][A-Z0-9_-]{1,8})(?![A-Za-z0-9_])"), lambda a: ~a.isin(T.STOP_ACRONYMS))
     titles = all_(r"(?<![A-Za-z0-9_])([A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+){1,3})(?![A-Za-z0-9_])")
     prose = F.concat_ws("\n", "metadata.title", "sections.context", "sections.decision", "sections.considered_options")
-    tagged = lambda values, source: F.transform(values, lambda v: F.struct(v.alias("phrase"), F.lit(source).alias("source")))
+    tagged = lambda values, source: F.transform(values, lambda v: F.struct(v.alias("phrase"), T.clean_phrase(v).alias("clean"), F.lit(source).alias("source")))
     whole = F.concat(
         tagged(spans, "code_span"), tagged(headers, "header"), tagged(F.flatten(F.transform(headers, shingles)), "header"), tagged(options, "option_title"),
         tagged(F.flatten(F.transform(options, shingles)), "option_title"), tagged(acronyms, "acronym"), tagged(titles, "title_case"), tagged(shingles(prose), "clause_shingle"),
     )
-    return records.select(*key, F.posexplode(whole).alias("ord", "c")).select(*key, "ord", "c.phrase", "c.source")
+    return records.select(*key, F.posexplode(whole).alias("ord", "c")).select(*key, "ord", "c.phrase", "c.clean", "c.source")
 
 
 def harvest(records: DataFrame, key: list[str] | None = None, order: str = "doc_ord") -> DataFrame:
@@ -65,7 +69,7 @@ def harvest(records: DataFrame, key: list[str] | None = None, order: str = "doc_
     phrases don't gather in one task.
     """
     key = key or ["repo", "id"]
-    rows = candidates(records, key).withColumn("clean", T.clean_phrase(F.col("phrase")))
+    rows = candidates(records, key)
     n_words = F.size(F.split("clean", " "))
     single = [*T.STOP_WORDS, *T.GENERIC_WORDS]
     kept = rows.where(F.length("clean").between(2, 50) & n_words.between(1, 4) & ~((n_words == 1) & F.col("clean").isin(single)) & ~F.col("clean").isin(list(SENTENCE_STARTERS)) & F.col("clean").rlike("[a-z0-9]"))
