@@ -346,7 +346,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, probes: int = 2, beam:
     return found.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
 
 
-def nearest(vectors: DataFrame, k: int = 10, probes: int = 8, beam: int = 64, degree: int = 32, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, probes: int = 5, beam: int = 48, degree: int = 24, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
     """The k most similar other rows of every usable row: (chunk_id, neighbor_id, similarity, rank).
 
     Ties go to the smaller key.  Accuracy: see the README for recall against brute force.
