@@ -32,9 +32,13 @@ BLANK = r"[\s ﻿]"
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of ASCII letters, digits, ``-`` and ``_`` without these at their ends; nulls give no words."""
-    runs = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_-]+", " ")), " ")
-    return F.filter(F.transform(runs, lambda w: F.regexp_replace(w, r"^[-_]+|[-_]+$", "")), lambda w: F.length(w) > 0)
+    """Lower-case runs of ASCII letters, digits, ``-`` and ``_`` without these at their ends; nulls give no words.
+
+    Edges are stripped on the whole text, not per word: patterns are the costly part.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_-]+", " ")
+    bare = F.regexp_replace(bare, r"(?<![A-Za-z0-9])[-_]+|[-_]+(?![A-Za-z0-9])", "")
+    return F.filter(F.split(F.lower(bare), " "), lambda w: w != "")
 
 
 def tokenize(text: Column, sub_tokens: bool = True, split_bonded: bool = False) -> Column:
@@ -48,7 +52,8 @@ def tokenize(text: Column, sub_tokens: bool = True, split_bonded: bool = False)
     tokens = F.filter(words(source), keep)
     if not sub_tokens or split_bonded:
         return tokens
-    return F.flatten(F.transform(tokens, lambda w: F.when(F.contains(w, F.lit("_")), F.concat(F.array(w), F.filter(F.split(w, "_"), keep))).otherwise(F.array(w))))
+    with_parts = F.flatten(F.transform(tokens, lambda w: F.when(F.contains(w, F.lit("_")), F.concat(F.array(w), F.filter(F.split(w, "_"), keep))).otherwise(F.array(w))))
+    return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit("_")), with_parts).otherwise(tokens)
 
 
 def clean_phrase(text: Column) -> Column:

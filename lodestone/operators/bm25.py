@@ -13,9 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.session import hot_key_join, materialize
+from lodestone.session import hot_key_join, materialize, spread
 
 K1, B = 1.2, 0.75
+#: Query terms up to which they are broadcast to the postings (some 10 MB); beyond, both sides are shuffled by term.
+BROADCAST_TERMS = 200_000
+
+
+def _meet(rows: DataFrame, weights: DataFrame, terms: DataFrame, on: str) -> DataFrame:
+    """Rows of the index with the weights of asked terms.
+
+    Few query terms go to where the postings lie: a chunk's postings lie together, so
+    its sums are complete before the shuffle.  Many meet by a join on the term.
+    """
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        return rows.join(F.broadcast(weights), "term")
+    return hot_key_join(rows, weights, "term", "df", on)
 
 
 @dataclass(frozen=True)
@@ -29,7 +42,8 @@ class Index:
 
 def build(chunks: DataFrame, chunk: str = "chunk_id", doc: str = "doc_id", section: str | None = None, text: str = "text") -> Index:
     """Index chunks of text.  Null texts are no chunks; texts without tokens count with length 0."""
-    rows = chunks.where(F.col(text).isNotNull()).select(
+    named = chunks.where(F.col(text).isNotNull()).select(*dict.fromkeys([chunk, doc, text, *([section] if section else [])]))
+    rows = spread(named).select(
         F.col(chunk).alias("chunk_id"), F.col(doc).alias("doc_id"), (F.col(section) if section else F.lit(None).cast("string")).alias("section_type"), T.tokenize(F.col(text)).alias("tokens")
     )
     sized = rows.withColumn("length", F.size("tokens"))
@@ -71,7 +85,7 @@ def score(index: Index, terms: DataFrame, k1: float = K1, b: float = B, section:
     weights = asked.join(index.frequencies, "term").crossJoin(index.totals)  # totals is one row
     weights = weights.select("term", "asked", "df", idf(F.col("n"), F.col("df")).alias("idf"), "avg_length")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(1.0)))
-    hits = hot_key_join(postings, weights, "term", "df", "chunk_id").select("chunk_id", "doc_id", "section_type", part.alias("part"), F.explode("asked").alias("query_id"))
+    hits = _meet(postings, weights, terms, "chunk_id").select("chunk_id", "doc_id", "section_type", part.alias("part"), F.explode("asked").alias("query_id"))
     return hits.groupBy("query_id", "chunk_id", "doc_id", "section_type").agg(F.sum("part").alias("score"))
 
 
@@ -88,5 +102,5 @@ def attribution(index: Index, terms: DataFrame) -> DataFrame:
     per_doc = index.postings.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
     asked = terms.groupBy("term").agg(F.collect_list("query_id").alias("asked"))
     weights = asked.join(index.frequencies, "term").crossJoin(index.totals).select("term", "asked", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    hits = hot_key_join(per_doc, weights, "term", "df", "doc_id")
+    hits = _meet(per_doc, weights, terms, "doc_id")
     return hits.select(F.explode("asked").alias("query_id"), "doc_id", "term", "tf", "idf", (F.col("idf") * F.col("tf")).alias("weight"))

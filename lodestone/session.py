@@ -108,3 +108,9 @@ def hot_key_join(big: DataFrame, small: DataFrame, key: str, weight: str, on: st
     spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
     return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than there are; larger inputs stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
