@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ ENTRY_STEP, ENTRIES = 2, 8
 #: Out-degree, beam width, nodes a search expands at once, and the relaxation of the pruning rule.
 DEGREE, BEAM, EXPAND, ALPHA = 16, 24, 4, 1.2
 QUERY_BLOCK = 512
+#: Single precision may miss the threshold by this much.
+SLACK = 1e-4
+#: Candidate pairs of vectors, and pairs of rows, that are held at once when all above a threshold are wanted.
+PAIR_BLOCK, ROW_BLOCK = 1 << 16, 1 << 20
 MOST_TASKS = 20_000
 
 
@@ -178,17 +183,18 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, fresh: np.ndarray, degree: in
         graph[at] = robust_prune(x, cand, s, degree)
 
 
-def search_shard(x: np.ndarray, home: np.ndarray, queries: np.ndarray, beam: int = BEAM, degree: int = DEGREE) -> tuple[np.ndarray, np.ndarray]:
+def search_shard(x: np.ndarray, home: np.ndarray, queries: np.ndarray, beam: int = BEAM, degree: int = DEGREE, step: int = ENTRY_STEP) -> tuple[np.ndarray, np.ndarray]:
     """Build a shard's graph and search it for all ``queries``.
 
     ``home`` is the node of each query that is itself in the shard, else -1: such a
-    search starts at its own node besides the entries.
+    search starts at its own node besides the entries.  With ``step`` 1 every node is
+    compared as an entry, so the best one is found for certain.
     """
     graph = build_graph(x, degree, beam)
     ids, sims = np.full((len(queries), beam), -1, np.int64), np.full((len(queries), beam), -np.inf, np.float32)
     for lo in range(0, len(queries), QUERY_BLOCK):
         q, own = queries[lo : lo + QUERY_BLOCK], home[lo : lo + QUERY_BLOCK]
-        starts = entries(x, q)
+        starts = entries(x, q, step)
         starts = np.where(starts == own[:, None], -1, starts)
         found = beam_search(x, graph, q, np.concatenate([own[:, None], starts], 1), beam)
         ids[lo : lo + len(q)], sims[lo : lo + len(q)] = found
@@ -258,7 +264,28 @@ def _routed(vectors: DataFrame, routing: Routing, probes: int, key: str, column:
     return vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), column, spread.alias("h")).mapInArrow(run, "shard int, id string, v binary, indexed boolean")
 
 
-def _shard_pairs(table: pa.Table, beam: int, degree: int, least: float | None, k: int | None) -> pa.Table:
+def _candidates(u: np.ndarray, nodes: np.ndarray, home: np.ndarray, beam: int, degree: int, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a query and a node, both as places in ``u``, without a vector's pair with itself; a query's pairs come together, unless ``least`` is given.
+
+    With ``least``, a beam can't hold every node above it: each query for which the
+    search found any such node is compared with the whole shard.
+    """
+    found, sims = search_shard(u[nodes], home, u, beam, degree, ENTRY_STEP if least is None else 1)
+    real = (found >= 0) & (found != home[:, None])
+    if least is None:
+        left, at = np.nonzero(real)
+        yield left, nodes[found[left, at]]
+        return
+    near = np.flatnonzero((real & (sims >= least - SLACK)).any(1))
+    rows = max(1, PAIR_BLOCK // len(nodes))
+    for lo in range(0, len(near), rows):
+        q = near[lo : lo + rows]
+        r, c = np.nonzero(u[q] @ u[nodes].T >= least - SLACK)
+        other = c != home[q][r]
+        yield q[r[other]], nodes[c[other]]
+
+
+def _shard_pairs(table: pa.Table, beam: int, degree: int, least: float | None, k: int | None) -> Iterator[pa.RecordBatch]:
     """A shard's finds as (a, b, similarity): the k best per query, or all at or above ``least``."""
     ids = table["id"].combine_chunks()
     codes = ids.dictionary_encode()
@@ -274,49 +301,48 @@ def _shard_pairs(table: pa.Table, beam: int, degree: int, least: float | None, k
     in_index = np.zeros(len(u), bool)
     in_index[inverse[indexed]] = True
     nodes = np.random.default_rng(1).permutation(np.flatnonzero(in_index))
-    empty = pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
     if not len(nodes):
-        return empty
+        return
     home = np.full(len(u), -1, np.int64)
     home[nodes] = np.arange(len(nodes))
-    found, sims = search_shard(u[nodes], home, u, beam, degree)
-    found = np.where(found >= 0, nodes[np.maximum(found, 0)], -1)
-    left, right = np.repeat(np.arange(len(u)), found.shape[1]), found.ravel()
-    ok = right >= 0
-    if least is not None:
-        ok &= sims.ravel() >= least - 1e-4
-    left, right = left[ok], right[ok]
-    # a vector is its own best match: that is what pairs equal vectors
-    left, right = np.concatenate([left, nodes]), np.concatenate([right, nodes])
-    pair = np.unique(left * len(u) + right)
-    left, right = pair // len(u), pair % len(u)
     wide = distinct.astype(np.float64)
     norm = np.sqrt((wide**2).sum(1))
-    exact = np.clip(np.einsum("nd,nd->n", wide[left], wide[right]) / (norm[left] * norm[right]), -1, 1)
-    exact[left == right] = 1.0
     # from vectors to the rows that have them; only indexed rows are matches
     by_query = np.argsort(inverse, kind="stable")
     q_first = np.searchsorted(inverse[by_query], np.arange(len(u) + 1))
     own = by_query[indexed[by_query]]
     n_first = np.searchsorted(inverse[own], np.arange(len(u) + 1))
-    if least is not None:
-        ok = exact >= least
-        left, right, exact = left[ok], right[ok], exact[ok]
-    nl, nr = q_first[left + 1] - q_first[left], n_first[right + 1] - n_first[right]
-    size = nl * nr
-    row = np.repeat(np.arange(len(left)), size)
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    a, b = by_query[q_first[left[row]] + step // nr[row]], own[n_first[right[row]] + step % nr[row]]
-    s = exact[row]
-    ok = a != b
-    a, b, s = code[a[ok]], code[b[ok]], s[ok]
-    if k is not None:
-        order = np.lexsort((b, -s, a))
-        a, b, s = a[order], b[order], s[order]
-        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-        place = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
-        a, b, s = a[place < k], b[place < k], s[place < k]
-    return pa.table({"a": names.take(pa.array(a)).cast(pa.string()), "b": names.take(pa.array(b)).cast(pa.string()), "similarity": pa.array(s)})
+    found = _candidates(u, nodes, home, beam, degree, least)
+    # a vector is its own best match: that is what pairs equal vectors
+    if least is None:
+        left, right = next(found)
+        found = iter([(np.concatenate([left, nodes]), np.concatenate([right, nodes]))])
+    else:
+        found = chain(found, [(nodes, nodes)])
+    for left, right in found:
+        exact = np.clip(np.einsum("nd,nd->n", wide[left], wide[right]) / (norm[left] * norm[right]), -1, 1)
+        exact[left == right] = 1.0
+        if least is not None:
+            ok = exact >= least
+            left, right, exact = left[ok], right[ok], exact[ok]
+        nl, nr = q_first[left + 1] - q_first[left], n_first[right + 1] - n_first[right]
+        last = np.cumsum(nl * nr)
+        total = int(last[-1]) if len(last) else 0
+        for lo in range(0, total, total if k is not None else ROW_BLOCK):
+            at = np.arange(lo, total if k is not None else min(total, lo + ROW_BLOCK))
+            row = np.searchsorted(last, at, "right")
+            step = at - (last - nl * nr)[row]
+            a, b = by_query[q_first[left[row]] + step // nr[row]], own[n_first[right[row]] + step % nr[row]]
+            s = exact[row]
+            ok = a != b
+            a, b, s = code[a[ok]], code[b[ok]], s[ok]
+            if k is not None:
+                order = np.lexsort((b, -s, a))
+                a, b, s = a[order], b[order], s[order]
+                start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+                place = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
+                a, b, s = a[place < k], b[place < k], s[place < k]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(a)).cast(pa.string()), names.take(pa.array(b)).cast(pa.string()), pa.array(s)], ["a", "b", "similarity"])
 
 
 _PAIRS = "a string, b string, similarity double"
@@ -327,8 +353,8 @@ def _search(vectors: DataFrame, probes: int, beam: int, degree: int, least: floa
     if not len(routing.centers):
         return vectors.sparkSession.createDataFrame([], _PAIRS)
 
-    def run(table: pa.Table) -> pa.Table:
-        return _shard_pairs(table, beam, degree, least, k)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _shard_pairs(pa.Table.from_batches(list(batches)), beam, degree, least, k)
 
     # as many tasks as shards: a task's input doesn't grow with the table
     routed = _routed(vectors, routing, probes, key, column).repartition(min(MOST_TASKS, int(routing.shards.sum())), "shard")
@@ -339,8 +365,9 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, probes: int = 2, beam:
     """Pairs of different rows with cosine similarity of at least ``least``: (chunk_id_a, chunk_id_b), smaller first.
 
     Vectors that are null, empty, zero, not finite or of another length take no part;
-    rows that repeat a key count once; rows with a null key are dropped.  Candidates
-    come from the graphs; the cosine of each is then checked in double precision.
+    rows that repeat a key count once; rows with a null key are dropped.  The graphs
+    tell which vectors have a similar one; these are compared with their whole shards,
+    and the cosine of each candidate is then checked in double precision.
     """
     found = _search(vectors, probes, beam, degree, least, None, key, column)
     return found.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()

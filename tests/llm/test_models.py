@@ -106,6 +106,15 @@ def test_similar_pairs_and_nearest(spark):
     assert neighbors.similar_pairs(df.limit(0)).count() == 0 and neighbors.similar_pairs(df.where("chunk_id IN ('null', 'zero')")).count() == 0
 
 
+def test_near_copy_family_wider_than_a_beam(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, 64) + rng.normal(0, 0.02, (150, 64)), rng.normal(0, 1, (300, 64))]).astype(np.float32)
+    ids = [f"c{i:03}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "chunk_id string, embedding array<float>")
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neighbors.similar_pairs(df).collect()}
+    assert len(got) >= 150 * 149 // 2 and got == brute_pairs(ids, x, 0.9)
+
+
 def test_graph_degrees_and_recall():
     rng = np.random.default_rng(2)
     centers = rng.normal(0, 1, (40, 64))
