@@ -35,6 +35,7 @@ QUERIES = {
     "p6_found": lambda s, d: markup.summaries_with_markup(_read(s, d, "documents_parsed")).select("repo", "id"),
     "p6_marks": lambda s, d: markup.summaries_with_markup(_read(s, d, "documents_parsed")),
     "p6_clean": lambda s, d: markup.clean_texts(_read(s, d, "documents_parsed")),
+    "p6_clean_summaries": lambda s, d: markup.clean_summaries(_read(s, d, "documents_parsed")),
     "p7_found": lambda s, d: neighbors.similar_pairs(_read(s, d, "chunks")),
     "p7_nearest": lambda s, d: neighbors.nearest(_read(s, d, "chunks")),
     "p8_ids": lambda s, d: tokens.encode_corpus(_read(s, d, "documents")),

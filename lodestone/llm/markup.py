@@ -283,6 +283,40 @@ def inline_clean(text: str) -> str:
     return re.sub(r"[ \t\u00a0]+", " ", text).strip()
 
 
+# What `inline_clean` leaves: formulas, headings and quotes inside a line, and markers without their other half.
+_REST = (
+    (re.compile(r"\$(?!\d)([^$\n]*[\\^_{][^$\n]*)\$"), r"\1"),
+    (re.compile(r"\\frac\{([^{}\n]*)\}\s*\{([^{}\n]*)\}"), r"\1/\2"),
+    (re.compile(r"\\leq?(?![A-Za-z])"), "≤"),
+    (re.compile(r"\\geq?(?![A-Za-z])"), "≥"),
+    (re.compile(r"\\times(?![A-Za-z])"), "×"),
+    (re.compile(r"\\[A-Za-z]+\{([^{}\n]*)\}"), r"\1"),
+    (re.compile(rf"~?\\(?:{_COMMAND})(?![A-Za-z])(?:\{{[A-Za-z]*\}}?)?"), " "),
+    (re.compile(r"\\[()\[\]]"), ""),
+    (re.compile(r"={2,6}\s?([^\s=][^=\n]*?)\s?={2,6}"), r"\1"),
+    (re.compile(r"> (?=\*{1,3}\w)"), ""),
+    (re.compile(r"(?<!\w)\*{2,3}(?=\w)|(?<=\w)\*{2,3}(?!\w)"), ""),
+)
+_WORDLESS = re.compile(r"[^\w\s.,;:'-]+|__+|'{2,}|-{3,}|(?<!\w)_|_(?!\w)")
+
+
+def clean_summary(text: str) -> str:
+    """A summary without markup, whole or broken; its lines stay.  A text without marks is returned as it is."""
+    if not residue_marks(text):
+        return text
+    text = inline_clean(text)
+    for rule, to in _REST:
+        text = rule.sub(to, text)
+    # a marker that none of the rules knows how to read loses its signs; tags and entities go as a whole
+    for _ in range(8):
+        found = residue_marks(text)
+        if not found:
+            break
+        for kind in found:
+            text = RULES[kind].sub("" if kind in ("tag", "entity") else lambda m: _WORDLESS.sub("", m.group()), text)
+    return "\n".join(re.sub(r"[ \t\u00a0]+", " ", line).strip() for line in text.split("\n")).strip()
+
+
 def render(parts: list[Leaf]) -> str:
     """Clean text of labelled leaves: headings with ``#``, lists with ``-``, fenced code, ``$$`` formulas, piped tables."""
     out: list[str] = []
@@ -603,3 +637,17 @@ def clean_texts(parsed: DataFrame, column: str = "raw_content", sample: int = SA
                 yield pd.DataFrame(rows, columns=["repo", "id", "text", "n_leaves", *(f"n_{k}" for k in LABELS)])
 
     return texts.mapInPandas(run, schema)
+
+
+def clean_summaries(parsed: DataFrame) -> DataFrame:
+    """(repo, id, text, marks): clean summary of live records' current rows, with the kinds of markup that it had.
+
+    Every summary is checked exactly, so no labeller is needed.  Records without a
+    summary give no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"repo": pdf["repo"], "id": pdf["id"], "text": [clean_summary(t) for t in pdf["text"]], "marks": [residue_marks(t) for t in pdf["text"]]})
+
+    return current_texts(parsed, "summary_text").mapInPandas(run, "repo string, id string, text string, marks array<string>")

@@ -77,6 +77,23 @@ def test_markup_queries(spark):
     assert markup.summaries_with_markup(df.limit(0)).count() == 0 and markup.clean_texts(df.limit(0)).count() == 0
 
 
+def test_clean_summaries(spark):
+    from lodestone.llm import catalog
+
+    broken = {
+        "ADR 0001: T\nContext: on grafana <td>and one</td> on **rabbit.\nDecision: a == b == c": "ADR 0001: T\nContext: on grafana and one on rabbit.\nDecision: a b c",
+        "Cost is $\\frac{a}{14}$ &nbsp;per `unit`": "Cost is a/14 per unit", "backward \\(load \\le 79\\) holds; > **details follow": "backward load ≤ 79 holds; details follow", "a [[Page|link]] and [text](x.md) <div class": None,
+        "see {code}x{code} and [open](": None, "latency < 120 ms & 3 * 4 == 12": "latency < 120 ms & 3 * 4 == 12",
+    }
+    for text, want in broken.items():
+        got = markup.clean_summary(text)
+        assert not markup.residue_marks(got) and (want is None or got == want), (text, got)
+    rows = [("r", f"{i:04d}", 1, False, text, "x", None, None) for i, text in enumerate(broken)] + [("r", "0000", 2, True, "`gone`", "x", None, None), ("r", "9", 1, False, None, "x", None, None)]
+    assert "p6_clean_summaries" in catalog.QUERIES
+    out = {r.id: r for r in markup.clean_summaries(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(out) == {f"{i:04d}" for i in range(1, len(broken))} and not any(markup.residue_marks(r.text) for r in out.values()) and out["0001"].marks
+
+
 def brute_pairs(ids, x, least):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
