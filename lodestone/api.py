@@ -84,10 +84,12 @@ class Corpus:
         asked = long.withColumn("text_hash", F.sha2(F.trim("text"), 256)).join(vectors, "text_hash").select("draft_id", "section_type", "embedding")
         from lodestone.functions import text as T
 
-        mine = drafts.select("draft_id", T.entities(F.concat_ws(" ", "title", "context", "decision")).alias("mine"))
+        mine = drafts.select("draft_id", T.entities(F.concat_ws(" ", "title", "context", "decision")).alias("entities"))
         theirs = self.documents.select(F.col("id").alias("doc_id"), "entities")
-        near = overlap.similarities(asked, self.chunks).join(mine, "draft_id").join(theirs, "doc_id")
-        return overlap.verdicts(near.withColumn("shared", F.size(F.array_intersect("mine", "entities"))).withColumn("title", F.lit(0.0)).drop("mine", "entities"), rules)
+        named = self.documents.select(F.col("id").alias("doc_id"), F.concat(F.lit("ADR "), "id", F.lit(": "), F.coalesce("metadata.title", F.lit(""))).alias("text"))
+        named = named.join(self.chunks.select("doc_id").distinct(), "doc_id", "left_semi")
+        titles = overlap.title_similarities(drafts.select("draft_id", F.when(F.trim("title") != "", F.concat(F.lit("ADR: "), "title")).otherwise(F.coalesce(parts["summary"], F.lit(""))).alias("text")), named, self.make, rules.title[1])
+        return overlap.verdicts(overlap.with_evidence(overlap.similarities(asked, self.chunks), titles, mine, theirs, rules.admit), rules)
 
     def get(self, id_or_path: str) -> DataFrame:
         return records.lookup(self.documents, id_or_path)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import search
+from lodestone.operators import search, store
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,29 @@ def similarities(drafts: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.fillna(0.0, ["overall", "context", "decision"])
 
 
+def title_similarities(drafts: DataFrame, documents: DataFrame, make: Callable[[], store.EmbeddingProvider], least: float = Thresholds().title[1]) -> DataFrame:
+    """(draft_id, doc_id, title): similarities of drafts' titles (draft_id, text) and documents' titles (doc_id, text).
+
+    Only those of at least ``least``: a smaller one changes no verdict.
+    """
+    hashed = lambda df: df.withColumn("text_hash", F.sha2(F.trim("text"), 256))
+    vectors = store.embed(drafts.select("text").unionByName(documents.select("text")), make)
+    asked, against = (hashed(df).join(vectors, "text_hash").drop("text", "text_hash") for df in (drafts, documents))
+    return search.dense_scores(asked, against, "draft_id", "doc_id", least=least).select(F.col("query_id").alias("draft_id"), F.col("chunk_id").alias("doc_id"), F.col("similarity").alias("title"))
+
+
+def with_evidence(near: DataFrame, titles: DataFrame, mine: DataFrame, theirs: DataFrame, admit: float = Thresholds().admit) -> DataFrame:
+    """Adds ``title`` and ``shared`` to pairs that can be admitted; pairs that only the titles bring come along.
+
+    ``mine`` is (draft_id, entities), ``theirs`` (doc_id, entities).
+    """
+    pairs = near.join(titles, ["draft_id", "doc_id"], "full").fillna(0.0, ["overall", "context", "decision", "title"])
+    pairs = pairs.where((F.greatest("overall", "context", "decision") >= admit) | (F.col("title") > 0))
+    pairs = pairs.join(mine.select("draft_id", F.col("entities").alias("_mine")), "draft_id", "left").join(theirs.select("doc_id", F.col("entities").alias("_theirs")), "doc_id", "left")
+    shared = F.size(F.array_intersect(F.coalesce("_mine", F.array().cast("array<string>")), F.coalesce("_theirs", F.array().cast("array<string>"))))
+    return pairs.select(*near.columns, "title", shared.alias("shared"))
+
+
 def verdicts(pairs: DataFrame, rules: Thresholds = Thresholds()) -> DataFrame:
     """Adds ``verdict`` to pairs with overall, context, decision, title and shared (number of shared entities)."""
     shared = F.coalesce("shared", F.lit(0))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import changeset, overlap, vocabulary
+from lodestone.operators import changeset, overlap, store, vocabulary
 from lodestone.plans.record_queries import read
+from lodestone.session import materialize
 
 
 def _current(s, d):
@@ -21,13 +22,23 @@ def _chunks(s, d):
     return read(s, d, "chunks").where((F.size("embedding") == 64) & usable).dropDuplicates(["chunk_id"]).select("chunk_id", "doc_id", "section_type", "embedding")
 
 
+def _titles(s, d):
+    """(doc_id, id, title, entities) of every live record; entities that aren't stored are found in its text."""
+    keep = F.max_by(F.struct("is_deleted", F.coalesce("metadata.title", F.lit("")).alias("title"), F.coalesce("entities", T.entities(F.coalesce("raw_content", F.lit("")))).alias("entities")), "revision")
+    live = read(s, d, "documents_parsed").groupBy("repo", "id").agg(keep.alias("c")).where("c.is_deleted = false")
+    return live.select(F.concat("repo", F.lit("/"), "id").alias("doc_id"), "id", "c.title", "c.entities")
+
+
 def _pairs(s, d):
     c = _chunks(s, d)
     drafts = c.where(F.expr("try_cast(regexp_extract(doc_id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0")).select(F.col("doc_id").alias("draft_id"), "section_type", "embedding")
-    near = overlap.similarities(drafts, c).where("draft_id <> doc_id").withColumn("title", F.lit(0.0)).withColumn("shared", F.lit(0))
+    near = overlap.similarities(drafts, c).where("draft_id <> doc_id")
     for k in ("overall", "context", "decision"):
         near = near.withColumn(k, F.round(k, 6))
-    return overlap.verdicts(near)
+    told = materialize(_titles(s, d).join(read(s, d, "chunks").select("doc_id").distinct(), "doc_id", "left_semi"), "titles")
+    mine = told.join(drafts.select("draft_id").distinct(), F.col("doc_id") == F.col("draft_id"), "left_semi").withColumnRenamed("doc_id", "draft_id")
+    titles = overlap.title_similarities(mine.select("draft_id", F.concat(F.lit("ADR: "), "title").alias("text")), told.select("doc_id", F.concat(F.lit("ADR "), "id", F.lit(": "), "title").alias("text")), store.HashingEmbedder)
+    return overlap.verdicts(overlap.with_evidence(near, titles.where("draft_id <> doc_id"), mine.select("draft_id", "entities"), told.select("doc_id", "entities")))
 
 
 def _diffs(s, d):

@@ -122,3 +122,16 @@ def test_verdicts(spark):
     judged = overlap.verdicts(df)
     assert {r.doc_id: r.verdict for r in judged.collect()} == {"a": "DUPLICATE_RISK", "b": "CONFLICT_RISK", "c": "EXTENSION_CANDIDATE", "e": "DUPLICATE_RISK"}
     assert overlap.draft_verdicts(judged).first().verdict == "DUPLICATE_RISK"
+
+
+def test_overlap_by_titles_and_shared_entities(spark):
+    from lodestone.operators import store
+
+    near = spark.createDataFrame([("a", "x", 0.71, 0.0, 0.0), ("a", "y", 0.71, 0.0, 0.0), ("a", "z", 0.0, 0.56, 0.2), ("a", "w", 0.1, 0.1, 0.1)], "draft_id string, doc_id string, overall double, context double, decision double")
+    mine = spark.createDataFrame([("a", ["kafka", "jwt"])], "draft_id string, entities array<string>")
+    theirs = spark.createDataFrame([("x", ["jwt", "kafka"]), ("y", ["kafka"]), ("z", ["jwt"]), ("w", ["jwt"]), ("v", None)], "doc_id string, entities array<string>")
+    titles = overlap.title_similarities(
+        spark.createDataFrame([("a", "Queue for billing events")], "draft_id string, text string"), spark.createDataFrame([("v", "Queue for billing events"), ("w", "Unlike name")], "doc_id string, text string"), store.HashingEmbedder
+    )
+    got = {r.doc_id: r.verdict for r in overlap.verdicts(overlap.with_evidence(near, titles, mine, theirs)).collect()}
+    assert got == {"x": "DUPLICATE_RISK", "y": "EXTENSION_CANDIDATE", "z": "CONFLICT_RISK", "v": "EXTENSION_CANDIDATE"}
