@@ -9,6 +9,7 @@ lineage at every level through a table in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -22,8 +23,8 @@ from lodestone.session import materialize
 INVERSE = {"OBSOLETES": "OBSOLETED_BY", "EXTENDS": "EXTENDED_BY", "AMENDS": "AMENDED_BY", "DEPENDS_ON": "REQUIRED_BY", "REFERENCES": "REFERENCED_BY"}
 #: List of a record's metadata to relation, and whether the record is its target.
 LISTS = (("supersedes", "OBSOLETES", False), ("superseded_by", "OBSOLETES", True), ("extends", "EXTENDS", False), ("amends", "AMENDS", False), ("depends_on", "DEPENDS_ON", False), ("required_by", "DEPENDS_ON", True))
-#: Levels after which a traversal stops; a chain this long is an error in the data.
-MOST_LEVELS = 50
+#: Levels whose tables are merged into one, so that plans don't grow with the depth.
+MERGE_LEVELS = 16
 
 
 def current(parsed: DataFrame) -> DataFrame:
@@ -69,32 +70,36 @@ def with_inverse(edge: DataFrame) -> DataFrame:
     return edge.unionByName(edge.select("repo", F.col("target").alias("source"), F.col("source").alias("target"), inverse.alias("type"), "explicit"))
 
 
-def traverse(starts: DataFrame, step: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def traverse(starts: DataFrame, step: DataFrame, levels: int | None = None) -> DataFrame:
     """(repo, start, id, depth, type): nodes reached from each start by ``step`` (repo, source, target, type).
 
     Depth is the least number of steps, type that of the edge by which the node was
     first reached (of several the smallest in name).  A start is not reached by itself;
-    cycles end.  Every level is one join, one aggregate and one anti join.
+    cycles end.  Every level is one join, one aggregate and one anti join; there are as
+    many as it takes until nothing new is reached, or ``levels``.
     """
     step = materialize(step.select("repo", F.col("source").alias("id"), F.col("target").alias("next"), "type"), "step")
     frontier = starts.select("repo", F.col("id").alias("start"), "id").distinct()
     seen = materialize(frontier.withColumn("depth", F.lit(0)).withColumn("type", F.lit(None).cast("string")), "level")
     frontier = seen
     reached = [seen]
-    for depth in range(1, levels + 1):
+    for depth in count(1) if levels is None else range(1, levels + 1):
         found = frontier.join(step.withColumnRenamed("type", "by"), ["repo", "id"]).groupBy("repo", "start", F.col("next").alias("id")).agg(F.min("by").alias("type"))
-        visited = reached[0]
-        for part in reached[1:]:
-            visited = visited.unionByName(part)
-        fresh = found.join(visited.select("repo", "start", "id"), ["repo", "start", "id"], "left_anti")
+        if len(reached) == MERGE_LEVELS:
+            reached = [materialize(_union(reached), "reached")]
+        fresh = found.join(_union(reached).select("repo", "start", "id"), ["repo", "start", "id"], "left_anti")
         frontier = materialize(fresh.select("repo", "start", "id", F.lit(depth).alias("depth"), "type"), "level")
         if frontier.isEmpty():
             break
         reached.append(frontier)
-    out = reached[0]
-    for part in reached[1:]:
-        out = out.unionByName(part)
-    return out.where("depth > 0")
+    return _union(reached).where("depth > 0")
 
 
 def dependencies(starts: DataFrame, edge: DataFrame, node: DataFrame) -> DataFrame:
@@ -110,8 +115,8 @@ def impact(starts: DataFrame, edge: DataFrame) -> DataFrame:
     back = edge.select("repo", F.col("target").alias("source"), F.col("source").alias("target"), "type")
     reached = traverse(starts, back.where(F.col("type").isin("DEPENDS_ON", "EXTENDS", "AMENDS")))
     deep = reached.groupBy("repo", "start").agg(F.count(F.when(F.col("depth") >= 2, 1)).alias("transitive"))
-    count = lambda *types: F.count(F.when(F.col("type").isin(*types), 1))
-    near = back.groupBy("repo", F.col("source").alias("start")).agg(count("DEPENDS_ON").alias("direct"), count("EXTENDS", "AMENDS").alias("extensions"), count("REFERENCES").alias("citations"))
+    n = lambda *types: F.count(F.when(F.col("type").isin(*types), 1))
+    near = back.groupBy("repo", F.col("source").alias("start")).agg(n("DEPENDS_ON").alias("direct"), n("EXTENDS", "AMENDS").alias("extensions"), n("REFERENCES").alias("citations"))
     all_ = starts.select("repo", F.col("id").alias("start")).distinct().join(near, ["repo", "start"], "left").join(deep, ["repo", "start"], "left").fillna(0, ["direct", "extensions", "citations", "transitive"])
     return all_.withColumn("score", 3 * F.col("direct") + 2 * F.col("extensions") + 1.5 * F.col("transitive"))
 
@@ -129,25 +134,42 @@ def successors(edge: DataFrame) -> DataFrame:
     return rows.select("repo", "id", "b.next", F.when(F.col("b.r") == 0, "OBSOLETED_BY").otherwise("AMENDED_BY").alias("relation"))
 
 
-def lineage(starts: DataFrame, edge: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+def _jumps(step: DataFrame) -> tuple[DataFrame, bool]:
+    """(repo, id, to, n, least): where each node of ``step`` (repo, id, next) ends, after how many steps, and the least node passed.
+
+    Steps are doubled each round, so a chain takes the logarithm of its length.  A node
+    without a step is an end; nodes that meet a cycle stay on it, and the second value
+    tells whether there are any.
+    """
+    at = materialize(step.select("repo", "id", F.col("next").alias("to"), F.lit(1).alias("n"), F.least("id", "next").alias("least")), "jump")
+    ids = step.select("repo", F.col("id").alias("to"))
+    open_, length = at.join(ids, ["repo", "to"], "left_semi").count(), 1
+    before = None
+    # as many open nodes as a round before: they all meet cycles, and after as many steps as there are nodes they are on them
+    while open_ and not (open_ == before and length >= open_):
+        ahead = at.select("repo", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("n").alias("n2"), F.col("least").alias("least2"))
+        at = materialize(at.join(ahead, ["repo", "to"], "left").select("repo", "id", F.coalesce("to2", "to").alias("to"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.least("least", "least2").alias("least")), "jump")
+        open_, before, length = at.join(ids, ["repo", "to"], "left_semi").count(), open_, 2 * length
+    return at, open_ > 0
+
+
+def lineage(starts: DataFrame, edge: DataFrame) -> DataFrame:
     """(repo, start, active, steps): each start's chain of successors to its end; a chain stops before it repeats."""
-    step = materialize(successors(edge), "successors")
-    done: list[DataFrame] = []
-    open_ = starts.select("repo", F.col("id").alias("start"), "id").distinct().withColumn("path", F.array("id"))
-    for _ in range(levels):
-        moved = open_.join(step.select("repo", "id", "next"), ["repo", "id"], "left")
-        go = F.col("next").isNotNull() & ~F.array_contains("path", F.col("next"))
-        moved = materialize(moved.withColumn("go", go), "lineage")
-        done.append(moved.where("NOT go").select("repo", "start", F.col("id").alias("active"), (F.size("path") - 1).alias("steps")))
-        open_ = moved.where("go").select("repo", "start", F.col("next").alias("id"), F.concat("path", F.array("next")).alias("path"))
-        if open_.isEmpty():
-            break
-    else:
-        done.append(open_.select("repo", "start", F.col("id").alias("active"), (F.size("path") - 1).alias("steps")))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    step = materialize(successors(edge).select("repo", "id", "next"), "successors")
+    ends, looped = _jumps(step)
+    ends = ends.select("repo", "id", F.col("to").alias("active"), F.col("n").alias("steps"))
+    if looped:
+        ring = materialize(ends.join(step.select("repo", F.col("id").alias("active")), ["repo", "active"], "left_semi").select("repo", F.col("active").alias("id")).distinct(), "ring")
+        inside = step.join(ring, ["repo", "id"], "left_semi")
+        named = _jumps(inside)[0].select("repo", "id", F.col("least").alias("ring"))
+        # the entry of a cycle ends the walk at the node before it, after a round less one step
+        last = inside.select("repo", F.col("next").alias("id"), F.col("id").alias("last")).join(named, ["repo", "id"]).join(named.groupBy("repo", "ring").agg((F.count(F.lit(1)) - 1).cast("int").alias("more")), ["repo", "ring"])
+        outside = _jumps(step.join(ring, ["repo", "id"], "left_anti"))[0].select("repo", "id", F.col("to").alias("entry"), F.col("n"))
+        walks = outside.unionByName(ring.select("repo", "id", F.col("id").alias("entry"), F.lit(0).alias("n")))
+        walks = walks.join(last.select("repo", F.col("id").alias("entry"), "last", "more"), ["repo", "entry"], "left")
+        ends = walks.select("repo", "id", F.coalesce("last", "entry").alias("active"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("steps"))
+    asked = starts.select("repo", F.col("id").alias("start"), "id").distinct()
+    return asked.join(ends, ["repo", "id"], "left").select("repo", "start", F.coalesce("active", "id").alias("active"), F.coalesce("steps", F.lit(0)).alias("steps"))
 
 
 def neighborhood(starts: DataFrame, edge: DataFrame, radius: int = 1) -> DataFrame:
@@ -155,7 +177,7 @@ def neighborhood(starts: DataFrame, edge: DataFrame, radius: int = 1) -> DataFra
     return traverse(starts, with_inverse(edge), radius).select("repo", "start", "id", "depth")
 
 
-def cycles(edge: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+def cycles(edge: DataFrame) -> DataFrame:
     """(repo, type, id, component): nodes on cycles of OBSOLETES or DEPENDS_ON, with the least node of their cycle.
 
     Nodes without an edge in or out are peeled off until none is left to peel; what
@@ -170,7 +192,7 @@ def cycles(edge: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
         if n == before:
             break
     keyed = rest.select(F.concat_ws("\u0001", "repo", "type").alias("repo"), "source", "target", F.lit("x").alias("type"))
-    reach = traverse(keyed.select("repo", F.col("source").alias("id")), keyed, levels).select("repo", "start", "id")
+    reach = traverse(keyed.select("repo", F.col("source").alias("id")), keyed).select("repo", "start", "id")
     # a start on a cycle reaches one of its predecessors
     loop = keyed.select("repo", F.col("source").alias("id"), F.col("target").alias("start")).join(reach.unionByName(keyed.select("repo", F.col("source").alias("start"), F.col("source").alias("id"))).distinct(), ["repo", "start", "id"], "left_semi")
     on = loop.select("repo", "start").distinct()

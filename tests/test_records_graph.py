@@ -135,3 +135,18 @@ def test_overlap_by_titles_and_shared_entities(spark):
     )
     got = {r.doc_id: r.verdict for r in overlap.verdicts(overlap.with_evidence(near, titles, mine, theirs)).collect()}
     assert got == {"x": "DUPLICATE_RISK", "y": "EXTENSION_CANDIDATE", "z": "CONFLICT_RISK", "v": "EXTENSION_CANDIDATE"}
+
+
+def test_graph_deeper_than_fifty(spark):
+    n = 52
+    name = lambda i: f"{i:04d}"
+    rows = [("r", name(i + 1), name(i), "OBSOLETES") for i in range(n)] + [("r", name(i), name(i + 1), "DEPENDS_ON") for i in range(n)] + [("r", name(n), name(0), "DEPENDS_ON")]
+    rows += [("s", name(i % 5 + 1), name(i), "OBSOLETES") for i in range(1, 6)] + [("s", name(1), "0900", "OBSOLETES"), ("s", "0900", "0901", "OBSOLETES"), ("s", "0950", "0950", "OBSOLETES")]
+    edge = spark.createDataFrame(rows, "repo string, source string, target string, type string").repartition(2).localCheckpoint()
+    start = spark.createDataFrame([("r", name(0)), ("r", name(n)), ("s", "0901"), ("s", "0003"), ("s", "0950"), ("s", "0999")], "repo string, id string")
+    got = {(r.repo, r.start): (r.active, r.steps) for r in graph.lineage(start, edge).collect()}
+    assert got == {("r", name(0)): (name(n), n), ("r", name(n)): (name(n), 0), ("s", "0901"): ("0005", 6), ("s", "0003"): ("0002", 4), ("s", "0950"): ("0950", 0), ("s", "0999"): ("0999", 0)}
+    deep = {(r.start, r.id): r.depth for r in graph.ancestors(start.where("repo = 'r'"), edge).collect()}
+    assert deep == {(name(n), name(i)): n - i for i in range(n)}
+    ring = edge.where("type = 'DEPENDS_ON'")
+    assert {(r.id, r.component) for r in graph.cycles(ring).collect()} == {(name(i), name(0)) for i in range(n + 1)}
