@@ -96,13 +96,13 @@ def lookup(vocabulary: DataFrame, term_or_phrase: str) -> DataFrame:
 def bond(texts: DataFrame, vocabulary: DataFrame, column: str = "text", most: int = MOST_PHRASES) -> DataFrame:
     """Replace admitted phrases of several words by their bonded terms, longest first, at word bounds, in any case.
 
-    Up to ``most`` phrases, those of most records, make one automaton that is broadcast;
-    its size is bounded by that number.  A larger vocabulary raises an error: cut it
-    first, since dropping phrases unsaid would change the texts.
+    Up to ``most`` phrases make one automaton that is broadcast; its size is bounded by
+    that number.  With more, the n-grams of the distinct texts meet the phrases by a join.
     """
-    phrases = vocabulary.where(F.contains("raw_phrase", F.lit(" "))).select("raw_phrase", "term").limit(most + 1).collect()
+    several = vocabulary.where(F.contains("raw_phrase", F.lit(" "))).select("raw_phrase", "term")
+    phrases = several.limit(most + 1).collect()
     if len(phrases) > most:
-        raise ValueError(f"the vocabulary has more than {most} phrases")
+        return _bond_by_join(texts, several, column)
     held = texts.sparkSession.sparkContext.broadcast({r["raw_phrase"]: r["term"] for r in phrases})
     at = texts.columns.index(column)
 
@@ -115,6 +115,34 @@ def bond(texts: DataFrame, vocabulary: DataFrame, column: str = "text", most: in
     return texts.mapInPandas(run, texts.schema)
 
 
+def _bond_by_join(texts: DataFrame, phrases: DataFrame, column: str) -> DataFrame:
+    """As `bond`, each text with the phrases that occur in it, found by a shuffle of its n-grams."""
+    longest = phrases.agg(F.max(F.size(F.split("raw_phrase", " "))).alias("n")).first()["n"] or 0
+    at = texts.columns.index(column)
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text in pdf["t"]:
+                words = [m.group().lower() for m in _WORD.finditer(text)]
+                found = {" ".join(words[i : i + n]) for n in range(2, longest + 1) for i in range(len(words) - n + 1)}
+                if found:
+                    yield pd.DataFrame({"t": text, "raw_phrase": sorted(found)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held, out = pdf["_phrases"], pdf.drop(columns="_phrases")
+            name = out.columns[at]
+            maps = [{p["raw_phrase"]: p["term"] for p in ps} if ps is not None else {} for ps in held]
+            yield out.assign(**{name: [bond_text(t, m, longest) for t, m in zip(out[name], maps)]})
+
+    keyed = texts.withColumn("_hash", F.sha2(column, 256))
+    distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("t")).distinct()
+    met = distinct.mapInPandas(grams, "t string, raw_phrase string").select(F.sha2("t", 256).alias("_hash"), "raw_phrase").join(phrases, "raw_phrase")
+    per_text = met.groupBy("_hash").agg(F.collect_list(F.struct("raw_phrase", "term")).alias("_phrases"))
+    joined = keyed.join(per_text, "_hash", "left").select(*texts.columns, "_phrases")
+    return joined.mapInPandas(run, texts.schema)
+
+
 _WORD = re.compile(r"[A-Za-z0-9_-]+")
 
 

@@ -57,7 +57,7 @@ def _files(s, d):
 QUERIES = {
     "vocabulary": lambda s, d: vocabulary.harvest(_current(s, d)).select("term", "doc_count", "total_occurrences", F.array_join("sources", "|").alias("sources")),
     "vocabulary_top": lambda s, d: vocabulary.top_terms(vocabulary.harvest(_current(s, d)), 2, 50).select("term", "doc_count", "total_occurrences"),
-    "phrase_bonding": lambda s, d: vocabulary.bond(read(s, d, "chunks").select("chunk_id", "text").distinct(), vocabulary.harvest(_current(s, d)).where("doc_count >= 20")),
+    "phrase_bonding": lambda s, d: vocabulary.bond(read(s, d, "chunks").select("chunk_id", "text").distinct(), vocabulary.harvest(_current(s, d))),
     "overlap_verdicts": lambda s, d: _pairs(s, d).select("draft_id", "doc_id", "overall", "context", "decision", "verdict"),
     "overlap_summary": lambda s, d: overlap.draft_verdicts(_pairs(s, d)),
     "diff_files": lambda s, d: _files(s, d).select("diff_id", F.col("file_ord").cast("bigint").alias("file_ord"), "path", "change_type", F.size("added").cast("bigint").alias("n_added"), F.size("deleted").cast("bigint").alias("n_deleted")),

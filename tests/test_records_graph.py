@@ -150,3 +150,17 @@ def test_graph_deeper_than_fifty(spark):
     assert deep == {(name(n), name(i)): n - i for i in range(n)}
     ring = edge.where("type = 'DEPENDS_ON'")
     assert {(r.id, r.component) for r in graph.cycles(ring).collect()} == {(name(i), name(0)) for i in range(n + 1)}
+
+
+def test_bonding_with_the_whole_vocabulary(spark, tmp_path):
+    from lodestone.plans import analysis_queries
+
+    texts = spark.createDataFrame([(1, "A Rate Limiter and an event bus."), (2, "rate\nlimiter"), (3, None), (4, "A Rate Limiter and an event bus.")], "n int, text string")
+    terms = spark.createDataFrame([("rate limiter", "rate_limiter"), ("event bus", "event_bus"), ("unseen thing", "unseen_thing"), ("word", "word")], "raw_phrase string, term string")
+    want = {1: "A rate_limiter and an event_bus.", 2: "rate_limiter", 3: None, 4: "A rate_limiter and an event_bus."}
+    assert {r.n: r.text for r in vocabulary.bond(texts, terms).collect()} == want
+    assert {r.n: r.text for r in vocabulary.bond(texts, terms, most=1).collect()} == want
+    meta = "named_struct('title', 'x') AS metadata, named_struct('context', '', 'decision', '', 'considered_options', '') AS sections"
+    spark.sql(f"SELECT 'r' AS repo, '1' AS id, 1 AS revision, 0 AS doc_ord, false AS is_deleted, '## Rate limiter' AS raw_content, {meta}").write.parquet(f"{tmp_path}/documents_parsed.parquet")
+    spark.sql("SELECT 'c' AS chunk_id, 'the rate limiter' AS text").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert analysis_queries.QUERIES["phrase_bonding"](spark, str(tmp_path)).first().text == "the rate_limiter"
