@@ -90,3 +90,12 @@ def test_ranks_by_cells_equal_one_window(spark):
     got = {r.chunk_id: r.n for r in search.row_number_by_cells(df, "query_id", "s", "chunk_id", -1.0, 1.0, "n").collect()}
     want = {c: n + 1 for n, (_, c, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
     assert got == want
+
+
+def test_text_queries_ask_with_the_whole_row(spark, tmp_path):
+    from lodestone.plans import search_queries
+
+    rows = [(20, "\n\nqueue of billing events", "en"), (1, "other first line\nbilling", "en"), (40, "title\nkafka broker", "en"), (2, "kafka", "en"), (3, "nothing alike", "en")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.query_id, r.doc_id): r.terms for r in search_queries.QUERIES["bm25_search"](spark, str(tmp_path)).collect()}
+    assert found[20, 1] == "billing" and found[40, 2] == "kafka" and set(found) == {(20, 20), (20, 1), (40, 40), (40, 2)}
