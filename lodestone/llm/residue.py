@@ -117,8 +117,6 @@ def _plain(segment: str) -> str:
 
 def _error_page(text: str) -> bool:
     """Whether the whole text is an error page, a failure's output or a notice, but for frames and one title."""
-    if len(text) > 1500:
-        return False
     body = re.sub(r"<[^<>]*>", "\n", text)
     if _JSON.match(body):
         body = "\n".join(re.findall(r'"(?:error|message|detail|title)"\s*:\s*"([^"]*)"', body)) or body

@@ -183,3 +183,10 @@ def test_held_out_recall():
     rows = [(f"host{i % 11}", f"The service keeps {i} days of history and the team reviews it each month. " * 4 + ("See <<date>> for it." if i % 5 == 0 else "")) for i in range(400)]
     report = residue.fit(rows).report
     assert report["recall"] == 1.0 and report["held_documents"] > 0
+
+
+def test_long_error_pages():
+    trace = "Traceback (most recent call last):\n" + "".join(f'  File "/srv/jobs/export_{i}.py", line {i}, in run\n' for i in range(90)) + "TimeoutError: page not rendered"
+    assert len(trace) > 1500 and residue.residue_kind(trace) == "error"
+    assert residue.residue_kind("<div>" * 400 + "ACCESS DENIED" + "</div>" * 400) == "error"
+    assert residue.residue_kind(trace + "\nThe team saw this 12 times in March, so exports now run at night. " * 9) is None
