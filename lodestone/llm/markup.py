@@ -31,8 +31,8 @@ HIDDEN, WORD_DIMS, PATH_DIMS = 16, 12, 12
 EPOCHS, RATE, BATCH = 8, 0.01, 32
 #: A missed residue leaf costs as much as so many false ones, whose texts are only checked once more.
 RESIDUE_WEIGHT = 8.0
-#: Leaves of one sequence; longer documents are read in runs of this many.
-RUN = 64
+#: Leaves, padding included, that are read at once; a longer document is read alone.
+SLOTS = 16_384
 
 # Tags of HTML and of wiki dialects.
 TAGS = (
@@ -380,7 +380,7 @@ def features(leaf: Leaf) -> np.ndarray:
     text = leaf.text
     words = text.lower().split()
     if words:
-        out[PATH_DIMS : PATH_DIMS + WORD_DIMS] = _WORDS[[zlib.crc32(w.encode("utf-8", "replace")) % len(_WORDS) for w in words[:64]]].mean(0)
+        out[PATH_DIMS : PATH_DIMS + WORD_DIMS] = _WORDS[[zlib.crc32(w.encode("utf-8", "replace")) % len(_WORDS) for w in words]].mean(0)
     at = PATH_DIMS + WORD_DIMS
     for k, c in enumerate(_SHAPES):
         if c in text:
@@ -482,16 +482,19 @@ class Labeller:
         return grads
 
     def label(self, documents: list[list[Leaf]]) -> list[np.ndarray]:
-        """Class probabilities of every leaf, read in runs of leaves of like length."""
-        runs = [(d, k, leaves_[k : k + RUN]) for d, leaves_ in enumerate(documents) for k in range(0, len(leaves_), RUN)]
+        """Class probabilities of every leaf; each document is one sequence, those of like length are read together."""
         out = [np.zeros((len(x), len(LABELS)), np.float32) for x in documents]
-        runs.sort(key=lambda r: len(r[2]))
-        for lo in range(0, len(runs), 256):
-            part = runs[lo : lo + 256]
-            x, mask = _padded([r[2] for r in part])
+        order = sorted((d for d, x in enumerate(documents) if x), key=lambda d: len(documents[d]))
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * len(documents[order[hi]]) <= SLOTS:
+                hi += 1
+            x, mask = _padded([documents[d] for d in order[lo:hi]])
             prob = self.probabilities(x, mask)
-            for r, (d, k, leaf) in enumerate(part):
-                out[d][k : k + len(leaf)] = prob[r, : len(leaf)]
+            for r, d in enumerate(order[lo:hi]):
+                out[d] = prob[r, : len(documents[d])]
+            lo = hi
         return out
 
 
@@ -534,7 +537,7 @@ def fit(documents: list[list[Leaf]], epochs: int = EPOCHS) -> Labeller:
     leaf got, in training or held out (a fiftieth of it, and at most 0.01).
     """
     model = Labeller.fresh()
-    runs = [d[k : k + RUN] for d in documents for k in range(0, len(d), RUN) if d[k : k + RUN]]
+    runs = [d for d in documents if d]
     held, train = [r for n, r in enumerate(runs) if n % 5 == 4], [r for n, r in enumerate(runs) if n % 5 != 4]
     train.sort(key=len)
     batches = []

@@ -190,3 +190,13 @@ def test_long_error_pages():
     assert len(trace) > 1500 and residue.residue_kind(trace) == "error"
     assert residue.residue_kind("<div>" * 400 + "ACCESS DENIED" + "</div>" * 400) == "error"
     assert residue.residue_kind(trace + "\nThe team saw this 12 times in March, so exports now run at night. " * 9) is None
+
+
+def test_labeller_reads_whole_documents():
+    doc = [markup.Leaf("md/p", f"Line {i} of the record", "paragraph") for i in range(150)]
+    model = markup.Labeller.fresh()
+    whole = model.probabilities(*markup._padded([doc]))[0]
+    got = model.label([doc[:3], [], doc])
+    assert np.allclose(got[2], whole, atol=1e-6) and got[0].shape == (3, len(markup.LABELS)) and not len(got[1])
+    long = " ".join(f"word{i}" for i in range(100))
+    assert not np.array_equal(markup.features(markup.Leaf("p", long, "paragraph")), markup.features(markup.Leaf("p", long[:-1] + "8", "paragraph")))
