@@ -89,7 +89,8 @@ class Corpus:
         named = self.documents.select(F.col("id").alias("doc_id"), F.concat(F.lit("ADR "), "id", F.lit(": "), F.coalesce("metadata.title", F.lit(""))).alias("text"))
         named = named.join(self.chunks.select("doc_id").distinct(), "doc_id", "left_semi")
         titles = overlap.title_similarities(drafts.select("draft_id", F.when(F.trim("title") != "", F.concat(F.lit("ADR: "), "title")).otherwise(F.coalesce(parts["summary"], F.lit(""))).alias("text")), named, self.make, rules.title[1])
-        return overlap.verdicts(overlap.with_evidence(overlap.similarities(asked, self.chunks), titles, mine, theirs, rules.admit), rules)
+        near = overlap.similarities(asked, self.chunks, rules.admit)
+        return overlap.verdicts(overlap.with_evidence(near, titles, mine, theirs, asked, self.chunks, rules.admit), rules)
 
     def get(self, id_or_path: str) -> DataFrame:
         return records.lookup(self.documents, id_or_path)

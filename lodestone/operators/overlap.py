@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,27 +27,101 @@ class Thresholds:
     admit: float = 0.5
 
 
-def similarities(drafts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(draft_id, doc_id, overall, context, decision) of every draft with every document.
+PARTS = ("summary", "context", "decision")
+#: Drafts of a group and documents of a bucket: what one task compares.
+GROUP_DRAFTS, BUCKET_DOCUMENTS = 8192, 16_384
+
+
+def _draft_rows(drafts: DataFrame) -> DataFrame:
+    """(draft_id, summary, context, decision): vectors of each draft; a section that it lacks is its summary."""
+    pivot = drafts.where(F.col("section_type").isin(*PARTS)).groupBy("draft_id").agg(*[F.max(F.when(F.col("section_type") == p, F.col("embedding"))).alias(p) for p in PARTS])
+    return pivot.select("draft_id", *[F.coalesce(p, "summary").alias(p) for p in PARTS])
+
+
+def _stack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors in double precision of a list column, and which rows have a finite one; unlike lengths count as none."""
+    column = column.combine_chunks()
+    offsets, valid = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    size = int(sizes[valid].max()) if valid.any() else 0
+    ok = valid & (sizes == size) & (size > 0)
+    out = np.zeros((len(column), max(1, size)))
+    rows = np.flatnonzero(ok)
+    if len(rows):
+        out[rows] = column.values.to_numpy(zero_copy_only=False)[offsets[rows][:, None] + np.arange(size)]
+    finite = np.isfinite(out).all(1)
+    out[~finite] = 0
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1), ok & finite
+
+
+_NEAR = "draft_id string, doc_id string, overall double, context double, decision double"
+
+
+def similarities(drafts: DataFrame, chunks: DataFrame, admit: float = Thresholds.admit) -> DataFrame:
+    """(draft_id, doc_id, overall, context, decision) of the pairs in which one of the three reaches ``admit``.
 
     ``drafts`` is (draft_id, section_type, embedding), ``chunks`` (chunk_id, doc_id,
     section_type, embedding).  Overall is the best of the draft's summary with any chunk;
     a document without a context or decision chunk is compared by its summary, a draft
     without that section by its own summary.  Missing similarities are 0.
+
+    Groups of drafts meet buckets of documents, each pair of them in one task of bounded
+    size; a document's chunks are reduced to three numbers before anything is returned.
     """
-    parts = ("summary", "context", "decision")
-    pivot = drafts.where(F.col("section_type").isin(*parts)).groupBy("draft_id").agg(*[F.max(F.when(F.col("section_type") == p, F.col("embedding"))).alias(p) for p in parts])
-    out = None
-    for part in parts:
-        asked = pivot.select("draft_id", F.coalesce(part, "summary").alias("embedding"))
-        against = chunks if part == "summary" else chunks.where(F.col("section_type").isin(part, "summary"))
-        scores = search.dense_scores(asked, against, "draft_id", carry=("doc_id", "section_type")).withColumnRenamed("query_id", "draft_id")
-        if part == "summary":
-            value = F.max("similarity")
-        else:
-            value = F.coalesce(F.max(F.when(F.col("section_type") == part, F.col("similarity"))), F.max(F.when(F.col("section_type") == "summary", F.col("similarity"))))
-        one = scores.groupBy("draft_id", "doc_id").agg(value.alias("overall" if part == "summary" else part))
-        out = one if out is None else out.join(one, ["draft_id", "doc_id"], "left")
+    asked = _draft_rows(drafts)
+    n_groups = max(1, -(-asked.count() // GROUP_DRAFTS))
+    n_buckets = max(1, -(-chunks.select("doc_id").distinct().count() // BUCKET_DOCUMENTS))
+    group, bucket = (lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), (lambda n: F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(group("draft_id", n_groups).alias("g"), F.explode(bucket(n_buckets)).alias("b"), "draft_id", *PARTS)
+    right = chunks.where(F.col("embedding").isNotNull()).select(F.explode(bucket(n_groups)).alias("g"), group("doc_id", n_buckets).alias("b"), "doc_id", "section_type", "embedding")
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        theirs = theirs.sort_by("doc_id").combine_chunks()
+        x, usable = _stack(theirs["embedding"])
+        theirs, x = theirs.filter(pa.array(usable)), x[usable]
+        docs = theirs["doc_id"].combine_chunks().dictionary_encode() if len(theirs) else pa.array([], pa.string()).dictionary_encode()
+        code, section = docs.indices.to_numpy(), np.array(theirs["section_type"].to_pylist(), object)
+        names, n = docs.dictionary, len(docs.dictionary)
+        vectors = [_stack(mine[p]) for p in PARTS]
+        a, c, out = [], [], []
+        step = max(1, 4_000_000 // max(1, len(x)))
+        for lo in range(0, len(mine) if n else 0, step):
+            best = []
+            for part, (q, has) in zip(PARTS, vectors):
+                q, has = q[lo : lo + step], has[lo : lo + step]
+                if q.shape[1] != x.shape[1]:
+                    best.append(np.zeros((len(q), n)))
+                    continue
+                s = np.clip(q @ x.T, -1, 1)
+                value = np.full((len(q), n), -np.inf)
+                for kind in (None,) if part == "summary" else ("summary", part):  # the section itself, where there is one, over the summary
+                    rows = np.flatnonzero(section == kind) if kind else np.arange(len(x))
+                    if len(rows):
+                        first = np.flatnonzero(np.concatenate([[True], code[rows][1:] != code[rows][:-1]]))
+                        value[:, code[rows][first]] = np.maximum.reduceat(s[:, rows], first, axis=1)
+                best.append(np.where(has[:, None] & np.isfinite(value), value, 0.0))
+            at, doc = np.nonzero(np.max(best, axis=0) >= admit - 1e-6)
+            a.append(at + lo)
+            c.append(doc)
+            out.append(np.stack([v[at, doc] for v in best]))
+        at, doc = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, c))
+        values = np.concatenate(out, axis=1) if out else np.zeros((3, 0))
+        return pa.table({"draft_id": mine["draft_id"].combine_chunks().take(pa.array(at)) if len(mine) else pa.array([], pa.string()), "doc_id": names.take(pa.array(doc)), **{k: pa.array(v) for k, v in zip(("overall", "context", "decision"), values)}}).cast(pa.schema([("draft_id", pa.string()), ("doc_id", pa.string()), *((k, pa.float64()) for k in ("overall", "context", "decision"))]))
+
+    return left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(run, _NEAR)
+
+
+def pair_similarities(pairs: DataFrame, drafts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As `similarities`, for given pairs (draft_id, doc_id), whatever their values."""
+    asked = pairs.select("draft_id", "doc_id").distinct().join(_draft_rows(drafts), "draft_id")
+    met = asked.join(chunks.select("doc_id", "section_type", "embedding"), "doc_id").withColumn("k", F.explode(F.array(*[F.lit(p) for p in PARTS])))
+    vector = F.when(F.col("k") == "summary", F.col("summary")).when(F.col("k") == "context", F.col("context")).otherwise(F.col("decision"))
+    fit = vector.isNotNull() & F.col("embedding").isNotNull() & (F.size(vector) == F.size("embedding"))
+    value = F.when(fit, search.cosine(F.when(fit, vector), F.when(fit, F.col("embedding"))))
+    scored = met.select("draft_id", "doc_id", "k", "section_type", value.alias("v"))
+    of = lambda k, section=None: F.max(F.when((F.col("k") == k) & (F.col("section_type") == section if section else F.lit(True)), F.col("v")))
+    out = scored.groupBy("draft_id", "doc_id").agg(of("summary").alias("overall"), *[F.coalesce(of(k, k), of(k, "summary")).alias(k) for k in PARTS[1:]])
     return out.fillna(0.0, ["overall", "context", "decision"])
 
 
@@ -60,12 +136,35 @@ def title_similarities(drafts: DataFrame, documents: DataFrame, make: Callable[[
     return search.dense_scores(asked, against, "draft_id", "doc_id", least=least).select(F.col("query_id").alias("draft_id"), F.col("chunk_id").alias("doc_id"), F.col("similarity").alias("title"))
 
 
-def with_evidence(near: DataFrame, titles: DataFrame, mine: DataFrame, theirs: DataFrame, admit: float = Thresholds().admit) -> DataFrame:
-    """Adds ``title`` and ``shared`` to pairs that can be admitted; pairs that only the titles bring come along.
+def shared_words(drafts: DataFrame, documents: DataFrame, least: float = Thresholds.title[1]) -> DataFrame:
+    """(draft_id, doc_id, title): as `title_similarities`, by the words that two titles share instead of by vectors.
 
-    ``mine`` is (draft_id, entities), ``theirs`` (doc_id, entities).
+    The cosine of the sets of lower-case words.  A pair of at least ``least`` shares one
+    of its rarest words: with n words in a title, one of the first n - ceil(least^2 n) + 1
+    by frequency.  Only these meet, each distinct title once.  Titles without a word
+    have no similarity.
+    """
+    word_list = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1))
+    both = drafts.select("text").unionByName(documents.select("text")).distinct().withColumn("words", word_list).where(F.size("words") > 0)
+    counts = both.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = both.select("text", F.explode("words").alias("word")).join(counts, "word").groupBy("text").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    prefix = F.slice("w", F.lit(1), F.size("w") - F.ceil(F.lit(least * least - 1e-9) * F.size("w")).cast("int") + 1)
+    rare = ranked.select("text", F.transform("w", lambda x: x["word"]).alias("words"), F.explode(prefix).alias("p")).select("text", "words", F.col("p.word").alias("word"))
+    mine = rare.join(drafts.select("text").distinct(), "text", "left_semi").select("word", F.col("text").alias("mine"), F.col("words").alias("a"))
+    theirs = rare.join(documents.select("text").distinct(), "text", "left_semi").select("word", F.col("text").alias("theirs"), F.col("words").alias("b"))
+    value = F.size(F.array_intersect("a", "b")) / F.sqrt(F.size("a") * F.size("b").cast("double"))
+    met = mine.join(theirs, "word").select("mine", "theirs", value.alias("title")).where(F.col("title") >= least).distinct()
+    return drafts.select("draft_id", F.col("text").alias("mine")).join(met, "mine").join(documents.select("doc_id", F.col("text").alias("theirs")), "theirs").select("draft_id", "doc_id", "title")
+
+
+def with_evidence(near: DataFrame, titles: DataFrame, mine: DataFrame, theirs: DataFrame, drafts: DataFrame, chunks: DataFrame, admit: float = Thresholds().admit) -> DataFrame:
+    """Adds ``title`` and ``shared`` to pairs that can be admitted; pairs that only the titles bring come along with their similarities.
+
+    ``mine`` is (draft_id, entities), ``theirs`` (doc_id, entities); ``drafts`` and
+    ``chunks`` are those of `similarities`.
     """
-    pairs = near.join(titles, ["draft_id", "doc_id"], "full").fillna(0.0, ["overall", "context", "decision", "title"])
+    only_titles = pair_similarities(titles.join(near, ["draft_id", "doc_id"], "left_anti"), drafts, chunks)
+    pairs = near.unionByName(only_titles).join(titles, ["draft_id", "doc_id"], "left").fillna(0.0, ["title"])
     pairs = pairs.where((F.greatest("overall", "context", "decision") >= admit) | (F.col("title") > 0))
     pairs = pairs.join(mine.select("draft_id", F.col("entities").alias("_mine")), "draft_id", "left").join(theirs.select("doc_id", F.col("entities").alias("_theirs")), "doc_id", "left")
     shared = F.size(F.array_intersect(F.coalesce("_mine", F.array().cast("array<string>")), F.coalesce("_theirs", F.array().cast("array<string>"))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import changeset, overlap, store, vocabulary
+from lodestone.operators import changeset, overlap, vocabulary
+from lodestone.plans.parser_queries import _ENTITIES
 from lodestone.plans.record_queries import read
 from lodestone.session import materialize
 
@@ -30,15 +31,17 @@ def _titles(s, d):
 
 
 def _pairs(s, d):
-    c = _chunks(s, d)
+    c = materialize(_chunks(s, d), "chunks")
     drafts = c.where(F.expr("try_cast(regexp_extract(doc_id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0")).select(F.col("doc_id").alias("draft_id"), "section_type", "embedding")
     near = overlap.similarities(drafts, c).where("draft_id <> doc_id")
+    near = near.select("draft_id", "doc_id", *[F.round(k, 6).alias(k) for k in ("overall", "context", "decision")])
+    told = materialize(_titles(s, d).join(c.select("doc_id").distinct(), "doc_id", "left_semi"), "titles")
+    mine = told.join(drafts.where(F.col("section_type").isin(*overlap.PARTS)).select("draft_id").distinct(), F.col("doc_id") == F.col("draft_id"), "left_semi").withColumnRenamed("doc_id", "draft_id")
+    titles = overlap.shared_words(mine.select("draft_id", F.col("title").alias("text")), told.select("doc_id", F.col("title").alias("text"))).where("draft_id <> doc_id")
+    pairs = overlap.with_evidence(near, titles, mine.select("draft_id", "entities"), told.select("doc_id", "entities"), drafts, c)
     for k in ("overall", "context", "decision"):
-        near = near.withColumn(k, F.round(k, 6))
-    told = materialize(_titles(s, d).join(read(s, d, "chunks").select("doc_id").distinct(), "doc_id", "left_semi"), "titles")
-    mine = told.join(drafts.select("draft_id").distinct(), F.col("doc_id") == F.col("draft_id"), "left_semi").withColumnRenamed("doc_id", "draft_id")
-    titles = overlap.title_similarities(mine.select("draft_id", F.concat(F.lit("ADR: "), "title").alias("text")), told.select("doc_id", F.concat(F.lit("ADR "), "id", F.lit(": "), "title").alias("text")), store.HashingEmbedder)
-    return overlap.verdicts(overlap.with_evidence(near, titles.where("draft_id <> doc_id"), mine.select("draft_id", "entities"), told.select("doc_id", "entities")))
+        pairs = pairs.withColumn(k, F.round(k, 6))
+    return overlap.verdicts(pairs)
 
 
 def _diffs(s, d):
@@ -74,11 +77,17 @@ dr AS (SELECT doc_id AS draft_id, max(CASE WHEN section_type = 'summary' THEN em
        FROM u WHERE CAST(regexp_extract(doc_id, '([0-9]+)$', 1) AS BIGINT) % 20 = 0 GROUP BY doc_id),
 q AS (SELECT draft_id, 'overall' AS k, s AS embedding FROM dr UNION ALL SELECT draft_id, 'context', coalesce(c, s) FROM dr UNION ALL SELECT draft_id, 'decision', coalesce(d, s) FROM dr),
 sc AS (SELECT a.draft_id, a.k, b.doc_id, b.section_type, coalesce(CASE WHEN list_sum(list_transform(b.embedding, lambda x: abs(x))) > 0 AND list_sum(list_transform(a.embedding, lambda x: abs(x))) > 0 THEN {_COS} ELSE 0.0 END, 0) AS v FROM q a JOIN z b ON a.draft_id <> b.doc_id WHERE a.embedding IS NOT NULL),
-p AS (SELECT draft_id, doc_id, max(CASE WHEN k = 'overall' THEN v END) AS overall,
+p AS (SELECT draft_id, doc_id, coalesce(max(CASE WHEN k = 'overall' THEN v END), 0) AS overall,
   coalesce(max(CASE WHEN k = 'context' AND section_type = 'context' THEN v END), max(CASE WHEN k = 'context' AND section_type = 'summary' THEN v END), 0) AS context,
   coalesce(max(CASE WHEN k = 'decision' AND section_type = 'decision' THEN v END), max(CASE WHEN k = 'decision' AND section_type = 'summary' THEN v END), 0) AS decision FROM sc GROUP BY 1, 2),
-j AS (SELECT *, CASE WHEN overall >= 0.75 OR (context >= 0.6 AND decision >= 0.55) THEN 'DUPLICATE_RISK' WHEN context >= 0.6 AND decision < 0.52 THEN 'CONFLICT_RISK'
-  WHEN overall >= 0.52 OR context >= 0.6 OR decision >= 0.55 THEN 'EXTENSION_CANDIDATE' ELSE 'NOVEL' END AS verdict FROM p WHERE overall IS NOT NULL AND (overall >= 0.5 OR context >= 0.5 OR decision >= 0.5))"""
+cur AS (SELECT repo, id, max(revision) AS revision FROM documents_parsed GROUP BY repo, id),
+told AS (SELECT DISTINCT d.repo || '/' || d.id AS doc_id, list_distinct(regexp_extract_all(lower(coalesce(d.metadata.title, '')), '[a-z0-9]+')) AS w, coalesce(d.entities, {_ENTITIES.replace("(t,", "(coalesce(d.raw_content, ''),")}) AS e
+  FROM documents_parsed d JOIN cur ON d.repo = cur.repo AND d.id = cur.id AND d.revision = cur.revision WHERE d.is_deleted = false AND d.repo || '/' || d.id IN (SELECT doc_id FROM u)),
+f AS (SELECT p.draft_id, p.doc_id, overall, context, decision, coalesce(len(list_intersect(a.w, b.w)) / sqrt(len(a.w) * len(b.w)), 0) AS t, len(list_intersect(list_distinct(coalesce(a.e, [])), list_distinct(coalesce(b.e, [])))) AS shared
+  FROM p LEFT JOIN told a ON a.doc_id = p.draft_id LEFT JOIN told b ON b.doc_id = p.doc_id),
+h AS (SELECT draft_id, doc_id, overall, context, decision, coalesce(t >= 0.78 OR (t >= 0.72 AND shared >= 1), false) AS high_title, overall >= 0.75 OR (overall >= 0.7 AND shared >= 2) AS high_overall, context >= 0.6 OR (context >= 0.55 AND shared >= 1) AS high_context FROM f),
+j AS (SELECT *, CASE WHEN (high_title AND (overall >= 0.55 OR context >= 0.4 OR decision >= 0.45)) OR high_overall OR (high_context AND decision >= 0.55) THEN 'DUPLICATE_RISK' WHEN high_context AND decision < 0.52 THEN 'CONFLICT_RISK'
+  WHEN overall >= 0.52 OR high_context OR decision >= 0.55 OR high_title THEN 'EXTENSION_CANDIDATE' ELSE 'NOVEL' END AS verdict FROM h WHERE overall >= 0.5 OR context >= 0.5 OR decision >= 0.5 OR high_title)"""
 _STOP = ", ".join(f"'{w}'" for w in (*T.STOP_WORDS, *T.GENERIC_WORDS))
 
 

@@ -60,13 +60,14 @@ start AS (SELECT repo, id FROM node WHERE CAST(id AS BIGINT) % 20 = 0)"""
 
 def _reach(step: str, starts: str = "start") -> str:
     return f"""r AS (
-  SELECT repo, id AS start, id, 0 AS depth FROM {starts}
-  UNION SELECT r.repo, r.start, s.target, r.depth + 1 FROM r JOIN ({step}) s ON s.repo = r.repo AND s.source = r.id WHERE r.depth < 50 AND s.target <> r.start
+  SELECT repo, id AS start, id, 0 AS depth, [id] AS path FROM {starts}
+  UNION SELECT r.repo, r.start, s.target, r.depth + 1, list_append(r.path, s.target) FROM r JOIN ({step}) s ON s.repo = r.repo AND s.source = r.id WHERE s.target <> r.start AND NOT list_contains(r.path, s.target)
 ), reach AS (SELECT repo, start, id, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY 1, 2, 3)"""
 
 
 _UP = "SELECT * FROM edge WHERE type IN ('DEPENDS_ON', 'EXTENDS', 'AMENDS')"
 _DOWN = "SELECT repo, target AS source, source AS target FROM edge WHERE type IN ('DEPENDS_ON', 'EXTENDS', 'AMENDS')"
+_REPLACED = "SELECT * FROM edge WHERE type = 'OBSOLETES'"
 
 ORACLE = {
     "graph_edges": f"WITH {_BASE} SELECT repo, source, target, type, explicit FROM edge",
@@ -79,7 +80,7 @@ near AS (SELECT repo, target AS start, count(CASE WHEN type = 'DEPENDS_ON' THEN
 SELECT s.repo, s.id AS start, coalesce(direct, 0) AS direct, coalesce(extensions, 0) AS extensions, coalesce(citations, 0) AS citations, coalesce(transitive, 0) AS transitive,
   CAST(3 * coalesce(direct, 0) + 2 * coalesce(extensions, 0) + 1.5 * coalesce(transitive, 0) AS DOUBLE) AS score
 FROM start s LEFT JOIN near ON near.repo = s.repo AND near.start = s.id LEFT JOIN deep ON deep.repo = s.repo AND deep.start = s.id""",
-    "graph_ancestors": f"WITH RECURSIVE {_BASE}, {_reach(chr(83) + 'ELECT * FROM edge WHERE type = ' + chr(39) + 'OBSOLETES' + chr(39))} SELECT repo, start, id, depth FROM reach",
+    "graph_ancestors": f"WITH RECURSIVE {_BASE}, {_reach(_REPLACED)} SELECT repo, start, id, depth FROM reach",
     "graph_lineage": f"""WITH RECURSIVE {_BASE},
 succ AS (SELECT repo, target AS id, arg_min(source, (CASE WHEN type = 'OBSOLETES' THEN 0 ELSE 1 END, source)) AS next FROM edge WHERE type IN ('OBSOLETES', 'AMENDS') GROUP BY 1, 2),
 c AS (SELECT repo, id AS start, id, [id] AS path FROM node UNION ALL SELECT c.repo, c.start, s.next, list_append(c.path, s.next) FROM c JOIN succ s ON s.repo = c.repo AND s.id = c.id WHERE NOT list_contains(c.path, s.next))

@@ -76,14 +76,14 @@ totals AS (SELECT count(*) AS n, avg(len(t)) AS avg_length FROM tok),
 postings AS (SELECT doc_id, len AS length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM tok) GROUP BY 1, 2, 3),
 freq AS (SELECT term, count(*) AS df, any_value(ln((n - df + 0.5) / (df + 0.5) + 1)) AS idf FROM (SELECT term, count(*) OVER (PARTITION BY term) AS df FROM postings), totals GROUP BY term),
 asked AS (
-  SELECT doc_id AS query_id, unnest(list_distinct(q)) AS term FROM (SELECT doc_id, {_tokens("regexp_extract(text, '^[^\\n]*')")} AS q FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0)
+  SELECT doc_id AS query_id, unnest(list_distinct(q)) AS term FROM (SELECT doc_id, {_tokens('text')} AS q FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0)
 ),
 scored AS (
   SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score, list(term) AS matched
   FROM asked JOIN postings USING (term) JOIN freq USING (term), totals GROUP BY 1, 2
 ),
 first_pos AS (
-  SELECT query_id, q, term, list_position(q, term) AS ord FROM (SELECT query_id, q, unnest(list_distinct(q)) AS term FROM (SELECT doc_id AS query_id, {_tokens("regexp_extract(text, '^[^\\n]*')")} AS q FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0))
+  SELECT query_id, q, term, list_position(q, term) AS ord FROM (SELECT query_id, q, unnest(list_distinct(q)) AS term FROM (SELECT doc_id AS query_id, {_tokens('text')} AS q FROM documents WHERE text IS NOT NULL AND doc_id % 20 = 0))
 ),
 terms AS (
   SELECT a.query_id, p.doc_id, string_agg(a.term, ' ' ORDER BY a.ord) AS terms FROM first_pos a JOIN postings p ON a.term = p.term GROUP BY 1, 2
