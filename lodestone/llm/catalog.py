@@ -37,6 +37,8 @@ QUERIES = {
     "p6_clean": lambda s, d: markup.clean_texts(_read(s, d, "documents_parsed")),
     "p6_clean_summaries": lambda s, d: markup.clean_summaries(_read(s, d, "documents_parsed")),
     "p7_found": lambda s, d: neighbors.similar_pairs(_read(s, d, "chunks")),
+    "p7_links": lambda s, d: neighbors.similar_links(_read(s, d, "chunks")),
+    "p7_groups": lambda s, d: neighbors.vector_groups(_read(s, d, "chunks")),
     "p7_nearest": lambda s, d: neighbors.nearest(_read(s, d, "chunks")),
     "p8_ids": lambda s, d: tokens.encode_corpus(_read(s, d, "documents")),
     "p9_mix": lambda s, d: _mixture(s, d),
@@ -46,6 +48,11 @@ QUERIES = {
     "p10_clean": lambda s, d: residue.without_residue(_read(s, d, "documents")).select("doc_id", "lang", "source", "text"),
 }
 
+_VECTORS = """v AS (
+  SELECT chunk_id, CAST(any_value(embedding) AS DOUBLE[]) AS e FROM chunks
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY chunk_id
+)"""
+
 ORACLE = {
     "p2_found": """
 WITH cur AS (SELECT repo, id, max(revision) AS revision FROM documents_parsed GROUP BY repo, id),
@@ -85,4 +92,10 @@ wins AS (
   GROUP BY 1, 2
 )
 SELECT query_id, chunk_id FROM wins JOIN n USING (query_id) WHERE won = n - 1""",
+    "p7_found": f"""WITH {_VECTORS}
+SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM v a JOIN v b ON a.chunk_id < b.chunk_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
+    "p7_groups": f"""WITH {_VECTORS}, g AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY e) AS rep, count(*) OVER (PARTITION BY e) AS n FROM v)
+SELECT rep, chunk_id AS id FROM g WHERE n > 1""",
+    "p7_links": f"""WITH {_VECTORS}, r AS (SELECT min(chunk_id) AS id, e FROM v GROUP BY e)
+SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.9""",
 }

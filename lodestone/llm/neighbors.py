@@ -1,19 +1,19 @@
 """Most similar vectors for every vector: robust-pruned directed graphs over shards.
 
-Vectors are routed to the cells of up to ``MOST_CELLS`` centroids.  A cell is one
-shard, or several by hash if it is large.  In each shard a directed graph is built by
-prefix doubling: the next points search the graph that stands so far, their finds are
-pruned so that kept edges point in different directions (an edge is dropped where a
-kept neighbour is nearer to its end by a factor), and reverse edges are added under
-the same rule.  Every vector then searches its own cell and the next best ones by
-beam search.  All searches of a shard advance in step as array operations.
+Vectors are routed to the cells of centroids; a cell that got too many is cut again
+by centroids of its own.  In each shard a directed graph is built by prefix doubling:
+the next points search the graph that stands so far, their finds are pruned so that
+kept edges point in different directions (an edge is dropped where a kept neighbour is
+nearer to its end by a factor), and reverse edges are added under the same rule.  Every
+vector then searches its own cell, starting at its own node, and other cells from an
+entry layer of about the square root of the shard.  All searches of a shard advance in
+step as array operations.  Equal vectors are one node.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,23 +21,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.session import salted_join
+
 DIMENSIONS = 64
-#: Vectors that the centroids are fitted on, at most; all vectors are indexed.
+#: Vectors that the centroids of a level, or of a cell, are fitted on, at most; all vectors are indexed.
 SAMPLE_VECTORS = 20_000
-#: Vectors a cell should hold, and the most cells there are; larger cells are cut into shards.
-CELL_ROWS, MOST_CELLS = 4096, 4096
-#: Vectors that one shard indexes, about.
-SHARD_ROWS = 8192
-#: A search first compares one node in so many, evenly spaced, and starts from the best of them.
-ENTRY_STEP, ENTRIES = 2, 8
-#: Out-degree, beam width, nodes a search expands at once, and the relaxation of the pruning rule.
-DEGREE, BEAM, EXPAND, ALPHA = 16, 24, 4, 1.2
-QUERY_BLOCK = 512
+#: Vectors a cell should hold, and the centroids of a level at most.
+CELL_ROWS, MOST_CELLS = 4096, 1024
+#: How many times ``CELL_ROWS`` a cell may hold before it is cut by centroids of its own.
+CUT_AT = 4
+#: A vector also searches the cells whose border it is no farther from than this, see `_cells`.
+MARGIN = 0.12
+#: The entry layer has this many times the square root of a shard's nodes; a search starts from the best few.
+ENTRY_FACTOR, ENTRIES = 4, 8
+#: Out-degree, beam width of the build, nodes a search expands at once, and the relaxation of the pruning rule.
+DEGREE, BEAM, EXPAND, ALPHA = 32, 96, 8, 1.2
+#: Beam width of the searches that tell which vectors have a similar one.
+PROBE_BEAM = 40
+QUERY_BLOCK = 64
 #: Single precision may miss the threshold by this much.
 SLACK = 1e-4
-#: Candidate pairs of vectors, and pairs of rows, that are held at once when all above a threshold are wanted.
-PAIR_BLOCK, ROW_BLOCK = 1 << 16, 1 << 20
+#: Candidate pairs that are held at once when all above a threshold are wanted.
+PAIR_BLOCK = 1 << 16
 MOST_TASKS = 20_000
+#: Rows of a cell that one task cuts into its finer cells.
+CUT_ROWS = 200_000
 
 
 def usable(column: pa.Array, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
@@ -80,35 +88,40 @@ def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` best nodes found for each query, best first; -1 where fewer were found.
 
-    ``starts`` are distinct nodes per query (-1 for none).  Each step expands the
-    ``EXPAND`` best nodes not yet expanded, until the beam holds none.
+    ``starts`` are nodes per query (-1 for none).  Each step expands the ``EXPAND`` best
+    nodes not yet expanded, until the beam holds none.  A bitmap per query tells what it
+    has seen, so a node is compared once.
     """
-    n, width = len(queries), max(beam, starts.shape[1])
-    sims = np.where(starts >= 0, np.matmul(x[starts], queries[:, :, None])[:, :, 0], -np.inf)
-    pad = width - starts.shape[1]
-    ids = np.pad(starts.astype(np.int64), ((0, 0), (0, pad)), constant_values=-1)
-    sims = np.pad(sims, ((0, 0), (0, pad)), constant_values=-np.inf).astype(np.float32)
-    ids, sims, _ = _top(ids, sims, beam)
-    done = ids < 0
-    live = np.arange(n)
+    n, none = len(queries), len(x)
+    seen = np.zeros((n, none + 1), bool)
+    ids, sims, done = np.full((n, beam), -1, np.int32), np.full((n, beam), -np.inf, np.float32), np.ones((n, beam), bool)
+    seen[:, none] = True
+    live, near = np.arange(n), starts.astype(np.int32)
     while len(live):
-        a_ids, a_sims, a_done = ids[live], sims[live], done[live]
-        open_ = ~a_done
-        turn = np.cumsum(open_, 1)
-        pick = open_ & (turn <= EXPAND)
-        a_done |= pick
-        slot = np.full((len(live), EXPAND), -1, np.int64)
-        r, c = np.nonzero(pick)
-        slot[r, turn[r, c] - 1] = a_ids[r, c]
-        near = np.where(slot[:, :, None] >= 0, graph[slot], -1).reshape(len(live), -1)
+        near[near < 0] = none
         near.sort(1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near[(near[:, :, None] == a_ids[:, None, :]).any(2)] = -1
-        new = np.where(near >= 0, np.matmul(x[near], queries[live][:, :, None])[:, :, 0], -np.inf).astype(np.float32)
-        a_ids, a_sims, order = _top(np.concatenate([a_ids, near], 1), np.concatenate([a_sims, new], 1), beam)
-        a_done = np.take_along_axis(np.concatenate([a_done, near < 0], 1), order, 1) | (a_sims == -np.inf)
-        ids[live], sims[live], done[live] = a_ids, a_sims, a_done
-        live = live[~a_done.all(1)]
+        row = live[:, None]
+        fresh = ~seen[row, near]
+        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+        seen[row, near] = True
+        r, c = np.nonzero(fresh)
+        new = np.full(near.shape, -np.inf, np.float32)
+        new[r, c] = np.einsum("nd,nd->n", x[near[r, c]], queries[live[r]])
+        all_sims = np.concatenate([sims[live], new], 1)
+        top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(all_sims, top, 1), axis=1), 1)
+        a_sims = np.take_along_axis(all_sims, top, 1)
+        a_ids = np.take_along_axis(np.concatenate([ids[live], near], 1), top, 1)
+        a_done = np.take_along_axis(np.concatenate([done[live], np.zeros(near.shape, bool)], 1), top, 1) | (a_sims == -np.inf)
+        turn = np.cumsum(~a_done, 1)
+        pick = ~a_done & (turn <= EXPAND)
+        ids[live], sims[live], done[live] = a_ids, a_sims, a_done | pick
+        more = np.flatnonzero(pick.any(1))
+        slot = np.full((len(more), EXPAND), -1, np.int32)
+        r, c = np.nonzero(pick[more])
+        slot[r, turn[more][r, c] - 1] = a_ids[more][r, c]
+        near = np.where(slot[:, :, None] >= 0, graph[slot], -1).reshape(len(more), EXPAND * graph.shape[1])
+        live = live[more]
     return np.where(sims > -np.inf, ids, -1), sims
 
 
@@ -131,7 +144,7 @@ def robust_prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> np.ndarray:
     """Neighbours of each node, -1 where there are fewer; nodes are inserted in the order of ``x``."""
     n = len(x)
-    graph = np.full((n, degree), -1, np.int64)
+    graph = np.full((n, degree), -1, np.int32)
     base = min(n, 256)
     done = 0
     while done < n:
@@ -152,9 +165,9 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> np.nda
     return graph
 
 
-def entries(x: np.ndarray, queries: np.ndarray, step: int = ENTRY_STEP, keep: int = ENTRIES) -> np.ndarray:
-    """The best few of evenly spaced nodes to start each query from."""
-    nodes = np.arange(0, len(x), step if len(x) > 64 * step else 1)
+def entries(x: np.ndarray, queries: np.ndarray, keep: int = ENTRIES) -> np.ndarray:
+    """The best few nodes of the entry layer, about ``ENTRY_FACTOR`` times the root of all, to start each query from."""
+    nodes = np.arange(0, len(x), max(1, int(len(x) / (ENTRY_FACTOR * np.sqrt(len(x))))))
     s = queries @ x[nodes].T
     k = min(keep, len(nodes))
     return nodes[np.argpartition(-s, k - 1, axis=1)[:, :k]]
@@ -183,46 +196,51 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, fresh: np.ndarray, degree: in
         graph[at] = robust_prune(x, cand, s, degree)
 
 
-def search_shard(x: np.ndarray, home: np.ndarray, queries: np.ndarray, beam: int = BEAM, degree: int = DEGREE, step: int = ENTRY_STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Build a shard's graph and search it for all ``queries``.
+def search_shard(x: np.ndarray, home: np.ndarray, queries: np.ndarray, beam: int = BEAM, degree: int = DEGREE, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Build a shard's graph with a beam of ``beam`` and search it for all ``queries`` with one of ``width``.
 
     ``home`` is the node of each query that is itself in the shard, else -1: such a
-    search starts at its own node besides the entries.  With ``step`` 1 every node is
-    compared as an entry, so the best one is found for certain.
+    search starts at its own node, whose neighbours the build has found; all others
+    start at the entry layer.
     """
+    width = width or beam
     graph = build_graph(x, degree, beam)
-    ids, sims = np.full((len(queries), beam), -1, np.int64), np.full((len(queries), beam), -np.inf, np.float32)
-    for lo in range(0, len(queries), QUERY_BLOCK):
-        q, own = queries[lo : lo + QUERY_BLOCK], home[lo : lo + QUERY_BLOCK]
-        starts = entries(x, q, step)
-        starts = np.where(starts == own[:, None], -1, starts)
-        found = beam_search(x, graph, q, np.concatenate([own[:, None], starts], 1), beam)
-        ids[lo : lo + len(q)], sims[lo : lo + len(q)] = found
+    ids, sims = np.full((len(queries), width), -1, np.int64), np.full((len(queries), width), -np.inf, np.float32)
+    for own in (True, False):
+        asked = np.flatnonzero((home >= 0) == own)
+        for lo in range(0, len(asked), QUERY_BLOCK):
+            at = asked[lo : lo + QUERY_BLOCK]
+            starts = home[at][:, None] if own else entries(x, queries[at])
+            ids[at], sims[at] = beam_search(x, graph, queries[at], starts, width)
     return ids, sims
 
 
 @dataclass(frozen=True)
 class Routing:
-    """Centroids and the number of shards that each cell is cut into."""
+    """Centroids, how many vectors each has, and the shards by hash of each where it can't be cut otherwise."""
 
     centers: np.ndarray
+    sizes: np.ndarray
     shards: np.ndarray
 
 
-def fit_routing(vectors: DataFrame, key: str = "chunk_id", column: str = "embedding") -> Routing:
+def _sample(rows: DataFrame, n: int, key: str, most: int) -> DataFrame:
+    """About ``most`` of ``n`` rows, drawn by a hash of the key."""
+    return rows.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1_000_000)) < int(min(1.0, most / max(1, n)) * 1_000_000) + 1)
+
+
+def fit_routing(vectors: DataFrame, key: str = "chunk_id", column: str = "embedding", cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS) -> Routing:
     """Fit centroids on at most ``SAMPLE_VECTORS`` rows drawn by a hash of the key, then count every cell."""
     spark = vectors.sparkSession
     n = vectors.count()
-    part = min(1.0, SAMPLE_VECTORS / max(1, n))
-    drawn = vectors.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select(key, column).limit(SAMPLE_VECTORS).toArrow()
-    table = drawn.sort_by(key).combine_chunks()
+    table = _sample(vectors, n, key, SAMPLE_VECTORS).select(key, column).limit(SAMPLE_VECTORS).toArrow().sort_by(key).combine_chunks()
     chunk = table[column].combine_chunks() if len(table) else pa.array([], pa.list_(pa.float32()))
     x = unit(usable(chunk)[1])
     if not len(x):
-        return Routing(np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64))
+        return Routing(np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))
     x = x[np.lexsort(x.T[:4])]
-    centers = fit_centroids(x, min(MOST_CELLS, -(-n // CELL_ROWS)))
-    held = spark.sparkContext.broadcast(centers)
+    centers = fit_centroids(x, min(most_cells, -(-n // cell_rows)))
+    held = spark.sparkContext.broadcast(centers)  # at most MOST_CELLS rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(held.value), np.int64)
@@ -234,150 +252,249 @@ def fit_routing(vectors: DataFrame, key: str = "chunk_id", column: str = "embedd
     sizes = np.zeros(len(centers), np.int64)
     for r in rows:
         sizes[r["cell"]] = r["n"]
-    return Routing(centers, np.maximum(1, -(-sizes // SHARD_ROWS)))
+    return Routing(centers, sizes, np.ones(len(centers), np.int64))
+
+
+def _cells(u: np.ndarray, centers: np.ndarray, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors search which cells, as (vector, cell), each vector's own cell first.
+
+    A cell is searched if its border with the own cell is within ``margin``: for a
+    vector u, own centre a and other centre b that distance is u(a - b) / |a - b|.  At
+    least ``probes`` cells are searched, those of the nearest borders.
+    """
+    s = u @ centers.T
+    own, at = s.argmax(1), np.arange(len(u))
+    square = (centers**2).sum(1)
+    apart = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * (centers @ centers.T), 1e-6))
+    gap = (s[at, own][:, None] - s) / apart[own]
+    gap[at, own] = -1.0
+    if len(u) and probes > 1:
+        k = min(probes, len(centers))
+        margin = np.maximum(margin, np.partition(gap, k - 1, axis=1)[:, k - 1 : k])
+    r, c = np.nonzero(gap <= margin)
+    order = np.lexsort((c, gap[r, c], r))
+    return r[order], c[order]
+
+
+_ROWS = "cell bigint, id string, v binary, h bigint, home boolean"
 
 
-def _routed(vectors: DataFrame, routing: Routing, probes: int, key: str, column: str) -> DataFrame:
-    """(shard, key, raw vector, indexed): a row for the shard that indexes a vector and for each that it searches."""
-    held = vectors.sparkSession.sparkContext.broadcast(routing)
+def _emit(cell: np.ndarray, ids: pa.Array, v: pa.Array, h: np.ndarray, home: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), ids.take(at).cast(pa.string()), v.take(at).cast(pa.binary()), pa.array(h[row]), pa.array(home)], ["cell", "id", "v", "h", "home"])
+
+
+def _routed(vectors: DataFrame, routing: Routing, margin: float, probes: int, key: str, column: str) -> DataFrame:
+    """(cell, id, v, h, home): a row for the cell that indexes a vector and for each that it searches besides."""
+    held = vectors.sparkSession.sparkContext.broadcast(routing.centers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = held.value
-        first = np.concatenate([[0], np.cumsum(r.shards)])
         for b in batches:
             rows, raw = usable(b.column(1))
-            if not len(rows):
-                continue
-            s = unit(raw) @ r.centers.T
-            k = min(probes, s.shape[1])
-            cells = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            salt = b.column(2).to_numpy(zero_copy_only=False)[rows] % r.shards[cells[:, 0]]
-            owner = np.repeat(np.arange(len(rows)), r.shards[cells].sum(1))
-            cell = cells.ravel()
-            parts = r.shards[cell]
-            shard = np.repeat(first[cell], parts) + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            indexed = shard == (first[cells[:, 0]] + salt)[owner]
-            packed = pa.array([v.tobytes() for v in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), b.column(0).take(pa.array(rows)).take(pa.array(owner)), packed.take(pa.array(owner)), pa.array(indexed)], ["shard", "id", "v", "indexed"])
-
-    spread = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    return vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), column, spread.alias("h")).mapInArrow(run, "shard int, id string, v binary, indexed boolean")
-
-
-def _candidates(u: np.ndarray, nodes: np.ndarray, home: np.ndarray, beam: int, degree: int, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a query and a node, both as places in ``u``, without a vector's pair with itself; a query's pairs come together, unless ``least`` is given.
+            for lo in range(0, len(rows), 4096):
+                part = raw[lo : lo + 4096]
+                r, c = _cells(unit(part), held.value, margin, probes)
+                packed = pa.array([v.tobytes() for v in part], pa.binary())
+                h = b.column(2).to_numpy(zero_copy_only=False)[rows[lo : lo + 4096]]
+                yield _emit(c, b.column(0).take(pa.array(rows[lo : lo + 4096])), packed, h, np.concatenate([[True], r[1:] != r[:-1]]), r)
+
+    return vectors.select(F.col(key).alias("id"), column, F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h")).mapInArrow(run, _ROWS)
+
+
+def _unpack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+
+
+def _refined(routed: DataFrame, routing: Routing, margin: float, probes: int, cell_rows: int) -> DataFrame:
+    """``routed`` with every cell of more than ``CUT_AT`` times ``cell_rows`` vectors cut by centroids of its own.
+
+    The centroids of such a cell are fitted on a sample of at most ``SAMPLE_VECTORS`` of
+    its vectors in one task, and its rows are cut in as many tasks as it has
+    ``CUT_ROWS``; nothing goes to the driver.  What even they can't cut (vectors of one
+    direction) is spread over shards by hash, all of which are searched.
+    """
+    limit = CUT_AT * cell_rows
+    big = np.flatnonzero(routing.sizes > limit)
+    if not len(big):
+        return routed
+    spark = routed.sparkSession
+    plan = spark.createDataFrame([(int(c), int(routing.sizes[c]), float(min(1.0, SAMPLE_VECTORS / routing.sizes[c])), int(-(-routing.sizes[c] // CUT_ROWS))) for c in big], "cell bigint, n bigint, share double, tasks int")
+    mine = routed.join(F.broadcast(plan), "cell")  # at most MOST_CELLS rows
+
+    def fit(table: pa.Table) -> pa.Table:
+        n = table["n"][0].as_py()
+        x = unit(_unpack(table["v"]))
+        x = x[np.lexsort(x.T[:4])]
+        centers = fit_centroids(x, min(MOST_CELLS, -(-n // cell_rows)))
+        share = np.bincount((x @ centers.T).argmax(1), minlength=len(centers)) / len(x)
+        shards = np.maximum(1, np.ceil(share * n / limit)).astype(np.int64)
+        return pa.table({"cell": [table["cell"][0].as_py()], "centers": [centers.tobytes()], "shards": [shards.tolist()]}, pa.schema([("cell", pa.int64()), ("centers", pa.binary()), ("shards", pa.list_(pa.int64()))]))
+
+    drawn = mine.where("home").where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("cell", "n", "v")
+    fitted = drawn.groupBy("cell").applyInArrow(fit, "cell bigint, centers binary, shards array<bigint>")
+
+    def cut(rows: pa.Table, finer: pa.Table) -> pa.Table:
+        out = []
+        if len(rows) and len(finer):
+            centers, shards, base = np.frombuffer(finer["centers"][0].as_py(), np.float32).reshape(-1, DIMENSIONS), np.array(finer["shards"][0].as_py()), rows["cell"][0].as_py()
+            first = np.concatenate([[0], np.cumsum(shards)])
+            for b in rows.combine_chunks().to_batches(max_chunksize=4096):
+                own, h = b.column("home").to_numpy(zero_copy_only=False), b.column("h").to_numpy()
+                r, c = _cells(unit(_unpack(b.column("v"))), centers, margin, probes)
+                lead = np.concatenate([[True], r[1:] != r[:-1]])
+                parts = shards[c]
+                again = np.repeat(np.arange(len(r)), parts)
+                shard = first[c][again] + np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                home = lead[again] & own[r[again]] & (shard == (first[c] + h[r] % parts)[again])
+                out.append(_emit((base + 1 << 32) + shard, b.column("id"), b.column("v"), h, home, r[again]))
+        schema = pa.schema([("cell", pa.int64()), ("id", pa.string()), ("v", pa.binary()), ("h", pa.int64()), ("home", pa.bool_())])
+        return pa.Table.from_batches(out).cast(schema) if out else schema.empty_table()
+
+    parted = mine.withColumn("task", F.pmod("h", "tasks"))
+    copies = fitted.join(F.broadcast(plan), "cell").withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks").cast("bigint") - 1))).select("cell", "task", "centers", "shards")
+    finer = parted.select("cell", "task", "id", "v", "h", "home").groupBy("cell", "task").cogroup(copies.groupBy("cell", "task")).applyInArrow(cut, _ROWS)
+    return routed.join(F.broadcast(plan.select("cell")), "cell", "left_anti").select("cell", "id", "v", "h", "home").unionByName(finer)
+
+
+def _candidates(u: np.ndarray, nodes: np.ndarray, home: np.ndarray, beam: int, degree: int, least: float | None, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a query and a node, both as places in ``u``, without a vector's pair with itself; a query's pairs come together.
 
     With ``least``, a beam can't hold every node above it: each query for which the
     search found any such node is compared with the whole shard.
     """
-    found, sims = search_shard(u[nodes], home, u, beam, degree, ENTRY_STEP if least is None else 1)
+    found, sims = search_shard(u[nodes], home, u, beam, degree, PROBE_BEAM if least is not None else max(beam, 2 * k))
     real = (found >= 0) & (found != home[:, None])
     if least is None:
         left, at = np.nonzero(real)
         yield left, nodes[found[left, at]]
         return
     near = np.flatnonzero((real & (sims >= least - SLACK)).any(1))
-    rows = max(1, PAIR_BLOCK // len(nodes))
+    rows = max(1, (1 << 22) // len(nodes))
     for lo in range(0, len(near), rows):
         q = near[lo : lo + rows]
         r, c = np.nonzero(u[q] @ u[nodes].T >= least - SLACK)
         other = c != home[q][r]
-        yield q[r[other]], nodes[c[other]]
+        for at in range(0, int(other.sum()), PAIR_BLOCK):
+            yield q[r[other]][at : at + PAIR_BLOCK], nodes[c[other]][at : at + PAIR_BLOCK]
 
 
-def _shard_pairs(table: pa.Table, beam: int, degree: int, least: float | None, k: int | None) -> Iterator[pa.RecordBatch]:
+def _shard_pairs(table: pa.Table, beam: int, degree: int, least: float | None, k: int) -> Iterator[pa.RecordBatch]:
     """A shard's finds as (a, b, similarity): the k best per query, or all at or above ``least``."""
     ids = table["id"].combine_chunks()
-    codes = ids.dictionary_encode()
-    names, code = codes.dictionary, codes.indices.to_numpy()
-    indexed = table["indexed"].to_numpy(zero_copy_only=False)
-    _, keep = np.unique(code, return_index=True)  # repeated rows once
-    raw = np.frombuffer(b"".join(table["v"].combine_chunks().take(pa.array(keep)).to_pylist()), np.float32).reshape(-1, DIMENSIONS)
-    code, indexed = code[keep], indexed[keep]
-    # equal vectors are one node and one query
-    same, inverse = np.unique(np.ascontiguousarray(raw).view(np.dtype((np.void, raw.shape[1] * 4))).ravel(), return_inverse=True)
-    distinct = np.frombuffer(same.tobytes(), np.float32).reshape(-1, DIMENSIONS)
-    u = unit(distinct)
-    in_index = np.zeros(len(u), bool)
-    in_index[inverse[indexed]] = True
-    nodes = np.random.default_rng(1).permutation(np.flatnonzero(in_index))
+    wide = _unpack(table["v"]).astype(np.float64)
+    indexed = table["home"].to_numpy(zero_copy_only=False)
+    norm = np.sqrt((wide**2).sum(1))
+    u = (wide / norm[:, None]).astype(np.float32)
+    order = np.argsort(np.array(ids.to_pylist(), object), kind="stable")  # a shard's graph doesn't depend on the order of its rows
+    nodes = np.random.default_rng(1).permutation(order[indexed[order]])
     if not len(nodes):
         return
     home = np.full(len(u), -1, np.int64)
     home[nodes] = np.arange(len(nodes))
-    wide = distinct.astype(np.float64)
-    norm = np.sqrt((wide**2).sum(1))
-    # from vectors to the rows that have them; only indexed rows are matches
-    by_query = np.argsort(inverse, kind="stable")
-    q_first = np.searchsorted(inverse[by_query], np.arange(len(u) + 1))
-    own = by_query[indexed[by_query]]
-    n_first = np.searchsorted(inverse[own], np.arange(len(u) + 1))
-    found = _candidates(u, nodes, home, beam, degree, least)
-    # a vector is its own best match: that is what pairs equal vectors
-    if least is None:
-        left, right = next(found)
-        found = iter([(np.concatenate([left, nodes]), np.concatenate([right, nodes]))])
-    else:
-        found = chain(found, [(nodes, nodes)])
-    for left, right in found:
+    for left, right in _candidates(u, nodes, home, beam, degree, least, k):
         exact = np.clip(np.einsum("nd,nd->n", wide[left], wide[right]) / (norm[left] * norm[right]), -1, 1)
-        exact[left == right] = 1.0
         if least is not None:
             ok = exact >= least
             left, right, exact = left[ok], right[ok], exact[ok]
-        nl, nr = q_first[left + 1] - q_first[left], n_first[right + 1] - n_first[right]
-        last = np.cumsum(nl * nr)
-        total = int(last[-1]) if len(last) else 0
-        for lo in range(0, total, total if k is not None else ROW_BLOCK):
-            at = np.arange(lo, total if k is not None else min(total, lo + ROW_BLOCK))
-            row = np.searchsorted(last, at, "right")
-            step = at - (last - nl * nr)[row]
-            a, b = by_query[q_first[left[row]] + step // nr[row]], own[n_first[right[row]] + step % nr[row]]
-            s = exact[row]
-            ok = a != b
-            a, b, s = code[a[ok]], code[b[ok]], s[ok]
-            if k is not None:
-                order = np.lexsort((b, -s, a))
-                a, b, s = a[order], b[order], s[order]
-                start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
-                place = np.arange(len(a)) - np.repeat(start, np.diff(np.concatenate([start, [len(a)]])))
-                a, b, s = a[place < k], b[place < k], s[place < k]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(a)).cast(pa.string()), names.take(pa.array(b)).cast(pa.string()), pa.array(s)], ["a", "b", "similarity"])
+        else:
+            by = np.lexsort((-exact, left))
+            left, right, exact = left[by], right[by], exact[by]
+            start = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(left) else np.zeros(0, np.int64)
+            place = np.arange(len(left)) - np.repeat(start, np.diff(np.concatenate([start, [len(left)]])))
+            # a tie at the k-th place is kept for the keys to decide
+            last = np.repeat(exact[np.minimum(start + k, np.concatenate([start[1:], [len(left)]])) - 1], np.diff(np.concatenate([start, [len(left)]]))) if len(left) else exact
+            ok = (place < k) | (exact >= last)
+            left, right, exact = left[ok], right[ok], exact[ok]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right)), pa.array(exact)], ["a", "b", "similarity"])
 
 
 _PAIRS = "a string, b string, similarity double"
 
 
-def _search(vectors: DataFrame, probes: int, beam: int, degree: int, least: float | None, k: int | None, key: str, column: str) -> DataFrame:
-    routing = fit_routing(vectors, key, column)
+def _usable_rows(vectors: DataFrame, key: str, column: str) -> DataFrame:
+    """(id, v) of rows with a key and a vector of the right length; what else is unusable is left out when it is read."""
+    return vectors.where(F.col(key).isNotNull() & (F.size(column) == DIMENSIONS)).select(F.col(key).cast("string").alias("id"), F.col(column).cast("array<float>").alias("v"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(v, id, last): the rows of each distinct vector, named by their smallest key, with their greatest."""
+    return rows.groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+
+
+def _members(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(rep, id): the rows of every vector that several keys have, named by the smallest of them."""
+    zero = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
+    several = groups.where((F.col("last") > F.col("id")) & ~zero).select("v", F.col("id").alias("rep"))
+    return salted_join(rows, several, ["v"], how="inner", on="id").select("rep", "id").distinct()
+
+
+def _search(rows: DataFrame, groups: DataFrame, margin: float, probes: int, beam: int, degree: int, least: float | None, k: int, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS) -> DataFrame:
+    routing = fit_routing(rows, "id", "v", cell_rows, most_cells)
     if not len(routing.centers):
-        return vectors.sparkSession.createDataFrame([], _PAIRS)
+        return rows.sparkSession.createDataFrame([], _PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _shard_pairs(pa.Table.from_batches(list(batches)), beam, degree, least, k)
 
     # as many tasks as shards: a task's input doesn't grow with the table
-    routed = _routed(vectors, routing, probes, key, column).repartition(min(MOST_TASKS, int(routing.shards.sum())), "shard")
-    return routed.groupBy("shard").applyInArrow(run, _PAIRS)
+    shards = np.where(routing.sizes > CUT_AT * cell_rows, -(-routing.sizes // cell_rows), 1)
+    tasks = int(min(MOST_TASKS, shards.sum()))
+    routed = _refined(_routed(groups, routing, margin, probes, "id", "v"), routing, margin, probes, cell_rows)
+    return routed.repartition(tasks, "cell").groupBy("cell").applyInArrow(run, _PAIRS)
+
+
+def similar_links(vectors: DataFrame, least: float = 0.9, margin: float = MARGIN, beam: int = BEAM, degree: int = DEGREE, key: str = "chunk_id", column: str = "embedding", **cells: int) -> DataFrame:
+    """Links between different vectors with cosine similarity of at least ``least``: (a, b), smaller key first.
+
+    Each distinct vector is named by its smallest key; `vector_groups` tells which other
+    rows have it.  The graphs tell which vectors have a similar one; these are compared
+    with their whole shards, and each cosine is checked in double precision.
+    """
+    rows = _usable_rows(vectors, key, column)
+    found = _search(rows, _groups(rows), margin, 1, beam, degree, least, 1, **cells)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def vector_groups(vectors: DataFrame, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
+    """(rep, id): membership of every row whose vector another key has too; ``rep`` is the smallest of their keys."""
+    rows = _usable_rows(vectors, key, column)
+    return _members(rows, _groups(rows))
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.9, probes: int = 2, beam: int = BEAM, degree: int = DEGREE, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float = 0.9, margin: float = MARGIN, beam: int = BEAM, degree: int = DEGREE, key: str = "chunk_id", column: str = "embedding", **cells: int) -> DataFrame:
     """Pairs of different rows with cosine similarity of at least ``least``: (chunk_id_a, chunk_id_b), smaller first.
 
     Vectors that are null, empty, zero, not finite or of another length take no part;
-    rows that repeat a key count once; rows with a null key are dropped.  The graphs
-    tell which vectors have a similar one; these are compared with their whole shards,
-    and the cosine of each candidate is then checked in double precision.
+    rows that repeat a key and its vector count once; rows with a null key are dropped.
+    The links of `similar_links` are expanded to all rows of the two vectors, and the
+    rows of one vector are paired among themselves, by joins on the groups: pairs of
+    equal rows are part of this result by definition.  Where groups of copies are large,
+    take links and groups instead.
     """
-    found = _search(vectors, probes, beam, degree, least, None, key, column)
-    return found.select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
+    links, members = similar_links(vectors, least, margin, beam, degree, key, column, **cells), vector_groups(vectors, key, column)
+    of = lambda end: members.select(F.col("rep").alias(end), F.col("id").alias(f"{end}_row"))
+    across = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_row", "a").alias("a"), F.coalesce("b_row", "b").alias("b"))
+    within = members.join(members.withColumnRenamed("id", "other"), "rep").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return across.where("a <> b").unionByName(within).select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
 
 
-def nearest(vectors: DataFrame, k: int = 10, probes: int = 5, beam: int = 48, degree: int = 24, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, probes: int = 6, margin: float = MARGIN, beam: int = BEAM, degree: int = DEGREE, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
     """The k most similar other rows of every usable row: (chunk_id, neighbor_id, similarity, rank).
 
-    Ties go to the smaller key.  Accuracy: see the README for recall against brute force.
+    Ties go to the smaller key.  Vectors are searched once each; of a vector's rows only
+    the k + 1 of smallest key can be a neighbour, so no more are expanded.  Accuracy: see
+    the README for recall against brute force.
     """
-    found = _search(vectors, probes, max(beam, 2 * k), degree, None, k, key, column).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("similarity"), "b"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbor_id"), "similarity", "rank")
+    rows = _usable_rows(vectors, key, column)
+    groups = _groups(rows)
+    found = _search(rows, groups, margin, probes, beam, degree, None, k)
+    first = lambda df, by, order: df.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+    best = first(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "a", [F.desc("similarity"), F.asc("b")]).where(F.col("_r") <= k).select("a", "b", "similarity")
+    members = _members(rows, groups)
+    few = first(members, "rep", [F.asc("id")]).where(F.col("_r") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids"))  # at most k + 1 each
+    own = few.select(F.col("rep").alias("a"), F.col("ids").alias("near"), F.lit(1.0).alias("similarity"))
+    other = best.join(few.select(F.col("rep").alias("b"), "ids"), "b", "left").select("a", F.coalesce("ids", F.array("b")).alias("near"), "similarity")
+    listed = other.unionByName(own).select("a", F.explode("near").alias("b"), "similarity")
+    asked = listed.join(members.withColumnRenamed("rep", "a"), "a", "left").select(F.coalesce("id", "a").alias("a"), "b", "similarity").where("a <> b")
+    rank = first(asked.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "a", [F.desc("similarity"), F.asc("b")])
+    return rank.where(F.col("_r") <= k).select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbor_id"), "similarity", F.col("_r").alias("rank"))

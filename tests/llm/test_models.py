@@ -132,6 +132,30 @@ def test_near_copy_family_wider_than_a_beam(spark):
     assert len(got) >= 150 * 149 // 2 and got == brute_pairs(ids, x, 0.9)
 
 
+def test_cells_that_are_cut_again_lose_no_pair(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(0, 1, (6, 64))
+    x = (base[rng.integers(0, 6, 1500)] + rng.normal(0, 0.5, (1500, 64))).astype(np.float32)
+    x = np.concatenate([x, x[:300] + rng.normal(0, 0.1, (300, 64)), x[:3], x[:1] * np.arange(2, 500)[:, None]]).astype(np.float32)  # copies, and one direction that no centroid can cut
+    ids = [f"c{i:05}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "chunk_id string, embedding array<float>")
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in neighbors.similar_pairs(df, cell_rows=64, most_cells=3).collect()}
+    truth = brute_pairs(ids, x, 0.9)
+    assert got <= brute_pairs(ids, x, 0.9 - 1e-6) and len(got & truth) >= 0.99 * len(truth)
+
+
+def test_groups_and_links_of_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (3, 64))
+    rows = [("a", x[0]), ("b", x[0]), ("c", x[0]), ("d", x[0] * 1.01 + 0.001 * x[1]), ("e", x[2]), ("a", x[0])]
+    df = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in rows], "chunk_id string, embedding array<float>")
+    assert {tuple(r) for r in neighbors.vector_groups(df).collect()} == {("a", "a"), ("a", "b"), ("a", "c")}
+    assert {tuple(r) for r in neighbors.similar_links(df).collect()} == {("a", "d")}
+    assert {tuple(r) for r in neighbors.similar_pairs(df).collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("a", "d"), ("b", "d"), ("c", "d")}
+    top = {(r.chunk_id, r["rank"]): r.neighbor_id for r in neighbors.nearest(df, k=2).collect()}
+    assert top[("a", 1)] == "b" and top[("a", 2)] == "c" and top[("b", 1)] == "a" and top[("d", 1)] == "a" and top[("d", 2)] == "b" and ("e", 3) not in top
+
+
 def test_graph_degrees_and_recall():
     rng = np.random.default_rng(2)
     centers = rng.normal(0, 1, (40, 64))
