@@ -1,12 +1,13 @@
-"""Markup residue in texts: leaves, a recurrent block labeller, clean text, and an exact check.
+"""Markup residue in texts: leaves, a recurrent block labeller, and clean text.
 
 A text in HTML, Markdown, wiki markup, LaTeX or a mixture is read into leaves: its
 smallest blocks in order, each with a tag path.  A bidirectional LSTM in numpy reads a
-document's leaves (hashed tag path, hashed words, punctuation shapes) and labels every
-leaf with the whole document in view.  It is trained here on weak labels, which come
-from the paths and from `residue_marks`.  Labels decide how a leaf is written:
-headings, lists, tables, code and formulas stay recognisable; the rest becomes prose
-without inline markup.
+document's leaves (hashed tag path, hashed words, hashed shapes of words with unusual
+characters) and labels every leaf with the whole document in view.  It is trained here
+on weak labels, which come from the paths and from `residue_marks`; no rule is part of
+its input, and whether a summary holds residue is what the network says.  Labels decide
+how a leaf is written: headings, lists, tables, code and formulas stay recognisable;
+the rest becomes prose without inline markup.
 """
 
 from __future__ import annotations
@@ -16,21 +17,24 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import materialize
+from lodestone.session import materialize, spread
 
 LABELS = ("paragraph", "heading", "list", "table", "code", "formula", "meta", "residue")
 #: Records the labeller is trained on, at most; drawn by a hash of the key.
 SAMPLE_RECORDS = 1500
+#: Summaries that are drawn and weakly labelled, at most, and how many clean ones the fit takes for each with residue.
+SAMPLE_SUMMARIES, CLEAN_SHARE = 12_000, 3
 HIDDEN, WORD_DIMS, PATH_DIMS = 16, 12, 12
 EPOCHS, RATE, BATCH = 8, 0.01, 32
-#: A missed residue leaf costs as much as so many false ones, whose texts are only checked once more.
-RESIDUE_WEIGHT = 8.0
+#: A missed residue leaf costs as much as so many false ones.
+RESIDUE_WEIGHT = 2.0
 #: Leaves, padding included, that are read at once; a longer document is read alone.
 SLOTS = 16_384
 
@@ -364,34 +368,63 @@ def render(parts: list[Leaf]) -> str:
 
 
 _SHAPES = ("<", ">", "&", ";", "\\", "{", "}", "[", "]", "*", "_", "~", "`", "|", "#", "$", "'", "=", "/", "^", "!", "(", ":", "-")
-_PUNCT = re.compile(r"[^\w\s]+\w?|\w[^\w\s.,;:()'-]+")
-_SHAPE_DIMS = 48
-_KINDS = {k: n for n, k in enumerate(RULES)}
+#: A word with a character that plain prose doesn't have, or with several apostrophes, dots or dashes at once.
+_UNUSUAL = re.compile(r"[^\w\s.,;:()'\"?!-]|_|''|\.\.|--|^[^\w\s]+$|\w[:;]\w")
+_RUNS = ((re.compile(r"[^\W\d_]{2,}"), "w"), (re.compile(r"(?<![^\W\d_])[^\W\d_w](?![^\W\d_])"), "x"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1{2,}"), r"\1\1\1"))
+_SHAPE_DIMS = 512
 _rng = np.random.default_rng(20_240_601)
 _WORDS = _rng.normal(0, 1, (4096, WORD_DIMS)).astype(np.float32)
 _PATHS = _rng.normal(0, 1, (512, PATH_DIMS)).astype(np.float32)
-INPUT = PATH_DIMS + WORD_DIMS + len(_SHAPES) + _SHAPE_DIMS + len(RULES) + 4
+INPUT = PATH_DIMS + WORD_DIMS + len(_SHAPES) + _SHAPE_DIMS + 4
+
+
+@lru_cache(maxsize=1 << 16)
+def _shape(word: str) -> str:
+    """A word with its letters, single letters and digits as ``w``, ``x`` and ``0``."""
+    for rule, to in _RUNS:
+        word = rule.sub(to, word)
+    return word
+
+
+@lru_cache(maxsize=1 << 16)
+def _slot(text: str, size: int) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) % size
+
+
+@lru_cache(maxsize=1 << 16)
+def _unusual(word: str) -> bool:
+    return _UNUSUAL.search(word) is not None
 
 
 def features(leaf: Leaf) -> np.ndarray:
-    """A leaf as a vector: tag path, mean of its hashed words, punctuation counts, shapes and marks."""
+    """A leaf as a vector: tag path, mean of its hashed words, counts of signs, hashed shapes of unusual words.
+
+    An unusual word gives its shape, its shape with those of its neighbours if it has no
+    letter or digit, and the pairs and triples of signs inside it.
+    """
     out = np.zeros(INPUT, np.float32)
-    out[:PATH_DIMS] = _PATHS[zlib.crc32(leaf.path.encode()) % len(_PATHS)]
+    out[:PATH_DIMS] = _PATHS[_slot(leaf.path, len(_PATHS))]
     text = leaf.text
-    words = text.lower().split()
+    words = text.split()
     if words:
-        out[PATH_DIMS : PATH_DIMS + WORD_DIMS] = _WORDS[[zlib.crc32(w.encode("utf-8", "replace")) % len(_WORDS) for w in words]].mean(0)
+        out[PATH_DIMS : PATH_DIMS + WORD_DIMS] = _WORDS[[_slot(w.lower(), len(_WORDS)) for w in words]].mean(0)
     at = PATH_DIMS + WORD_DIMS
     for k, c in enumerate(_SHAPES):
         if c in text:
             out[at + k] = min(3.0, np.log1p(text.count(c)))
     at += len(_SHAPES)
-    for m in set(_PUNCT.findall(text)):
-        out[at + zlib.crc32(re.sub(r"\w", "w", m).encode("utf-8", "replace")) % _SHAPE_DIMS] = 1.0
+    for i, w in enumerate(words):
+        if _unusual(w):
+            shape = _shape(w)
+            out[at + _slot(shape, _SHAPE_DIMS)] = 1.0
+            if not any(c in "wx0" for c in shape):
+                near = (_shape(words[i - 1]) if i else "^", _shape(words[i + 1]) if i + 1 < len(words) else "$")
+                out[at + _slot(f"{near[0]} {shape} {near[1]}", _SHAPE_DIMS)] = 1.0
+                out[at + _slot(f"{near[0]} {shape}", _SHAPE_DIMS)] = 1.0
+            for n in (2, 3):
+                for j in range(len(shape) + 1 - n + 2):
+                    out[at + _slot(f"^{shape}$"[j : j + n], _SHAPE_DIMS)] = 1.0
     at += _SHAPE_DIMS
-    for k in residue_marks(text):
-        out[at + _KINDS[k]] = 2.0
-    at += len(RULES)
     out[at:] = (1.0, min(3.0, np.log1p(len(text)) / 2), len(words) < 8, text[:1].isupper())
     return out
 
@@ -533,8 +566,8 @@ def summary_leaves(text: str, weak_labels: bool = False) -> list[Leaf]:
 def fit(documents: list[list[Leaf]], epochs: int = EPOCHS) -> Labeller:
     """Train on leaves whose guesses are the weak labels; a fifth of the documents is held out.
 
-    The threshold for residue lies below the least probability that any known residue
-    leaf got, in training or held out (a fiftieth of it, and at most 0.01).
+    The threshold for residue is the one that agrees best with the weak labels of the
+    held-out documents (a document is residue if any leaf is); of several the middle one.
     """
     model = Labeller.fresh()
     runs = [d for d in documents if d]
@@ -559,16 +592,25 @@ def fit(documents: list[list[Leaf]], epochs: int = EPOCHS) -> Labeller:
                 m1[k] = 0.9 * m1[k] + 0.1 * g
                 m2[k] = 0.999 * m2[k] + 0.001 * g * g
                 model.weights[k] -= (RATE * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    least, right, total = 1.0, 0, 0
-    at = LABELS.index("residue")
-    for part, counts in ((train, False), (held, True)):
-        for run, prob in zip(part, model.label(part)):
-            truth = np.array([LABELS.index(leaf.guess) for leaf in run])
-            if counts:
-                right, total = right + int((prob.argmax(1) == truth).sum()), total + len(run)
-            if (truth == at).any():
-                least = min(least, float(prob[truth == at, at].min()))
-    return Labeller(model.weights, min(least / 50, 0.01), {"runs": len(runs), "held_out_accuracy": right / total if total else None, "least_residue": least})
+    at, right, total, top, known = LABELS.index("residue"), 0, 0, [], []
+    for run, prob in zip(held, model.label(held)):
+        truth = np.array([LABELS.index(leaf.guess) for leaf in run])
+        right, total = right + int((prob.argmax(1) == truth).sum()), total + len(run)
+        top.append(float(prob[:, at].max()))
+        known.append(bool((truth == at).any()))
+    threshold, wrong = _best_threshold(np.array(top), np.array(known, bool))
+    return Labeller(model.weights, threshold, {"runs": len(runs), "held_out_accuracy": right / total if total else None, "held_out_documents": len(held), "held_out_residue": sum(known), "held_out_wrong": wrong})
+
+
+def _best_threshold(top: np.ndarray, known: np.ndarray) -> tuple[float, int]:
+    """The probability that parts known residue from the rest with the fewest errors, and these; 0.5 without both kinds."""
+    if not known.any() or known.all():
+        return 0.5, int((known != (top >= 0.5)).sum())
+    edges = np.concatenate([[0.0], np.sort(top), [1.0]])
+    cuts = np.sqrt(np.maximum(edges[:-1], 1e-6) * np.maximum(edges[1:], 1e-6))
+    wrong = np.array([((top >= c) != known).sum() for c in cuts])
+    best = np.flatnonzero(wrong == wrong.min())
+    return float(np.exp(np.log(cuts[best]).mean())), int(wrong.min())
 
 
 def current_texts(parsed: DataFrame, column: str) -> DataFrame:
@@ -589,15 +631,30 @@ def _sample(texts: DataFrame, most: int) -> list[str]:
     return [r["text"] for r in sorted(drawn, key=lambda r: (r["repo"] or "", r["id"] or ""))]
 
 
-def summaries_with_markup(parsed: DataFrame, sample: int = SAMPLE_RECORDS) -> DataFrame:
-    """(repo, id, marks): live records whose current summary still holds markup, with the kinds found.
+def fit_summaries(texts: list[str], clean_share: int = CLEAN_SHARE) -> Labeller:
+    """A labeller of summaries: fitted on all that have marks and ``clean_share`` times as many that have none.
+
+    Clean ones with unusual words come first, as only they can be mistaken.
+    """
+    leaved = [summary_leaves(t, weak_labels=True) for t in texts]
+    marked = [d for d in leaved if any(leaf.guess == "residue" for leaf in d)]
+    clean = [d for d in leaved if d and not any(leaf.guess == "residue" for leaf in d)]
+    unusual = [sum(_unusual(w) for leaf in d for w in leaf.text.split()) > 0 for d in clean]
+    order = sorted(range(len(clean)), key=lambda i: not unusual[i])[: max(200, clean_share * len(marked))]
+    mixed = [*marked, *(clean[i] for i in order)]
+    return fit([mixed[i] for i in np.random.default_rng(9).permutation(len(mixed))])
+
+
+def summaries_with_markup(parsed: DataFrame, sample: int = SAMPLE_SUMMARIES, model: Labeller | None = None) -> DataFrame:
+    """(repo, id, marks): live records whose current summary still holds markup, with the kinds of it.
 
     The labeller reads every sentence of every summary; a record with a sentence whose
-    residue probability reaches the threshold is checked exactly.  Null and empty
-    summaries are no cases; repeated deliveries count once.
+    residue probability reaches the threshold is one.  The kinds are named by rules;
+    what none of them names is ``other``.  Null and empty summaries are no cases;
+    repeated deliveries count once.
     """
     texts = materialize(current_texts(parsed, "summary_text"), "summaries")
-    model = fit([summary_leaves(t, weak_labels=True) for t in _sample(texts, sample)])
+    model = model or fit_summaries(_sample(texts, sample))
     held = parsed.sparkSession.sparkContext.broadcast(model)
     at = LABELS.index("residue")
 
@@ -607,10 +664,9 @@ def summaries_with_markup(parsed: DataFrame, sample: int = SAMPLE_RECORDS) -> Da
                 part = pdf.iloc[lo : lo + 512]
                 prob = held.value.label([summary_leaves(t) for t in part["text"]])
                 hit = part[[bool(len(p)) and float(p[:, at].max()) >= held.value.threshold for p in prob]]
-                marks = [residue_marks(t) for t in hit["text"]]
-                yield pd.DataFrame({"repo": hit["repo"], "id": hit["id"], "marks": marks})[[bool(m) for m in marks]]
+                yield pd.DataFrame({"repo": hit["repo"], "id": hit["id"], "marks": pd.Series([residue_marks(t) or ["other"] for t in hit["text"]], index=hit.index, dtype=object)})
 
-    return texts.mapInPandas(run, "repo string, id string, marks array<string>")
+    return spread(texts).mapInPandas(run, "repo string, id string, marks array<string>")
 
 
 def clean_texts(parsed: DataFrame, column: str = "raw_content", sample: int = SAMPLE_RECORDS) -> DataFrame:
@@ -639,7 +695,7 @@ def clean_texts(parsed: DataFrame, column: str = "raw_content", sample: int = SA
                     rows.append((repo, id_, render(doc), len(doc), *(used.count(k) for k in LABELS)))
                 yield pd.DataFrame(rows, columns=["repo", "id", "text", "n_leaves", *(f"n_{k}" for k in LABELS)])
 
-    return texts.mapInPandas(run, schema)
+    return spread(texts).mapInPandas(run, schema)
 
 
 def clean_summaries(parsed: DataFrame) -> DataFrame:

@@ -77,6 +77,40 @@ def test_markup_queries(spark):
     assert markup.summaries_with_markup(df.limit(0)).count() == 0 and markup.clean_texts(df.limit(0)).count() == 0
 
 
+PLAIN_WORDS = "the broker keeps every record for ninety days and each tenant gets its own shard under load after a release".split()
+OTHER_WORDS = "wir betreiben den dienst nachts damit die kosten sinken aber niemand braucht zugriff auf alte daten".split()
+
+
+def _summaries(words, n, seed):
+    rng = np.random.default_rng(seed)
+    wraps = ("**{}**", "<b>{}</b>", "`{}`", "[[{}]]", "&lt;{}&gt;", "\\textbf{{{}}}", "~~{}~~", "[{}](http://x.y/z)", "<div {}", "== {} ==")
+    plain = ("R&D asked for {} copies", "a < b and b > {}", "List<Long>> holds {}", "C:\\data\\new_{}", "Rates (2 | {}) are fixed", "retry_count_{}", "*.log and #{}", "cost is ${} today")
+    out = []
+    for i in range(n):
+        text = [" ".join(rng.choice(words, 9)).capitalize() + "." for _ in range(5)]
+        at = int(rng.integers(5))
+        if i % 2:
+            part = text[at].split()
+            k = int(rng.integers(1, 7))
+            part[k : k + 2] = [wraps[i // 2 % len(wraps)].format(" ".join(part[k : k + 2]))]
+            text[at] = " ".join(part)
+        else:
+            text[at] += " " + plain[i // 2 % len(plain)].format(int(rng.integers(2, 90))).capitalize() + "."
+        out.append(("ADR 0001: " + " ".join(text), bool(i % 2)))
+    return out
+
+
+def test_the_labeller_decides_also_on_unseen_words(spark):
+    model = markup.fit_summaries([t for t, _ in _summaries(PLAIN_WORDS, 600, 1)])
+    unseen = _summaries(OTHER_WORDS, 300, 2)
+    df = spark.createDataFrame([("r", f"{i:04d}", 1, False, t, None) for i, (t, _) in enumerate(unseen)], "repo string, id string, revision int, is_deleted boolean, summary_text string, raw_content string")
+    got = {int(r.id) for r in markup.summaries_with_markup(df, model=model).collect()}
+    truth = {i for i, (_, marked) in enumerate(unseen) if marked}
+    assert len(got & truth) >= 0.97 * len(truth) and len(got & truth) >= 0.97 * len(got)
+    constant = markup.Labeller({k: np.zeros_like(v) for k, v in model.weights.items()}, 0.5)
+    assert markup.summaries_with_markup(df, model=constant).count() == 0
+
+
 def test_clean_summaries(spark):
     from lodestone.llm import catalog
 
@@ -160,8 +194,8 @@ def test_graph_degrees_and_recall():
     rng = np.random.default_rng(2)
     centers = rng.normal(0, 1, (40, 64))
     x = neighbors.unit((centers[rng.integers(0, 40, 2000)] + rng.normal(0, 0.3, (2000, 64))).astype(np.float32))
-    graph = neighbors.build_graph(x)
-    assert graph.shape == (2000, neighbors.DEGREE) and all(i not in row for i, row in enumerate(graph[:50]))
+    graph, best = neighbors.build_graph(x)
+    assert graph.shape == (2000, int(neighbors.SLACK_FACTOR * neighbors.DEGREE)) and (best[1:] > 0).all() and all(i not in row for i, row in enumerate(graph[:50]))
     ids, _ = neighbors.beam_search(x, graph, x[:200], neighbors.entries(x, x[:200]), 24)
     truth = np.argsort(-(x[:200] @ x.T), axis=1)[:, :5]
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids, truth)]) >= 0.9
