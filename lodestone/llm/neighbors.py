@@ -1,9 +1,9 @@
 """Most similar vectors for every vector: robust-pruned directed graphs over shards.
 
 Vectors are routed to the cells of centroids; a cell that got too many is cut again
-by centroids of its own.  In each shard a directed graph is built by prefix doubling:
-the next points search the graph that stands so far, their finds are pruned so that
-kept edges point in different directions (an edge is dropped where a kept neighbour is
+by centroids of its own.  In each shard a directed graph is built in batches: the
+next points search the graph that stands so far, their finds are pruned so that kept
+edges point in different directions (an edge is dropped where a kept neighbour is
 nearer to its end by a factor), and reverse edges are added under the same rule.  Every
 vector then searches its own cell, starting at its own node, and other cells from an
 entry layer of about the square root of the shard.  All searches of a shard advance in
@@ -31,14 +31,17 @@ CELL_ROWS, MOST_CELLS = 4096, 1024
 #: How many times ``CELL_ROWS`` a cell may hold before it is cut by centroids of its own.
 CUT_AT = 4
 #: A vector also searches the cells whose border it is no farther from than this, see `_cells`.
-MARGIN = 0.12
+MARGIN = 0.1
 #: The entry layer has this many times the square root of a shard's nodes; a search starts from the best few.
-ENTRY_FACTOR, ENTRIES = 4, 8
+ENTRY_FACTOR, ENTRIES = 8, 16
 #: Out-degree, beam width of the build, nodes a search expands at once, and the relaxation of the pruning rule.
-DEGREE, BEAM, EXPAND, ALPHA = 32, 96, 8, 1.2
-#: Beam width of the searches that tell which vectors have a similar one.
-PROBE_BEAM = 40
-QUERY_BLOCK = 64
+DEGREE, BEAM, EXPAND, ALPHA = 24, 28, 6, 1.2
+#: Nodes that are compared with each other on their insertion, how much a graph grows before reverse edges are added,
+#: and how far a node's edges may exceed the degree before they are pruned; candidates that are pruned, as a multiple of the degree.
+BATCH, GROWTH, SLACK_FACTOR, PRUNE_FACTOR, PRUNE_BLOCK = 512, 1.12, 1.25, 1.5, 512
+#: Beam width of the searches that tell which vectors have a similar one; from other cells twice that.
+PROBE_BEAM = 12
+QUERY_BLOCK = 128
 #: Single precision may miss the threshold by this much.
 SLACK = 1e-4
 #: Candidate pairs that are held at once when all above a threshold are wanted.
@@ -94,35 +97,40 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: n
     """
     n, none = len(queries), len(x)
     seen = np.zeros((n, none + 1), bool)
-    ids, sims, done = np.full((n, beam), -1, np.int32), np.full((n, beam), -np.inf, np.float32), np.ones((n, beam), bool)
     seen[:, none] = True
-    live, near = np.arange(n), starts.astype(np.int32)
+    # a beam's entry is twice the node, plus one once it has been expanded
+    held, sims = np.full((n, beam), -1, np.int32), np.full((n, beam), -np.inf, np.float32)
+    live, near, asked = np.arange(n), starts.astype(np.int32), queries
     while len(live):
         near[near < 0] = none
         near.sort(1)
         row = live[:, None]
         fresh = ~seen[row, near]
         fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-        seen[row, near] = True
         r, c = np.nonzero(fresh)
-        new = np.full(near.shape, -np.inf, np.float32)
-        new[r, c] = np.einsum("nd,nd->n", x[near[r, c]], queries[live[r]])
-        all_sims = np.concatenate([sims[live], new], 1)
+        node = near[r, c]
+        seen[live[r], node] = True
+        all_sims = np.full((len(live), beam + near.shape[1]), -np.inf, np.float32)
+        all_sims[:, :beam] = sims[live]
+        all_sims[r, beam + c] = np.einsum("nd,nd->n", x[node], asked[r])
         top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(all_sims, top, 1), axis=1), 1)
-        a_sims = np.take_along_axis(all_sims, top, 1)
-        a_ids = np.take_along_axis(np.concatenate([ids[live], near], 1), top, 1)
-        a_done = np.take_along_axis(np.concatenate([done[live], np.zeros(near.shape, bool)], 1), top, 1) | (a_sims == -np.inf)
-        turn = np.cumsum(~a_done, 1)
-        pick = ~a_done & (turn <= EXPAND)
-        ids[live], sims[live], done[live] = a_ids, a_sims, a_done | pick
+        line = np.arange(len(live))[:, None]
+        part = all_sims[line, top]
+        order = np.argsort(-part, axis=1)
+        top, part = top[line, order], part[line, order]
+        entry = np.concatenate([held[live], near * 2], 1)[line, top]
+        entry[part == -np.inf] = -1  # odd: nothing to expand
+        open_ = entry & 1 == 0
+        turn = np.cumsum(open_, 1)
+        pick = open_ & (turn <= EXPAND)
         more = np.flatnonzero(pick.any(1))
-        slot = np.full((len(more), EXPAND), -1, np.int32)
         r, c = np.nonzero(pick[more])
-        slot[r, turn[more][r, c] - 1] = a_ids[more][r, c]
+        slot = np.full((len(more), EXPAND), -1, np.int32)
+        slot[r, turn[more[r], c] - 1] = entry[more[r], c] >> 1
+        held[live], sims[live] = entry | pick, part
         near = np.where(slot[:, :, None] >= 0, graph[slot], -1).reshape(len(more), EXPAND * graph.shape[1])
-        live = live[more]
-    return np.where(sims > -np.inf, ids, -1), sims
+        live, asked = live[more], asked[more]
+    return np.where(sims > -np.inf, held >> 1, -1), sims
 
 
 def robust_prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -141,28 +149,33 @@ def robust_prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> np.ndarray:
-    """Neighbours of each node, -1 where there are fewer; nodes are inserted in the order of ``x``."""
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of each node, -1 where there are fewer, and the best similarity that each met on its insertion.
+
+    Nodes are inserted in the order of ``x``: each searches the graph that stands so far
+    and is compared with its batch; the reverse edges come when the graph has grown by
+    ``GROWTH``.
+    """
     n = len(x)
-    graph = np.full((n, degree), -1, np.int32)
-    base = min(n, 256)
+    graph, best = np.full((n, int(SLACK_FACTOR * degree)), -1, np.int32), np.full(n, -np.inf, np.float32)
     done = 0
     while done < n:
-        end = min(n, base if not done else 2 * done)
-        for lo in range(done, end, QUERY_BLOCK):
-            hi = min(end, lo + QUERY_BLOCK)
-            block = np.arange(lo, hi)
-            if not done:
-                s = x[lo:hi] @ x[:end].T
-                s[np.arange(hi - lo), block] = -np.inf
-                ids, sims, _ = _top(np.broadcast_to(np.arange(end), s.shape), s, min(end, 2 * beam))
-                ids = np.where(sims > -np.inf, ids, -1)
-            else:
-                ids, sims = beam_search(x, graph, x[lo:hi], entries(x[:done], x[lo:hi]), beam)
-            graph[lo:hi] = robust_prune(x, ids, sims, degree)
+        end = min(n, max(BATCH, int(done * GROWTH)))
+        for at in range(done, end, BATCH):
+            block = x[at : min(end, at + BATCH)]
+            s = block @ block.T
+            np.fill_diagonal(s, -np.inf)
+            ids, sims = np.broadcast_to(np.arange(at, at + len(block)), s.shape), s
+            if done:
+                found = [beam_search(x, graph, block[lo : lo + QUERY_BLOCK], entries(x[:done], block[lo : lo + QUERY_BLOCK]), beam) for lo in range(0, len(block), QUERY_BLOCK)]
+                ids, sims = np.concatenate([np.concatenate([f[0] for f in found]), ids], 1), np.concatenate([np.concatenate([f[1] for f in found]), sims], 1)
+            ids, sims, _ = _top(ids, sims, min(ids.shape[1], max(beam, int(PRUNE_FACTOR * degree))))
+            best[at : at + len(block)] = sims[:, 0]
+            keep = min(ids.shape[1], int(PRUNE_FACTOR * degree))
+            graph[at : at + len(block), :degree] = robust_prune(x, np.where(sims > -np.inf, ids, -1)[:, :keep], sims[:, :keep], degree)
         _add_reverse(x, graph, np.arange(done, end), degree)
         done = end
-    return graph
+    return graph, best
 
 
 def entries(x: np.ndarray, queries: np.ndarray, keep: int = ENTRIES) -> np.ndarray:
@@ -174,54 +187,74 @@ def entries(x: np.ndarray, queries: np.ndarray, keep: int = ENTRIES) -> np.ndarr
 
 
 def _add_reverse(x: np.ndarray, graph: np.ndarray, fresh: np.ndarray, degree: int) -> None:
-    """Add the edges back from the neighbours of ``fresh`` nodes, pruning the nodes that get too many."""
-    source = np.repeat(fresh, degree)
+    """Add the edges back from the neighbours of ``fresh`` nodes; only nodes that get too many are pruned."""
+    source = np.repeat(fresh, graph.shape[1])
     target = graph[fresh].ravel()
     source, target = source[target >= 0], target[target >= 0]
-    sims = np.einsum("nd,nd->n", x[source], x[target])
-    order = np.lexsort((-sims, target))
+    width_of = graph.shape[1]
+    held = (graph[target] == source[:, None]).any(1)
+    source, target = source[~held], target[~held]
+    order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
     nodes, first, count = np.unique(target, return_index=True, return_counts=True)
-    place = np.arange(len(target)) - np.repeat(first, count)
-    ok = place < degree
-    added = np.full((len(nodes), degree), -1, np.int64)
-    added[np.repeat(np.arange(len(nodes)), count)[ok], place[ok]] = source[ok]
-    for lo in range(0, len(nodes), QUERY_BLOCK):
-        at = nodes[lo : lo + QUERY_BLOCK]
-        cand = np.concatenate([graph[at], added[lo : lo + QUERY_BLOCK]], 1)
-        cand.sort(1)
-        cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-        s = np.where(cand >= 0, np.matmul(x[cand], x[at][:, :, None])[:, :, 0], -np.inf)
-        cand, s, _ = _top(cand, s, cand.shape[1])
-        graph[at] = robust_prune(x, cand, s, degree)
-
-
-def search_shard(x: np.ndarray, home: np.ndarray, queries: np.ndarray, beam: int = BEAM, degree: int = DEGREE, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Build a shard's graph with a beam of ``beam`` and search it for all ``queries`` with one of ``width``.
+    have = (graph[nodes] >= 0).sum(1)
+    room = have + count <= width_of
+    place = np.arange(len(target)) - np.repeat(first, count) + np.repeat(have, count)
+    ok = np.repeat(room, count)
+    graph[target[ok], place[ok]] = source[ok]
+    full = np.flatnonzero(~room)
+    for lo in range(0, len(full), PRUNE_BLOCK):
+        part = full[lo : lo + PRUNE_BLOCK]
+        width = int(count[part].max())
+        added = np.full((len(part), width), -1, np.int32)
+        rows = np.repeat(np.arange(len(part)), count[part])
+        step = np.arange(len(rows)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+        added[rows, step] = source[np.repeat(first[part], count[part]) + step]
+        cand = np.concatenate([graph[nodes[part]], added], 1)
+        s = np.where(cand >= 0, np.matmul(x[cand], x[nodes[part]][:, :, None])[:, :, 0], -np.inf)
+        cand, s, _ = _top(cand, s, min(cand.shape[1], int(PRUNE_FACTOR * degree)))
+        kept = robust_prune(x, np.where(s > -np.inf, cand, -1), s, degree)
+        graph[nodes[part]] = np.pad(kept, ((0, 0), (0, width_of - degree)), constant_values=-1)
+
+
+def search_shard(x: np.ndarray, home: np.ndarray, queries: np.ndarray, beam: int = BEAM, degree: int = DEGREE) -> tuple[np.ndarray, np.ndarray]:
+    """Build a shard's graph and search it for all ``queries``.
 
     ``home`` is the node of each query that is itself in the shard, else -1: such a
     search starts at its own node, whose neighbours the build has found; all others
     start at the entry layer.
     """
-    width = width or beam
-    graph = build_graph(x, degree, beam)
-    ids, sims = np.full((len(queries), width), -1, np.int64), np.full((len(queries), width), -np.inf, np.float32)
+    graph, _ = build_graph(x, degree, beam)
+    ids, sims = np.full((len(queries), beam), -1, np.int64), np.full((len(queries), beam), -np.inf, np.float32)
     for own in (True, False):
         asked = np.flatnonzero((home >= 0) == own)
         for lo in range(0, len(asked), QUERY_BLOCK):
             at = asked[lo : lo + QUERY_BLOCK]
-            starts = home[at][:, None] if own else entries(x, queries[at])
-            ids[at], sims[at] = beam_search(x, graph, queries[at], starts, width)
+            ids[at], sims[at] = beam_search(x, graph, queries[at], home[at][:, None] if own else entries(x, queries[at]), beam)
     return ids, sims
 
 
+def with_similar(x: np.ndarray, home: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, degree: int = DEGREE) -> np.ndarray:
+    """The queries for which a greedy search finds another node of at least ``least``, on their insertion or in the whole graph."""
+    grown = max(1.0, (len(x) / CELL_ROWS) ** 0.35)  # a greater shard takes a wider beam
+    graph, best = build_graph(x, degree, int(beam * grown))
+    width = int(PROBE_BEAM * grown)
+    top = np.where(home >= 0, best[home], -np.inf)
+    for own in (True, False):
+        asked = np.flatnonzero(((home >= 0) == own) & (top < least))
+        for lo in range(0, len(asked), QUERY_BLOCK):
+            at = asked[lo : lo + QUERY_BLOCK]
+            ids, sims = beam_search(x, graph, queries[at], home[at][:, None] if own else entries(x, queries[at]), width if own else 2 * width)
+            top[at] = np.where(ids == home[at][:, None], -np.inf, sims).max(1)
+    return np.flatnonzero(top >= least)
+
+
 @dataclass(frozen=True)
 class Routing:
-    """Centroids, how many vectors each has, and the shards by hash of each where it can't be cut otherwise."""
+    """Centroids and about how many vectors each has; the sizes only decide which cells are cut again and into how many tasks."""
 
     centers: np.ndarray
     sizes: np.ndarray
-    shards: np.ndarray
 
 
 def _sample(rows: DataFrame, n: int, key: str, most: int) -> DataFrame:
@@ -230,29 +263,17 @@ def _sample(rows: DataFrame, n: int, key: str, most: int) -> DataFrame:
 
 
 def fit_routing(vectors: DataFrame, key: str = "chunk_id", column: str = "embedding", cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS) -> Routing:
-    """Fit centroids on at most ``SAMPLE_VECTORS`` rows drawn by a hash of the key, then count every cell."""
-    spark = vectors.sparkSession
+    """Fit centroids on at most ``SAMPLE_VECTORS`` rows drawn by a hash of the key; the sizes of the cells are estimated from the same rows."""
     n = vectors.count()
     table = _sample(vectors, n, key, SAMPLE_VECTORS).select(key, column).limit(SAMPLE_VECTORS).toArrow().sort_by(key).combine_chunks()
     chunk = table[column].combine_chunks() if len(table) else pa.array([], pa.list_(pa.float32()))
     x = unit(usable(chunk)[1])
     if not len(x):
-        return Routing(np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Routing(np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64))
     x = x[np.lexsort(x.T[:4])]
     centers = fit_centroids(x, min(most_cells, -(-n // cell_rows)))
-    held = spark.sparkContext.broadcast(centers)  # at most MOST_CELLS rows
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(held.value), np.int64)
-        for b in batches:
-            total += np.bincount((unit(usable(b.column(0))[1]) @ held.value.T).argmax(1), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["cell", "n"])
-
-    rows = vectors.select(column).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most MOST_CELLS rows
-    sizes = np.zeros(len(centers), np.int64)
-    for r in rows:
-        sizes[r["cell"]] = r["n"]
-    return Routing(centers, sizes, np.ones(len(centers), np.int64))
+    share = np.bincount((x @ centers.T).argmax(1), minlength=len(centers)) / len(x)
+    return Routing(centers, np.ceil(share * n).astype(np.int64))
 
 
 def _cells(u: np.ndarray, centers: np.ndarray, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,6 +312,7 @@ def _routed(vectors: DataFrame, routing: Routing, margin: float, probes: int, ke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, raw = usable(b.column(1))
+            rows, raw = _first_of_equal(b.column(0), rows, raw)
             for lo in range(0, len(rows), 4096):
                 part = raw[lo : lo + 4096]
                 r, c = _cells(unit(part), held.value, margin, probes)
@@ -298,7 +320,21 @@ def _routed(vectors: DataFrame, routing: Routing, margin: float, probes: int, ke
                 h = b.column(2).to_numpy(zero_copy_only=False)[rows[lo : lo + 4096]]
                 yield _emit(c, b.column(0).take(pa.array(rows[lo : lo + 4096])), packed, h, np.concatenate([[True], r[1:] != r[:-1]]), r)
 
-    return vectors.select(F.col(key).alias("id"), column, F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("h")).mapInArrow(run, _ROWS)
+    return vectors.select(F.col(key).alias("id"), column, F.pmod(F.xxhash64(column), F.lit(1 << 30)).alias("h")).mapInArrow(run, _ROWS)
+
+
+def _first_of_equal(ids: pa.Array, rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows with equal vectors the one with the smallest key: of a batch's copies one goes on."""
+    if not len(rows):
+        return rows, x
+    order = np.argsort(np.array(ids.take(pa.array(rows)).to_pylist(), object), kind="stable")
+    _, first = np.unique(_bytes(x[order]), return_index=True)
+    keep = np.sort(order[first])
+    return rows[keep], x[keep]
+
+
+def _bytes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
 
 
 def _unpack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -362,13 +398,12 @@ def _candidates(u: np.ndarray, nodes: np.ndarray, home: np.ndarray, beam: int, d
     With ``least``, a beam can't hold every node above it: each query for which the
     search found any such node is compared with the whole shard.
     """
-    found, sims = search_shard(u[nodes], home, u, beam, degree, PROBE_BEAM if least is not None else max(beam, 2 * k))
-    real = (found >= 0) & (found != home[:, None])
     if least is None:
-        left, at = np.nonzero(real)
+        found, _ = search_shard(u[nodes], home, u, max(beam, 2 * k), degree)
+        left, at = np.nonzero((found >= 0) & (found != home[:, None]))
         yield left, nodes[found[left, at]]
         return
-    near = np.flatnonzero((real & (sims >= least - SLACK)).any(1))
+    near = with_similar(u[nodes], home, u, least - SLACK, beam, degree)
     rows = max(1, (1 << 22) // len(nodes))
     for lo in range(0, len(near), rows):
         q = near[lo : lo + rows]
@@ -380,13 +415,15 @@ def _candidates(u: np.ndarray, nodes: np.ndarray, home: np.ndarray, beam: int, d
 
 def _shard_pairs(table: pa.Table, beam: int, degree: int, least: float | None, k: int) -> Iterator[pa.RecordBatch]:
     """A shard's finds as (a, b, similarity): the k best per query, or all at or above ``least``."""
+    table = table.sort_by("id").combine_chunks()  # a shard's graph doesn't depend on the order of its rows
+    _, first = np.unique(_bytes(_unpack(table["v"])), return_index=True)  # equal vectors are named by their smallest key
+    table = table.take(pa.array(np.sort(first)))
     ids = table["id"].combine_chunks()
     wide = _unpack(table["v"]).astype(np.float64)
     indexed = table["home"].to_numpy(zero_copy_only=False)
     norm = np.sqrt((wide**2).sum(1))
     u = (wide / norm[:, None]).astype(np.float32)
-    order = np.argsort(np.array(ids.to_pylist(), object), kind="stable")  # a shard's graph doesn't depend on the order of its rows
-    nodes = np.random.default_rng(1).permutation(order[indexed[order]])
+    nodes = np.random.default_rng(1).permutation(np.flatnonzero(indexed))
     if not len(nodes):
         return
     home = np.full(len(u), -1, np.int64)
@@ -416,19 +453,18 @@ def _usable_rows(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.where(F.col(key).isNotNull() & (F.size(column) == DIMENSIONS)).select(F.col(key).cast("string").alias("id"), F.col(column).cast("array<float>").alias("v"))
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """(v, id, last): the rows of each distinct vector, named by their smallest key, with their greatest."""
-    return rows.groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+def _members(rows: DataFrame) -> DataFrame:
+    """(rep, id): the rows of every vector that several keys have, named by the smallest of them.
 
-
-def _members(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """(rep, id): the rows of every vector that several keys have, named by the smallest of them."""
-    zero = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
-    several = groups.where((F.col("last") > F.col("id")) & ~zero).select("v", F.col("id").alias("rep"))
-    return salted_join(rows, several, ["v"], how="inner", on="id").select("rep", "id").distinct()
+    Vectors meet by 128 bits of hash, so they themselves aren't shuffled.
+    """
+    low, high, inf = F.array_min("v"), F.array_max("v"), float("inf")  # NaN is the greatest
+    keyed = rows.where((high < inf) & (low > -inf) & ((low != 0) | (high != 0)) & (F.size(F.array_compact("v")) == DIMENSIONS)).select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
+    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("last > rep")
+    return salted_join(keyed, groups.drop("last"), ["h1", "h2"], how="inner", on="id").select("rep", "id").distinct()
 
 
-def _search(rows: DataFrame, groups: DataFrame, margin: float, probes: int, beam: int, degree: int, least: float | None, k: int, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS) -> DataFrame:
+def _search(rows: DataFrame, margin: float, probes: int, beam: int, degree: int, least: float | None, k: int, cell_rows: int = CELL_ROWS, most_cells: int = MOST_CELLS) -> DataFrame:
     routing = fit_routing(rows, "id", "v", cell_rows, most_cells)
     if not len(routing.centers):
         return rows.sparkSession.createDataFrame([], _PAIRS)
@@ -439,7 +475,7 @@ def _search(rows: DataFrame, groups: DataFrame, margin: float, probes: int, beam
     # as many tasks as shards: a task's input doesn't grow with the table
     shards = np.where(routing.sizes > CUT_AT * cell_rows, -(-routing.sizes // cell_rows), 1)
     tasks = int(min(MOST_TASKS, shards.sum()))
-    routed = _refined(_routed(groups, routing, margin, probes, "id", "v"), routing, margin, probes, cell_rows)
+    routed = _refined(_routed(rows, routing, margin, probes, "id", "v"), routing, margin, probes, cell_rows)
     return routed.repartition(tasks, "cell").groupBy("cell").applyInArrow(run, _PAIRS)
 
 
@@ -451,14 +487,14 @@ def similar_links(vectors: DataFrame, least: float = 0.9, margin: float = MARGIN
     with their whole shards, and each cosine is checked in double precision.
     """
     rows = _usable_rows(vectors, key, column)
-    found = _search(rows, _groups(rows), margin, 1, beam, degree, least, 1, **cells)
+    found = _search(rows, margin, 1, beam, degree, least, 1, **cells)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def vector_groups(vectors: DataFrame, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
     """(rep, id): membership of every row whose vector another key has too; ``rep`` is the smallest of their keys."""
     rows = _usable_rows(vectors, key, column)
-    return _members(rows, _groups(rows))
+    return _members(rows)
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.9, margin: float = MARGIN, beam: int = BEAM, degree: int = DEGREE, key: str = "chunk_id", column: str = "embedding", **cells: int) -> DataFrame:
@@ -478,7 +514,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, margin: float = MARGIN
     return across.where("a <> b").unionByName(within).select(F.least("a", "b").alias("chunk_id_a"), F.greatest("a", "b").alias("chunk_id_b")).distinct()
 
 
-def nearest(vectors: DataFrame, k: int = 10, probes: int = 6, margin: float = MARGIN, beam: int = BEAM, degree: int = DEGREE, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, probes: int = 6, margin: float = MARGIN, beam: int = 64, degree: int = 32, key: str = "chunk_id", column: str = "embedding") -> DataFrame:
     """The k most similar other rows of every usable row: (chunk_id, neighbor_id, similarity, rank).
 
     Ties go to the smaller key.  Vectors are searched once each; of a vector's rows only
@@ -486,11 +522,10 @@ def nearest(vectors: DataFrame, k: int = 10, probes: int = 6, margin: float = MA
     the README for recall against brute force.
     """
     rows = _usable_rows(vectors, key, column)
-    groups = _groups(rows)
-    found = _search(rows, groups, margin, probes, beam, degree, None, k)
+    found = _search(rows, margin, probes, beam, degree, None, k)
     first = lambda df, by, order: df.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(*order)))
     best = first(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "a", [F.desc("similarity"), F.asc("b")]).where(F.col("_r") <= k).select("a", "b", "similarity")
-    members = _members(rows, groups)
+    members = _members(rows)
     few = first(members, "rep", [F.asc("id")]).where(F.col("_r") <= k + 1).groupBy("rep").agg(F.collect_list("id").alias("ids"))  # at most k + 1 each
     own = few.select(F.col("rep").alias("a"), F.col("ids").alias("near"), F.lit(1.0).alias("similarity"))
     other = best.join(few.select(F.col("rep").alias("b"), "ids"), "b", "left").select("a", F.coalesce("ids", F.array("b")).alias("near"), "similarity")
