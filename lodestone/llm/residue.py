@@ -1,308 +1,387 @@
-"""Template residue, filler and error pages: weak labels, a linear classifier, an exact check.
-
-A text is read in windows of 32 bytes, 16 apart.  A window's features are hashed byte
-3-grams and 6-grams of its lower-cased text, with the document's length and title
-shape beside them.  Weights are those of an L2-regularised logistic regression fitted
-on weak labels (phrases, placeholder forms, response statuses) over a bounded sample
-of documents, and the threshold is validated on repositories that the fit hasn't seen.
-Documents with a window above it are candidates; `residue_kind` then decides exactly.
+"""Template residue, filler and error pages: a regularised linear classifier of segments.
+
+A text is cut into segments at line ends and sentence ends.  A segment's features are
+hashed n-grams of three readings of its bytes (lower case with digits as one; without
+blanks and with every kind of delimiter as one; shapes of letters, digits and signs),
+its length, the text's length and whether it stands as the title.  Two weight vectors of
+an L2-regularised logistic regression are fitted on weak labels: response statuses and
+failure outputs for error pages, template forms and repeated or pseudo-Latin text for
+placeholders and filler.  The classifier decides: a text is residue if one of its
+segments is a placeholder or filler, or if most of it, by length, is an error page.
+Recall and precision are reported on repositories that the fit hasn't seen.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from http import HTTPStatus
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents the classifier is fitted and validated on, at most; drawn by a hash of the id.
-SAMPLE_DOCS = 3000
-#: Windows of a kind that the fit uses, at most.
-SAMPLE_WINDOWS = 40_000
-WINDOW, STEP = 32, 16
-BITS = 16
-#: How far below the lowest score of a known positive the threshold lies.
-MARGIN = 1.5
-SLICE_BYTES = 2 << 20
-
-# Names that templates leave to be filled in.
-PLACEHOLDER_NAMES = (
-    "title", "date", "service", "approver", "decision owner", "component name", "option", "version", "team name", "link to ticket",
-    "state the scope", "insert context here", "add consequences", "describe the chosen option", "short description of the problem",
-    "titre", "équipe", "responsable", "nom du composant", "insérer le contexte ici", "décrire la décision",
-    "titel", "team", "datum", "verantwortliche stelle", "name der komponente", "kontext hier einfügen", "entscheidung beschreiben",
-    "título", "fecha", "equipo", "nombre del componente", "insertar el contexto aquí", "describir la decisión",
-)
-# Texts that stand for content to come.
-FILLERS = (
-    "your text here", "text goes here", "write something here", "sample text", "dummy paragraph", "placeholder text", "insert text here", "replace me",
-    "fill in later", "to be written", "to be completed", "to be determined", "coming soon", "content to follow", "this section intentionally left for the author",
-    "this page intentionally left blank", "asdf qwer asdf", "asdf asdf", "lorem ipsum", "hier text ergänzen", "platzhaltertext", "text folgt",
-    "texte à remplacer", "à compléter", "texto de relleno", "por completar",
-)
-_REPEATS = ("???", "??? ??? ???", "n/a n/a n/a", "test test 123", "abc abc abc 123", "blah blah blah", "xxxxx xxxxx xxx", "description description description")
-# Words of pseudo-Latin filler.
-PSEUDO_LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
-    "exercitation ullamco laboris nisi aliquip ex ea commodo consequat aminte astra congue dolem ferum fervi istaque mollit nullat odiur orem palus quira senit "
-    "tempas ursat velor vendre".split()
+from lodestone.session import spread
+
+#: Documents the classifier is fitted and reported on, at most; drawn by a hash of the id.
+SAMPLE_DOCS = 10_000
+#: Plain segments the fit uses, at most; those with unusual signs and short ones, each once, all count.
+SAMPLE_SEGMENTS = 12_000
+#: Hashed n-grams: (reading, length); bits of a hash.
+GRAMS = ((0, 5), (0, 9), (1, 7), (1, 11), (2, 6))
+BITS = 17
+TABLE = (len(GRAMS) + 1) << BITS
+EPOCHS, RATE, L2 = 20, 0.05, 1e-6
+#: Smoothing of n-gram counts, and the weight that every scaled n-gram starts with.
+SMOOTH, START = 2.0, 0.05
+#: A known residue segment weighs as much as so many others.
+POSITIVE_WEIGHT = 8.0
+#: Mean log-ratio of a segment's n-grams from which the first pass takes an unlabelled segment for residue, and its passes.
+EXPAND_AT, PASSES = 1.2, 5
+#: Log-odds from which a segment is template residue or part of an error page, and the share of a text's bytes that the latter must make up.
+TEMPLATE_AT, ERROR_AT, ERROR_SHARE = -1.0, -0.5, 0.5
+SLICE_BYTES = 1 << 20
+
+# Weak labels.  Fixed values: response statuses and failure outputs at the head of a text.
+_STATUS = re.compile(
+    r"\A(?:\s|<[^<>]*>)*(?:HTTP/[\d.]+ )?[45]\d\d\b|\A\s*\{\s*\"(?:status|code)\":\s*\"?[45]\d\d\b|\A\s*<error>|\A\s*(?i:error|fatal|critical)[: ]|\A\s*(?:[\w$]+\.)+\w*(?:Exception|Error)\b|\A\s*Traceback \("
+    r"|\A\s*<noscript>|\A\s*Loading\b[^\n]{0,5}\n[^\n]{1,200}\n[^\n]{1,20}\s*\Z"
 )
-# Titles of error pages.
-ERROR_TITLES = (
-    "internal server error", "service unavailable", "bad gateway", "gateway timeout", "too many requests", "page not found", "not found", "access denied", "forbidden",
-    "unauthorized", "request blocked", "session expired", "sign in required", "login required", "invalid link", "connection reset", "something broke", "nothing here",
-    "repository unavailable", "space archived", "bad request", "request timeout", "interner fehler", "seite nicht gefunden", "zugriff verweigert", "erreur interne",
-    "page introuvable", "accès refusé", "error interno", "página no encontrada", "acceso denegado",
-)
-# Sentences of error pages and of sign-in, blocking, browser, cookie and script notices.
-ERROR_SENTENCES = (
-    "something went wrong on our side", "please try again later", "the upstream server returned an invalid answer", "the server did not answer in time",
-    "you have hit the rate limit", "slow down and retry", "the page you asked for does not exist or was moved", "we could not find that record",
-    "it may have been renamed or removed", "you do not have permission to view this space", "the firewall refused this request", "contact the help desk with the code below",
-    "your session has ended", "sign in again to continue", "log in with your work account to read this record", "the share link is expired or incomplete",
-    "the connection to the document server was closed early", "our wiki tripped over this request", "the team has been told", "we are down for maintenance and will be back shortly",
-    "this repository is private, archived or was deleted", "this space is no longer served", "ask an administrator for a copy",
-    "die gesuchte seite existiert nicht oder wurde verschoben", "etwas ist schiefgelaufen", "bitte später erneut versuchen", "sie haben keine berechtigung für diesen bereich",
-    "la page demandée n'existe pas ou a été déplacée", "un problème est survenu", "réessayez plus tard", "vous n'avez pas les droits pour cet espace",
-    "la página solicitada no existe o se ha movido", "algo ha fallado", "inténtelo de nuevo más tarde", "no tiene permiso para ver este espacio",
-    "your browser is out of date or blocks scripts; the page cannot be shown", "for the best experience switch to a current browser", "viewer requires a browser with script support",
-    "please enable javascript to view this wiki", "you need to enable javascript to run this app", "this application needs scripts to run", "turn them on and reload",
-    "sorry, this viewer does not work without scripts", "scripting is disabled", "some parts of this space stay hidden until it is allowed", "loading editor",
-    "if nothing happens, check that scripts are allowed", "checking your browser before access", "this takes a few seconds", "we use cookies", "accept all to continue reading",
-    "content blocked until you choose your cookie settings", "bitte aktivieren sie javascript, um dieses wiki anzuzeigen", "diese anwendung benötigt skripte",
-    "schalten sie sie ein und laden sie neu", "veuillez activer javascript pour afficher ce wiki", "cette application a besoin de scripts", "activez-les puis rechargez",
-    "active javascript para ver este wiki", "esta aplicación necesita scripts", "actívelos y recargue la página",
+# Template forms that plain prose doesn't have.
+_FORM = re.compile(
+    r"(?:\[\[|\{\{|<<|%%|@@|\{%|<%=|#\{|«)\s*([^\W\d_][\w' -]{1,50}?)\s*(?:\]\]|\}\}|>>|%%|@@|%\}|%>|\}|»)|\[(?:TODO|TBD|FIXME)[: ]\s*([^\]\n]{2,50})\]|<!-- ?([^\W\d_][\w' -]{2,40}?) ?-->|\bxxx ([\w' -]{2,40}?) xxx\b"
+)
+#: Words of short notices and failures; a text of at most ``SHORT`` bytes with one of them is one, unless it talks about it.
+_NOTICE = re.compile(r"\b(?:javascript|scripts?|cookies?|browser|try again|sign in|log in|not found|access denied|went wrong|permission|permiso|no longer served|session (?:has ended|expired)|rate limit|help desk)\b", re.I)
+SHORT = 200
+#: Any form whose inside may be a name that the forms above use.
+_MAYBE = re.compile(r"(?:[\[{<«(]|\$\{|\$\(|__|\.\.\.)\s*([^\W\d_][\w' -]{1,50}?)\s*\d?\s*(?:[\]}>»)]|__|\.\.\.)|\b(?:FIXME|TBD|TODO):? +([^\W\d_][\w' -]{1,40})", re.I)
+#: Words with which real text talks about templates and pages.
+_ABOUT = re.compile(r"\b(?:like|such as|fields?|contains?|counts?|marked|uses?|reads?|render\w*|required|example|instead of|percent|checks?|generics?)\b", re.I)
+# Phrases that stand for content to come.
+FILLERS = (
+    "your text here", "text goes here", "write something here", "sample text", "dummy paragraph", "placeholder text", "insert text here", "replace me", "fill in later", "to be written",
+    "to be completed", "to be determined", "to be defined", "to be added", "coming soon", "content to follow", "this section intentionally left for the author", "this page intentionally left blank",
+    "asdf qwer asdf", "asdf", "blah", "lorem ipsum", "hier text ergänzen", "platzhaltertext", "text folgt", "texte à remplacer", "à compléter", "texto de relleno", "por completar",
 )
 # Openings and closings of placeholders.
 FORMS = (
-    ("[[", "]]"), ("{{", "}}"), ("${", "}"), ("<<", ">>"), ("__", "__"), ("@@", "@@"), ("«", "»"), ("%%", "%%"), ("xxx ", " xxx"), ("{%", "%}"), ("<%=", "%>"),
-    ("$(", ")"), ("#{", "}"), ("<!--", "-->"), ("[TODO:", "]"), ("...", "..."), ("{", "}"), ("[", "]"), ("<", ">"), ("FIXME ", ""), ("TBD: ", ""), ("TODO: ", ""),
+    ("[[", "]]"), ("{{", "}}"), ("${", "}"), ("<<", ">>"), ("__", "__"), ("@@", "@@"), ("«", "»"), ("%%", "%%"), ("xxx ", " xxx"), ("{% ", " %}"), ("<%= ", " %>"), ("$(", ")"), ("#{", "}"),
+    ("<!-- ", " -->"), ("[TODO: ", "]"), ("...", "..."), ("{", "}"), ("[", "]"), ("<", ">"), ("FIXME ", ""), ("TBD: ", ""), ("TODO: ", ""),
 )
-
-_NAME = "|".join(re.escape(n).replace(r"\ ", r"[\s_-]*") for n in sorted(PLACEHOLDER_NAMES, key=len, reverse=True))
-_ASKED = r"(?:insert|describe|state|enter|fill|choose|add|your|name[\s_-]of|short[\s_-]description)[\s_-][\w\s-]{2,40}"
-_PLACEHOLDER = re.compile(
-    "|".join(
-        (r"(?<![\w])" if o.strip().isalnum() or o in ("[", "{", "__") else "") + re.escape(o.strip()) + rf"\s*(?:(?:{_NAME})[\s_-]*\d{{0,2}}" + (rf"|{_ASKED})" if len(o.strip()) > 1 and c else ")") + (r"\s*" + re.escape(c.strip()) if c else r"(?![\w-])")
-        for o, c in FORMS
-    ),
-    re.I,
-)
-#: What is quoted, code, an index or a map, or a list of fields is no placeholder.
-_QUOTED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]{1,120}`|\"[^\"\n]{1,120}\"|\bfields? \[[^\]\n]*\](?:(?:,| and) \[[^\]\n]*\])*|\bmaps? like \{[^}\n]*\}|\{[^{}\n]*\}\s*->|</?title>", re.S | re.I)
-_LEAD = re.compile(r"^(?:[-*+>•#\s]+|\d{1,3}[.)]?\s+|\[\d\d?:\d\d\]\s*|\d\d?:\d\d(?: UTC)?\s+|(?:\[\d\d?:\d\d\] )?\w+:\s+(?=\S))*")
-_ENDS = re.compile(r"(?<=[.!?…])\s+|[\r\n]+")
-_REPEATED = re.compile(r"^(\w[\w/ ]{0,28}?)(?:[\s,]+\1){2,}(?:\s+\d+){0,3}$|^(\w{2,12}) \2 \d+$|^(?:\?{3,}\s*)+$|^(?:x{3,}\s*){2,}$")
-_FILLER = re.compile("(" + "|".join(map(re.escape, sorted(FILLERS, key=len, reverse=True))) + r")(?:[\s,.]+\1)*")
-_FRAME = re.compile(
-    r"loading(?:…|\.\.\.)?|home \| search \| help|reload|retry|help|edge|back|close|content-[a-z]+: .*|x-[a-z-]+: .*|(?:ref|request id|incident|trace|code)\b[:=# ]*[\w-]{2,40}"
-    r"|#?[0-9a-f][0-9a-f-]{3,40}|©.{1,40}|[\w -]{1,40} wiki|for id \w+"
-)
-_FAILURE = re.compile(
-    r"(?:[a-z]\w*\.)+\w*(?:exception|error)\b.*|at [\w.$<>]+\([^)]*\)?|caused by: .*|traceback \(most recent call last\):?|file \"[^\"]+\", line \d+.*|\w*(?:error|exception): .{1,120}"
-    r"|(?:fatal|critical)[: ].{1,160}|error: .{1,160}|.{0,40}\bexport failed\b.{0,80}", re.S
-)
-_STATUS = re.compile(r"(?:http/[\d.]+\s+)?(?:[1-5]\d\d)\s+(.{1,60})")
-_JSON = re.compile(r'^\s*\{\s*"(?:status|error|code|message)"\s*:', re.I)
-
-
-def _plain(segment: str) -> str:
-    return re.sub(r"\s+", " ", segment).strip().strip("()[]*_.!… ").lower().replace("’", "'")
-
-
-def _error_page(text: str) -> bool:
-    """Whether the whole text is an error page, a failure's output or a notice, but for frames and one title."""
-    body = re.sub(r"<[^<>]*>", "\n", text)
-    if _JSON.match(body):
-        body = "\n".join(re.findall(r'"(?:error|message|detail|title)"\s*:\s*"([^"]*)"', body)) or body
-    hits = failed = 0
-    for k, segment in enumerate(s for line in re.split(r"[\r\n»]+", body) for s in ([line] if _FAILURE.fullmatch(_plain(line)) else _ENDS.split(line)) if s.strip()):
-        s = _plain(segment)
-        status = _STATUS.fullmatch(s)
-        if s in ERROR_SENTENCES or s in ERROR_TITLES or (status and status.group(1) in ERROR_TITLES):
-            hits += 1
-        elif _FAILURE.fullmatch(s):
-            failed += 1
-        elif not s or _FRAME.fullmatch(s) or segment.strip().startswith("©"):
-            continue
-        elif k or len(s.split()) > 8 or segment.strip()[-1] in ".!?":
-            return False
-    return hits + failed > 0
-
-
-def residue_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of what makes a text residue; an empty list for real texts."""
-    if not text or not text.strip():
-        return []
-    if _error_page(text):
-        return [(0, len(text), "error")]
-    masked = _QUOTED.sub(lambda m: re.sub(r"[^\n]", "\u0001", m.group()), text)
-    found = [(m.start(), m.end(), "placeholder") for m in _PLACEHOLDER.finditer(masked)]
-    at = 0
-    for segment in [*_ENDS.split(masked)]:
-        start = masked.find(segment, at)
-        at = start + len(segment)
-        core = segment[_LEAD.match(segment).end() :]
-        s = _plain(core)
-        words = s.split()
-        latin = len(words) >= 4 and sum(w.strip(",.;:") in PSEUDO_LATIN for w in words) >= 0.8 * len(words)
-        if s and (latin or s.startswith("lorem ipsum") or _FILLER.fullmatch(s) or _REPEATED.fullmatch(s)) or core.strip(" .()") == "???":
-            found.append((start, at, "filler"))
-    return found
-
-
-def residue_kind(text: str | None) -> str | None:
-    """``placeholder``, ``filler`` or ``error``; null for real, null, empty and blank texts."""
-    spans = residue_spans(text or "")
-    return spans[0][2] if spans else None
-
-
-_LOWER = np.arange(256, dtype=np.uint32)
+#: Names of the sample that the fit puts into every form, at most, the most used first.
+SEED_NAMES = 60
+_FILLER = re.compile("(?:" + "|".join(map(re.escape, sorted(FILLERS, key=len, reverse=True))) + r")(?!\w)", re.I)
+_REPEAT = re.compile(r"\W*(\w[\w/ ]{0,28}?)(?:[\s,/]+\1){2,}\W*(?:\d+\W*)?|\W*(?:\?{3,}\W*)+|\W*(?:x{3,}\W*){2,}", re.I)
+_LEAD = re.compile(r"^(?:[-*+>•#\s(]+|\d{1,3}[.)]?\s+|\[?\d\d?:\d\d\]?\s*(?:UTC\s+)?)*(?:\w+: )?")
+_UNUSUAL = re.compile(rb"[<>{}\[\]$%@#_\xc2*?]|\.\.|xxx|(?i:todo|tbd|fixme|lorem)")
+_QUOTED = re.compile(rb"```[^\x00]*?(?:```|(?=\x00))|`[^`\n\x00]{1,200}`|\"[^\"\n\x00]{1,200}\"|\x00[^\x00]", re.S)
+
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER[48:58], _LOWER[13], _LOWER[9] = 48, 10, 32
+_CLASS = _LOWER.copy()
+_CLASS[97:123] = _CLASS[128:] = 97
+_DELIMITER = np.isin(np.arange(256), np.frombuffer(b"<>{}[]$%@#=|&*~^\\", np.uint8))
+
+
+def _readings(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The three readings of bytes, each with the places of its bytes in ``data``."""
+    n, low = len(data), _LOWER[data]
+    place = np.arange(n, dtype=np.int32)
+    yield low, place
+    same = np.zeros(n + 1, bool)
+    same[1:n] = low[1:] == low[:-1]
+    delimiter = _DELIMITER[low] | ((same[:n] | same[1:]) & ((low == 95) | (low == 46) | (low == 45)))
+    quote = np.zeros(n + 1, bool)
+    quote[: n - 1] = (data[:-1] == 0xC2) & ((data[1:] == 0xAB) | (data[1:] == 0xBB))  # angle quotes in UTF-8
+    delimiter |= quote[:n] | np.concatenate([[False], quote[: n - 1]])[:n]
+    one = np.where(delimiter, np.uint8(1), low)
+    keep = ~((one == 32) | (one == 95) | (one == 45))
+    keep[1:] &= ~((one[1:] == 1) & (one[:-1] == 1))
+    yield one[keep], place[keep]
+    shape = _CLASS[data]
+    keep = np.ones(n, bool)
+    keep[1:] = ~((shape[1:] == shape[:-1]) & ((shape[1:] == 97) | (shape[1:] == 48) | (shape[1:] == 32)))
+    yield shape[keep], place[keep]
+
+
+def _hashes(b: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Hashed n-grams that start at each byte, one array per size; sizes rise, and the ends are padded."""
+    n = len(b)
+    wide = np.concatenate([b, np.zeros(12, np.uint8)]).astype(np.uint32)
+    word = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
+    out = []
+    for size in sizes:
+        h = word[:n] * np.uint32(0x9E3779B1)
+        at = 4
+        while at + 4 <= size:
+            h = (h ^ (word[at : at + n] * np.uint32(0x85EBCA6B) + np.uint32(at))) * np.uint32(0xC2B2AE35)
+            at += 4
+        while at < size:
+            h = (h ^ (wide[at : at + n] + np.uint32(77 * at))) * np.uint32(0x27D4EB2F)
+            at += 1
+        out.append((h >> np.uint32(32 - BITS)).astype(np.int32))
+    return out
 
 
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 3-gram and 6-gram that start at each byte (the last ones are padded)."""
-    b = _LOWER[np.concatenate([data, np.zeros(6, np.uint8)])]
-    short = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
-    long = (short[:-3] ^ (short[3:] * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-    n = len(data)
-    return (short[:n] >> np.uint32(32 - BITS)).astype(np.int32), (long[:n] >> np.uint32(32 - BITS)).astype(np.int32)
-
-
-def _shape(raw: bytes) -> np.ndarray:
-    """Dense features: bias, length, shortness, and whether the first line looks like a title."""
-    first = raw.lstrip()[:200].split(b"\n", 1)[0]
-    return np.array([1.0, np.log1p(len(raw)) / 10, len(raw) < 400, first[:1] == b"#" or (len(first) < 60 and not first.rstrip().endswith(b"."))], np.float32)
+@dataclass(frozen=True)
+class Segments:
+    """The segments of several texts: bounds in their joined bytes, owner, features of each byte's n-grams, and dense features."""
+
+    data: bytes
+    begin: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    quoted: np.ndarray
+    dense: np.ndarray
 
 
-def _starts(n: int) -> np.ndarray:
-    return np.arange(0, max(1, n - STEP), STEP)
+def _segments(texts: list[str]) -> Segments:
+    raw = [t.encode("utf-8", "replace").replace(b"\0", b" ") for t in texts]
+    joined = b"\n\0".join([*raw, b""])
+    data = np.frombuffer(joined, np.uint8)
+    sizes = np.array([len(r) + 2 for r in raw], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    cut = np.zeros(len(data) + 1, bool)
+    cut[starts] = True
+    cut[1 : len(data)] |= ((data[:-1] == 46) | (data[:-1] == 33) | (data[:-1] == 63)) & (data[1:] == 32)
+    cut[: len(data)] |= (data == 10) | (data == 13)
+    begin = np.flatnonzero(cut[: len(data)])
+    end = np.append(begin[1:], len(data))
+    owner = np.searchsorted(starts, begin, "right") - 1
+    ink = np.concatenate([[0], np.cumsum((data > 32) & (data != 0))])
+    some = ink[end] > ink[begin]
+    begin, end, owner = begin[some], end[some], owner[some]
+    quoted = np.zeros(len(data), bool)
+    if b"`" in joined or b'"' in joined:
+        for m in _QUOTED.finditer(joined):
+            if m.group()[:1] != b"\0":
+                quoted[m.start() : m.end()] = True
+    grams = []
+    for k, (b, place) in enumerate(_readings(data)):
+        which = [(j, size) for j, (reading, size) in enumerate(GRAMS) if reading == k]
+        for (j, _), h in zip(which, _hashes(b, [size for _, size in which])):
+            grams.append((place, h + np.int32(j << BITS)))
+    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
+    length, whole = np.log2(end - begin + 1).astype(np.int32), np.log2(sizes[owner]).astype(np.int32)
+    dense = np.stack([length + 64 * first, 128 + whole], 1) + (len(GRAMS) << BITS) if len(owner) else np.zeros((0, 2), np.int64)
+    return Segments(joined, begin, end, owner, grams, quoted, dense)
 
 
 @dataclass(frozen=True)
 class ResidueModel:
-    short: np.ndarray
-    long: np.ndarray
-    dense: np.ndarray
-    threshold: float
+    """Weights of template residue (placeholders and filler) and of error pages, with their biases, and what was measured on unseen hosts."""
+
+    template: np.ndarray
+    error: np.ndarray
+    bias: tuple[float, float]
     report: dict
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """The highest window score of each text; minus infinity for empty ones."""
-        raw = [t.encode("utf-8", "replace") for t in texts]
-        pad = b"\0" * 8
-        data = np.frombuffer(pad.join([*raw, b""]), np.uint8)
-        if not len(data):
-            return np.full(len(texts), -np.inf)
-        hs, hl = _hashes(data)
-        total = np.concatenate([[0.0], np.cumsum(self.short[hs] + self.long[hl], dtype=np.float64)])
-        out = np.full(len(texts), -np.inf)
-        sizes = np.array([len(r) for r in raw])
-        begins = np.concatenate([[0], np.cumsum(sizes + len(pad))[:-1]])
-        count = np.maximum(1, -(-(sizes - STEP) // STEP)) * (sizes > 0)
-        owner = np.repeat(np.arange(len(raw)), count)
-        if not len(owner):
-            return out
-        first = np.cumsum(count) - count
-        at = begins[owner] + (np.arange(len(owner)) - first[owner]) * STEP
-        window = total[np.minimum(at + WINDOW, begins[owner] + sizes[owner])] - total[at]
-        some = np.flatnonzero(count)
-        best = np.maximum.reduceat(window, first[some])
-        out[some] = best / WINDOW + np.array([float(_shape(raw[i]) @ self.dense) for i in some])
+    def segment_scores(self, s: Segments) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of each segment for template residue and for error pages; what stands in quotes or code is no template residue."""
+        out = []
+        for weights, bias, plain in ((self.template, self.bias[0], True), (self.error, self.bias[1], False)):
+            total = np.zeros(len(s.data) + 1)
+            for place, h in s.grams:
+                value = weights[h]
+                if plain:
+                    value = np.where(s.quoted[place], np.float32(0), value)
+                total[1:] += np.bincount(place, value, len(s.data)) if len(place) < len(s.data) else value
+            np.cumsum(total, out=total)
+            out.append(total[s.end] - total[s.begin] + weights[s.dense].sum(1) + bias)
+        return out[0], out[1]
+
+    def kinds(self, texts: list[str]) -> list[str | None]:
+        """``placeholder``, ``filler`` or ``error`` per text, None for real texts and those without a segment."""
+        s = _segments(texts)
+        template, error = self.segment_scores(s)
+        size = (s.end - s.begin).astype(np.float64)
+        whole = np.bincount(s.owner, size, len(texts))
+        share = np.bincount(s.owner, size / (1 + np.exp(-np.clip(error - ERROR_AT, -30, 30))), len(texts)) / np.maximum(whole, 1)
+        out: list[str | None] = [None] * len(texts)
+        found = np.flatnonzero(template >= TEMPLATE_AT)
+        for k in found[np.argsort(-template[found], kind="stable")]:
+            if out[s.owner[k]] is None:
+                out[s.owner[k]] = "placeholder" if re.search(rb"[\[{<$@%_]|\xc2[\xab\xbb]|TODO|FIXME|TBD|xxx|\.\.\.\w", s.data[s.begin[k] : s.end[k]]) else "filler"
+        for t in np.flatnonzero((share >= ERROR_SHARE) & (whole > 0)):
+            out[t] = "error"
         return out
 
 
-def _windows(raw: bytes, spans: list[tuple[int, int]] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash rows of a text's windows (-1 where a window is short); with spans only those that cover most of one."""
-    n = len(raw)
-    hs, hl = _hashes(np.frombuffer(raw, np.uint8))
-    at = _starts(n)
-    if spans is not None:
-        at = np.array([a for a in at if any(min(a + WINDOW, e) - max(a, s) >= min(e - s, STEP) * 0.9 for s, e in spans)], np.int64)
-    place = at[:, None] + np.arange(WINDOW)[None, :]
-    inside = place < n
-    place = np.minimum(place, n - 1)
-    dense = np.repeat(_shape(raw)[None, :], len(at), 0)
-    return np.where(inside, hs[place], -1), np.where(inside, hl[place], -1), dense
+def _name(text: str) -> str:
+    return re.sub(r"[\W\d_]+", "", text.lower())
+
+
+def _plain(segment: bytes, quoted: np.ndarray) -> str:
+    """A segment's text with what is quoted blanked out."""
+    out = np.frombuffer(segment, np.uint8).copy()
+    out[quoted] = 2
+    return out.tobytes().decode("utf-8", "replace")
 
 
-@cache
-def _seeds() -> tuple[str, ...]:
-    """Every phrase and placeholder form as a text of its own: no weak label is too rare to be learned."""
-    forms = [f"{o}{n}{c}" for o, c in FORMS for n in PLACEHOLDER_NAMES]
-    return (*forms, *FILLERS, *ERROR_TITLES, *ERROR_SENTENCES, *(f"404 {t}" for t in ERROR_TITLES), " ".join(sorted(PSEUDO_LATIN)), *_REPEATS, *(f"({f})" for f in (*FILLERS, *_REPEATS)), "Traceback (most recent call last):", "ERROR: export failed at step 3")
+def _seeds(names: list[str]) -> list[str]:
+    """Every form around every name, and every filler phrase, in several surroundings: no weak label is too rare to be learned."""
+    cased = (str.lower, str.upper, str.title, lambda n: n.lower().replace(" ", "_"), lambda n: n.title().replace(" ", ""))
+    around = ("{}", "* Owner: {}", "Ticket: {}. The cost stays flat.", "1. {}", "Approved by {} on the new broker.")
+    out = [around[(i + j) % len(around)].format(o + cased[(2 * i + j) % len(cased)](n) + c) for i, n in enumerate(names) for j, (o, c) in enumerate(FORMS)]
+    for f in (*FILLERS, "???", "n/a n/a n/a", "test test 123", "xxxxx xxxxx xxx"):
+        out += [f, f.upper(), f"({f})", f"{f.capitalize()}.", f"1. {f}", f"12:05 UTC {f}", " ".join([f] * 3), f"Status: {f}"]
+    return out
 
 
-def fit(rows: list[tuple[str, str]], epochs: int = 25, rate: float = 0.5, l2: float = 1e-6) -> ResidueModel:
-    """Fit on (host, text) rows; a fifth of the hosts is held back to validate the threshold.
+def weak_labels(texts: list[str], s: Segments) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Weak labels of segments, template residue and error pages, and the names that the forms use, the most used first.
 
-    Deterministic: draws depend on the rows' order only.  Without any row the phrases
-    themselves are the positives and a few plain words the negatives.
+    Names inside unambiguous template forms are collected; a name of at least two texts
+    counts inside any form.  Where a segment talks about such things it is none.
+    """
+    pieces = [s.data[a:b] for a, b in zip(s.begin, s.end)]
+    plain = [_plain(p, s.quoted[a:b]) if len(p) < 64 or _UNUSUAL.search(p) else "" for p, a, b in zip(pieces, s.begin, s.end)]
+    used: dict[str, set[int]] = defaultdict(set)
+    spelled: dict[str, Counter] = defaultdict(Counter)
+    for t, owner in zip(plain, s.owner):
+        for m in _FORM.finditer(t) if t and not _ABOUT.search(t) else ():
+            inside = next(g for g in m.groups() if g)
+            used[_name(inside)].add(int(owner))
+            spelled[_name(inside)][re.sub(r"[\s_-]+", " ", inside.lower()).strip()] += 1
+    names = {n for n, owners in used.items() if len(owners) >= 2 and len(n) > 2}
+    seeds = [max(spelled[n], key=lambda k: (k.count(" "), spelled[n][k], k)) for n in sorted(names, key=lambda n: (-len(used[n]), n))]
+
+    def template(t: str) -> bool:
+        if not t or _ABOUT.search(t):
+            return False
+        core = _LEAD.sub("", t).strip()
+        if _REPEAT.fullmatch(core) or (m := _FILLER.match(core)) and (len(core) < m.end() + 4 or core.lower().startswith("lorem")):
+            return True
+        return _FORM.search(t) is not None or any(_name(next(g for g in m.groups() if g)) in names for m in _MAYBE.finditer(t))
+
+    error = np.array([_STATUS.search(t) is not None or len(t) <= SHORT and _NOTICE.search(t) is not None and not _ABOUT.search(t) and "`" not in t for t in texts], bool)
+    return np.array([template(t) for t in plain], bool), error[s.owner] if len(s.owner) else np.zeros(0, bool), seeds
+
+
+def _rows(s: Segments, keep: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the kept segments: (segment number, feature) in order of the segment."""
+    number = np.full(len(s.begin), -1, np.int64)
+    number[keep] = np.arange(len(keep))
+    owner, feature = [np.repeat(np.arange(len(keep)), s.dense.shape[1])], [s.dense[keep].ravel()]
+    for place, h in s.grams:
+        seg = np.searchsorted(s.begin, place, "right") - 1
+        ok = (seg >= 0) & (number[np.maximum(seg, 0)] >= 0) & (place < s.end[np.maximum(seg, 0)])
+        if plain:
+            ok &= ~s.quoted[place]
+        owner.append(number[seg[ok]])
+        feature.append(h[ok].astype(np.int64))
+    at, f = np.concatenate(owner), np.concatenate(feature)
+    order = np.argsort(at, kind="stable")
+    return at[order], f[order]
+
+
+def _expand(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, blocked: np.ndarray, text: np.ndarray | None = None, size: np.ndarray | None = None, whole: np.ndarray | None = None) -> np.ndarray:
+    """Labels with the unlabelled segments added whose n-grams are mostly those of labelled ones.
+
+    With ``text``, the number of each segment's text, a label that most of a text has goes
+    to all its segments: that is how the frames of error pages are learned.
+
+    The mean log-ratio of n-gram frequencies doesn't mind that such segments were counted
+    among the rest, unlike a classifier that has learned them as such.
+    """
+    for _ in range(PASSES):
+        if not y.any() or y.all():
+            return y
+        score = np.bincount(owner, np.clip(_ratio(feature, y[owner]), -4, 6)[feature], len(y)) / np.maximum(np.bincount(owner, minlength=len(y)), 1)
+        more = y | ((score >= EXPAND_AT) & ~blocked)
+        if text is not None:
+            more |= (np.bincount(text, size * more, len(whole)) >= ERROR_SHARE * np.maximum(whole, 1))[text]
+        if (more == y).all():
+            break
+        y = more
+    return y
+
+
+def _ratio(feature: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Log-ratio of each n-gram's frequency in known segments to that in the rest."""
+    seen = np.bincount(feature, minlength=TABLE)
+    hits = np.bincount(feature[known], minlength=TABLE)
+    part = (hits.sum() + 1) / (seen.sum() + 2)
+    return np.log((hits + SMOOTH * part) / part) - np.log((seen - hits + SMOOTH * (1 - part)) / (1 - part))
+
+
+def _regress(owner: np.ndarray, feature: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression by AdaGrad over n-grams scaled by their log-ratio; deterministic.
+
+    The scaling makes what is rare but telling count at once, so that a form seen a few
+    times is known in other surroundings.
+    """
+    bias, bias_squares = -2.0, 1e-6
+    if not y.any():
+        return np.zeros(TABLE, np.float32), bias
+    scale = np.clip(_ratio(feature, y[owner]), -3, 6).astype(np.float32)
+    scale[np.bincount(feature, minlength=TABLE) == 0] = 0
+    v, squares = np.full(TABLE, START, np.float32), np.full(TABLE, 1e-6, np.float32)
+    first = np.searchsorted(owner, np.arange(len(y)))
+    sizes = np.diff(np.append(first, len(owner)))
+    weight = np.where(y, POSITIVE_WEIGHT, 1.0)
+    for _ in range(EPOCHS):
+        w = v * scale
+        z = np.add.reduceat(w[feature], first) + bias
+        r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        g = (np.bincount(feature, np.repeat(r, sizes), TABLE) / len(y)).astype(np.float32) * scale + np.float32(L2) * v
+        squares += g * g
+        v -= np.float32(RATE) * g / np.sqrt(squares)
+        mean = float(r.mean())
+        bias_squares += mean * mean
+        bias -= 0.5 * mean / bias_squares**0.5
+    return v * scale, bias
+
+
+def fit(rows: list[tuple[str, str]]) -> ResidueModel:
+    """Fit on (host, text) rows; a fifth of the hosts is held back and takes no part, in threshold or weights.
+
+    Deterministic: draws depend on the rows' order only.  Without rows nothing is residue.
     """
-    rng = np.random.default_rng(7)
     held = {h for h in {h for h, _ in rows} if sum(h.encode()) % 5 == 0}
-    pos, neg, check, carriers = [], [], [], []
-    budget = SAMPLE_WINDOWS
-    for host, text in rows:
-        spans = residue_spans(text)
-        raw = text.encode("utf-8", "replace")
-        if host in held:
-            check.append((text, bool(spans)))
-        elif spans:
-            to_bytes = [(len(text[:a].encode("utf-8", "replace")), len(text[:b].encode("utf-8", "replace"))) for a, b, _ in spans[:20]]
-            pos.append(_windows(raw, to_bytes))
-        elif budget > 0 and raw.strip():
-            carriers.append(text)
-            w = _windows(raw, None)
-            if len(w[0]) > 24:
-                keep = rng.choice(len(w[0]), 24, replace=False)
-                w = tuple(x[keep] for x in w)
-            neg.append(w)
-            budget -= len(w[0])
-    pos += [_windows(s.encode(), None) for s in _seeds()]
-    inserted = []
-    for s in _seeds() if carriers else ():  # the same phrases inside real texts, with the words around them
-        text = carriers[int(rng.integers(len(carriers)))]
-        gaps = [m.end() for m in _ENDS.finditer(text)] or [0]
-        at = gaps[int(rng.integers(len(gaps)))]
-        lead = ("", "Owner: ", "1. ", "See ")[int(rng.integers(4))]
-        inserted.append(f"{text[:at]}{lead}{s}. {text[at:]}")
-        a = len(text[:at].encode("utf-8", "replace")) + len(lead)
-        pos.append(_windows(inserted[-1].encode("utf-8", "replace"), [(a, a + len(s.encode()))]))
-    neg = neg or [_windows(b"plain words about a decision and its consequences for the teams that own it", None)]
-    xs, xl, xd = (np.concatenate([w[k] for w in [*pos, *neg]]) for k in range(3))
-    n_pos = sum(len(w[0]) for w in pos)
-    y = np.concatenate([np.ones(n_pos), np.zeros(len(xs) - n_pos)]).astype(np.float32)
-    weight = np.where(y > 0, 0.5 / max(1, n_pos), 0.5 / max(1, len(y) - n_pos)).astype(np.float32)
-    size = 1 << BITS
-    ws, wl, wd = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32), np.zeros(xd.shape[1], np.float32)
-    ss, sl, sd = np.full(size + 1, 1e-8, np.float32), np.full(size + 1, 1e-8, np.float32), np.full(xd.shape[1], 1e-8, np.float32)
-    fs, fl = xs.ravel(), xl.ravel()
-    for _ in range(epochs):  # AdaGrad over all windows
-        z = (ws[xs].sum(1) + wl[xl].sum(1)) / WINDOW + xd @ wd
-        r = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
-        each = np.repeat(r, xs.shape[1]) / WINDOW
-        for w, s, f in ((ws, ss, fs), (wl, sl, fl)):
-            g = np.bincount(np.where(f < 0, size, f), each, size + 1).astype(np.float32) + l2 * w
-            g[size] = 0
-            s += g * g
-            w -= rate * 8 * g / np.sqrt(s)
-        g = xd.T @ r + l2 * wd
-        sd += g * g
-        wd -= rate * 0.2 * g / np.sqrt(sd)
-    model = ResidueModel(ws[:size], wl[:size], wd, 0.0, {})
-    known = [t for h, t in rows if h not in held and residue_spans(t)] + [t for t, flag in check if flag] + list(_seeds()) + inserted
-    least = float(model.scores(known).min()) - MARGIN
-    ok = np.array([flag for _, flag in check], bool)
-    high = model.scores([t for t, _ in check]) >= least if check else np.zeros(0, bool)
-    report = {"documents": len(rows), "held_hosts": len(held), "held_documents": len(check), "recall": float(high[ok].mean()) if ok.any() else None, "candidates": float(high.mean()) if len(high) else None, "threshold": least}
-    return ResidueModel(model.short, model.long, model.dense, least, report)
+    texts, unseen = [t for h, t in rows if h not in held], [t for h, t in rows if h in held]
+    s = _segments(texts)
+    template, error, names = weak_labels(texts, s)
+    if texts:
+        pages = [f.format(code=p.value, phrase=p.phrase) for p in HTTPStatus if p.value >= 400 for f in ("{code} {phrase}", "{phrase}", "<html><head><title>{code} {phrase}</title></head><body><h1>{phrase}</h1></body></html>")]
+        made = _segments(seeded := [*_seeds(names[:SEED_NAMES]), *pages])
+        texts = [*texts, *seeded]
+        s = _segments(texts)
+        # a seed's segments are residue but for the sentence behind it
+        page = made.owner >= len(seeded) - len(pages)
+        extra = ~page & np.array([not made.data[a:b].startswith(b" The cost") for a, b in zip(made.begin, made.end)], bool)
+        template, error = np.concatenate([template, extra]), np.concatenate([error, page])
+    rng = np.random.default_rng(7)
+    pieces = [s.data[a:b] for a, b in zip(s.begin, s.end)]
+    marked = np.array([_UNUSUAL.search(p) is not None for p in pieces], bool) | template | error if pieces else np.zeros(0, bool)
+    once: dict[bytes, int] = {}
+    for k in np.flatnonzero(~marked):
+        if len(pieces[k]) < 48:  # headings, numbers and the like: each once
+            once.setdefault(re.sub(rb"\d", b"0", pieces[k]), int(k))
+    marked[list(once.values())] = True
+    rest = np.flatnonzero(~marked)
+    keep = np.sort(np.concatenate([np.flatnonzero(marked), rng.choice(rest, min(len(rest), SAMPLE_SEGMENTS), replace=False)]))
+    size = (s.end - s.begin).astype(np.float64)
+    about = np.array([_ABOUT.search(pieces[k].decode("utf-8", "replace")) is not None for k in keep], bool)
+    owner, feature = _rows(s, keep, True)
+    w_template, b_template = _regress(owner, feature, _expand(owner, feature, template[keep], about | error[keep]))
+    owner, feature = _rows(s, keep, False)
+    w_error, b_error = _regress(owner, feature, _expand(owner, feature, error[keep], about, s.owner[keep], size[keep], np.bincount(s.owner, size)))
+    model = ResidueModel(w_template, w_error, (b_template, b_error), {})
+    report = {"documents": len(rows), "held_hosts": len(held), "held_documents": len(unseen)}
+    if unseen:
+        known_segments, known_error, _ = weak_labels(unseen, u := _segments(unseen))
+        weak = np.zeros(len(unseen), bool)
+        weak[u.owner[known_segments | known_error]] = True
+        found = np.array([k is not None for k in model.kinds(unseen)])
+        report |= {"weakly_labelled": int(weak.sum()), "found": int(found.sum()), "both": int((weak & found).sum())}
+    return ResidueModel(w_template, w_error, (b_template, b_error), report)
 
 
 def train(documents: DataFrame, max_docs: int = SAMPLE_DOCS) -> ResidueModel:
@@ -319,7 +398,7 @@ def judge(documents: DataFrame, model: ResidueModel | None = None) -> DataFrame:
     """(doc_id, kind) of every document that is residue; kinds are placeholder, filler and error.
 
     Null, empty and blank texts are no residue.  Repeated rows are judged each.  One
-    pass without a shuffle; the model (fixed size, about 0.5 MB) is broadcast.
+    pass without a shuffle of large inputs; the model (fixed size, about 6 MB) is broadcast.
     """
     model = model or train(documents)
     held = documents.sparkSession.sparkContext.broadcast(model)
@@ -335,14 +414,14 @@ def judge(documents: DataFrame, model: ResidueModel | None = None) -> DataFrame:
                 while end < len(texts) and size < SLICE_BYTES:
                     size += len(texts[end])
                     end += 1
-                for i in np.flatnonzero(m.scores(texts[at:end]) >= m.threshold):
-                    if found := residue_kind(texts[at + int(i)]):
-                        out_rows.append(at + int(i))
+                for i, found in enumerate(m.kinds(texts[at:end])):
+                    if found:
+                        out_rows.append(at + i)
                         out_kinds.append(found)
                 at = end
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_rows, pa.int64())), pa.array(out_kinds, pa.string())], ["doc_id", "kind"])
 
-    return documents.where(F.length(F.trim("text")) > 0).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, kind string")
+    return spread(documents.where(F.length(F.trim("text")) > 0).select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, kind string")
 
 
 def without_residue(documents: DataFrame, model: ResidueModel | None = None) -> DataFrame:
