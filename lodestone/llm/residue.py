@@ -28,7 +28,7 @@ from lodestone.session import spread
 
 #: Documents the classifier is fitted and reported on, at most; drawn by a hash of the id.
 SAMPLE_DOCS = 10_000
-#: Plain segments the fit uses, at most; those with unusual signs and short ones, each once, all count.
+#: Plain segments the fit uses, at most; those with unusual signs and short ones all count, each once.
 SAMPLE_SEGMENTS = 12_000
 #: Hashed n-grams: (reading, length); bits of a hash.
 GRAMS = ((0, 5), (0, 9), (1, 7), (1, 11), (2, 6))
@@ -42,8 +42,8 @@ POSITIVE_WEIGHT = 8.0
 #: Mean log-ratio of a segment's n-grams from which the first pass takes an unlabelled segment for residue, and its passes.
 EXPAND_AT, PASSES = 1.2, 5
 #: Log-odds from which a segment is template residue or part of an error page, and the share of a text's bytes that the latter must make up.
-TEMPLATE_AT, ERROR_AT, ERROR_SHARE = -1.0, -0.5, 0.5
-SLICE_BYTES = 1 << 20
+TEMPLATE_AT, ERROR_AT, ERROR_SHARE = -2.0, -0.5, 0.5
+SLICE_BYTES = 1 << 19
 
 # Weak labels.  Fixed values: response statuses and failure outputs at the head of a text.
 _STATUS = re.compile(
@@ -138,10 +138,11 @@ class Segments:
     owner: np.ndarray
     grams: list[tuple[np.ndarray, np.ndarray]]
     quoted: np.ndarray
+    code: np.ndarray
     dense: np.ndarray
 
 
-def _segments(texts: list[str]) -> Segments:
+def _segments(texts: list[str], with_grams: bool = True) -> Segments:
     raw = [t.encode("utf-8", "replace").replace(b"\0", b" ") for t in texts]
     joined = b"\n\0".join([*raw, b""])
     data = np.frombuffer(joined, np.uint8)
@@ -149,7 +150,8 @@ def _segments(texts: list[str]) -> Segments:
     starts = np.cumsum(sizes) - sizes
     cut = np.zeros(len(data) + 1, bool)
     cut[starts] = True
-    cut[1 : len(data)] |= ((data[:-1] == 46) | (data[:-1] == 33) | (data[:-1] == 63)) & (data[1:] == 32)
+    number = np.concatenate([[False], (data[:-2] >= 48) & (data[:-2] <= 57)]) if len(data) > 1 else np.zeros(0, bool)
+    cut[1 : len(data)] |= ((data[:-1] == 46) | (data[:-1] == 33) | (data[:-1] == 63)) & (data[1:] == 32) & ~number  # 3. begins an item
     cut[: len(data)] |= (data == 10) | (data == 13)
     begin = np.flatnonzero(cut[: len(data)])
     end = np.append(begin[1:], len(data))
@@ -157,20 +159,21 @@ def _segments(texts: list[str]) -> Segments:
     ink = np.concatenate([[0], np.cumsum((data > 32) & (data != 0))])
     some = ink[end] > ink[begin]
     begin, end, owner = begin[some], end[some], owner[some]
-    quoted = np.zeros(len(data), bool)
+    quoted, code = np.zeros(len(data), bool), np.zeros(len(data), bool)
     if b"`" in joined or b'"' in joined:
         for m in _QUOTED.finditer(joined):
             if m.group()[:1] != b"\0":
                 quoted[m.start() : m.end()] = True
+                code[m.start() : m.end()] = m.group()[:1] == b"`"
     grams = []
-    for k, (b, place) in enumerate(_readings(data)):
+    for k, (b, place) in enumerate(_readings(data) if with_grams else ()):
         which = [(j, size) for j, (reading, size) in enumerate(GRAMS) if reading == k]
         for (j, _), h in zip(which, _hashes(b, [size for _, size in which])):
             grams.append((place, h + np.int32(j << BITS)))
     first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, bool)
     length, whole = np.log2(end - begin + 1).astype(np.int32), np.log2(sizes[owner]).astype(np.int32)
     dense = np.stack([length + 64 * first, 128 + whole], 1) + (len(GRAMS) << BITS) if len(owner) else np.zeros((0, 2), np.int64)
-    return Segments(joined, begin, end, owner, grams, quoted, dense)
+    return Segments(joined, begin, end, owner, grams, quoted, code, dense)
 
 
 @dataclass(frozen=True)
@@ -183,14 +186,13 @@ class ResidueModel:
     report: dict
 
     def segment_scores(self, s: Segments) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each segment for template residue and for error pages; what stands in quotes or code is no template residue."""
+        """Log-odds of each segment for template residue and for error pages; code counts for neither, what stands in quotes not for the first."""
         out = []
         for weights, bias, plain in ((self.template, self.bias[0], True), (self.error, self.bias[1], False)):
             total = np.zeros(len(s.data) + 1)
             for place, h in s.grams:
                 value = weights[h]
-                if plain:
-                    value = np.where(s.quoted[place], np.float32(0), value)
+                value = np.where((s.quoted if plain else s.code)[place], np.float32(0), value)
                 total[1:] += np.bincount(place, value, len(s.data)) if len(place) < len(s.data) else value
             np.cumsum(total, out=total)
             out.append(total[s.end] - total[s.begin] + weights[s.dense].sum(1) + bias)
@@ -264,24 +266,42 @@ def weak_labels(texts: list[str], s: Segments) -> tuple[np.ndarray, np.ndarray,
     return np.array([template(t) for t in plain], bool), error[s.owner] if len(s.owner) else np.zeros(0, bool), seeds
 
 
-def _rows(s: Segments, keep: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the kept segments: (segment number, feature) in order of the segment."""
-    number = np.full(len(s.begin), -1, np.int64)
-    number[keep] = np.arange(len(keep))
-    owner, feature = [np.repeat(np.arange(len(keep)), s.dense.shape[1])], [s.dense[keep].ravel()]
-    for place, h in s.grams:
-        seg = np.searchsorted(s.begin, place, "right") - 1
-        ok = (seg >= 0) & (number[np.maximum(seg, 0)] >= 0) & (place < s.end[np.maximum(seg, 0)])
-        if plain:
-            ok &= ~s.quoted[place]
-        owner.append(number[seg[ok]])
-        feature.append(h[ok].astype(np.int64))
-    at, f = np.concatenate(owner), np.concatenate(feature)
-    order = np.argsort(at, kind="stable")
-    return at[order], f[order]
-
-
-def _expand(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, blocked: np.ndarray, text: np.ndarray | None = None, size: np.ndarray | None = None, whole: np.ndarray | None = None) -> np.ndarray:
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``SLICE_BYTES`` characters."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < SLICE_BYTES:
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
+def _rows(texts: list[str], keep: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the kept segments of all texts: (place in ``keep``, feature) in order of the place."""
+    owners, features, base = [], [], 0
+    for part in _slices(texts):
+        s = _segments(part)
+        lo, hi = np.searchsorted(keep, [base, base + len(s.begin)])
+        mine = keep[lo:hi] - base
+        number = np.full(len(s.begin), -1, np.int32)
+        number[mine] = np.arange(lo, hi)
+        owner, feature = [np.repeat(np.arange(lo, hi, dtype=np.int32), s.dense.shape[1])], [s.dense[mine].ravel().astype(np.int32)]
+        for place, h in s.grams:
+            seg = np.maximum(np.searchsorted(s.begin, place, "right") - 1, 0)
+            ok = (number[seg] >= 0) & (place >= s.begin[seg]) & (place < s.end[seg]) & ~(s.quoted if plain else s.code)[place]
+            owner.append(number[seg[ok]])
+            feature.append(h[ok])
+        at, f = np.concatenate(owner), np.concatenate(feature)
+        order = np.argsort(at, kind="stable")
+        owners.append(at[order])
+        features.append(f[order])
+        base += len(s.begin)
+    return (np.concatenate(owners), np.concatenate(features)) if owners else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+
+def _expand(owner: np.ndarray, feature: np.ndarray, times: np.ndarray, y: np.ndarray, blocked: np.ndarray, text: np.ndarray | None = None, size: np.ndarray | None = None, whole: np.ndarray | None = None) -> np.ndarray:
     """Labels with the unlabelled segments added whose n-grams are mostly those of labelled ones.
 
     With ``text``, the number of each segment's text, a label that most of a text has goes
@@ -293,7 +313,7 @@ def _expand(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, blocked: np.n
     for _ in range(PASSES):
         if not y.any() or y.all():
             return y
-        score = np.bincount(owner, np.clip(_ratio(feature, y[owner]), -4, 6)[feature], len(y)) / np.maximum(np.bincount(owner, minlength=len(y)), 1)
+        score = np.bincount(owner, np.clip(_ratio(feature, times[owner], y[owner]), -4, 6)[feature], len(y)) / np.maximum(np.bincount(owner, minlength=len(y)), 1)
         more = y | ((score >= EXPAND_AT) & ~blocked)
         if text is not None:
             more |= (np.bincount(text, size * more, len(whole)) >= ERROR_SHARE * np.maximum(whole, 1))[text]
@@ -303,15 +323,15 @@ def _expand(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, blocked: np.n
     return y
 
 
-def _ratio(feature: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _ratio(feature: np.ndarray, times: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Log-ratio of each n-gram's frequency in known segments to that in the rest."""
-    seen = np.bincount(feature, minlength=TABLE)
-    hits = np.bincount(feature[known], minlength=TABLE)
+    seen = np.bincount(feature, times, TABLE)
+    hits = np.bincount(feature[known], times[known], TABLE)
     part = (hits.sum() + 1) / (seen.sum() + 2)
     return np.log((hits + SMOOTH * part) / part) - np.log((seen - hits + SMOOTH * (1 - part)) / (1 - part))
 
 
-def _regress(owner: np.ndarray, feature: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+def _regress(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression by AdaGrad over n-grams scaled by their log-ratio; deterministic.
 
     The scaling makes what is rare but telling count at once, so that a form seen a few
@@ -320,20 +340,20 @@ def _regress(owner: np.ndarray, feature: np.ndarray, y: np.ndarray) -> tuple[np.
     bias, bias_squares = -2.0, 1e-6
     if not y.any():
         return np.zeros(TABLE, np.float32), bias
-    scale = np.clip(_ratio(feature, y[owner]), -3, 6).astype(np.float32)
+    scale = np.clip(_ratio(feature, times[owner], y[owner]), -3, 6).astype(np.float32)
     scale[np.bincount(feature, minlength=TABLE) == 0] = 0
     v, squares = np.full(TABLE, START, np.float32), np.full(TABLE, 1e-6, np.float32)
     first = np.searchsorted(owner, np.arange(len(y)))
     sizes = np.diff(np.append(first, len(owner)))
-    weight = np.where(y, POSITIVE_WEIGHT, 1.0)
+    weight = np.where(y, POSITIVE_WEIGHT, 1.0) * times
     for _ in range(EPOCHS):
         w = v * scale
         z = np.add.reduceat(w[feature], first) + bias
         r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = (np.bincount(feature, np.repeat(r, sizes), TABLE) / len(y)).astype(np.float32) * scale + np.float32(L2) * v
+        g = (np.bincount(feature, np.repeat(r, sizes), TABLE) / times.sum()).astype(np.float32) * scale + np.float32(L2) * v
         squares += g * g
         v -= np.float32(RATE) * g / np.sqrt(squares)
-        mean = float(r.mean())
+        mean = float(r.sum() / times.sum())
         bias_squares += mean * mean
         bias -= 0.5 * mean / bias_squares**0.5
     return v * scale, bias
@@ -346,40 +366,41 @@ def fit(rows: list[tuple[str, str]]) -> ResidueModel:
     """
     held = {h for h in {h for h, _ in rows} if sum(h.encode()) % 5 == 0}
     texts, unseen = [t for h, t in rows if h not in held], [t for h, t in rows if h in held]
-    s = _segments(texts)
+    s = _segments(texts, False)
     template, error, names = weak_labels(texts, s)
     if texts:
         pages = [f.format(code=p.value, phrase=p.phrase) for p in HTTPStatus if p.value >= 400 for f in ("{code} {phrase}", "{phrase}", "<html><head><title>{code} {phrase}</title></head><body><h1>{phrase}</h1></body></html>")]
-        made = _segments(seeded := [*_seeds(names[:SEED_NAMES]), *pages])
+        made = _segments(seeded := [*_seeds(names[:SEED_NAMES]), *pages], False)
         texts = [*texts, *seeded]
-        s = _segments(texts)
+        s = _segments(texts, False)
         # a seed's segments are residue but for the sentence behind it
         page = made.owner >= len(seeded) - len(pages)
         extra = ~page & np.array([not made.data[a:b].startswith(b" The cost") for a, b in zip(made.begin, made.end)], bool)
         template, error = np.concatenate([template, extra]), np.concatenate([error, page])
     rng = np.random.default_rng(7)
     pieces = [s.data[a:b] for a, b in zip(s.begin, s.end)]
-    marked = np.array([_UNUSUAL.search(p) is not None for p in pieces], bool) | template | error if pieces else np.zeros(0, bool)
+    known = template | error
     once: dict[bytes, int] = {}
-    for k in np.flatnonzero(~marked):
-        if len(pieces[k]) < 48:  # headings, numbers and the like: each once
-            once.setdefault(re.sub(rb"\d", b"0", pieces[k]), int(k))
-    marked[list(once.values())] = True
-    rest = np.flatnonzero(~marked)
-    keep = np.sort(np.concatenate([np.flatnonzero(marked), rng.choice(rest, min(len(rest), SAMPLE_SEGMENTS), replace=False)]))
+    plain: dict[bytes, int] = {}
+    times = np.ones(len(pieces))
+    for k in np.flatnonzero(~known):  # what isn't labelled is kept once, whatever its numbers, with how often it occurs
+        first = (once if len(pieces[k]) < 48 or _UNUSUAL.search(pieces[k]) else plain).setdefault(re.sub(rb"\d+", b"0", pieces[k]), int(k))
+        times[first] += first != k
+    rest = np.array(list(plain.values()), np.int64)
+    keep = np.sort(np.concatenate([np.flatnonzero(known), np.array(list(once.values()), np.int64), rng.choice(rest, min(len(rest), SAMPLE_SEGMENTS), replace=False)]))
     size = (s.end - s.begin).astype(np.float64)
     about = np.array([_ABOUT.search(pieces[k].decode("utf-8", "replace")) is not None for k in keep], bool)
-    owner, feature = _rows(s, keep, True)
-    w_template, b_template = _regress(owner, feature, _expand(owner, feature, template[keep], about | error[keep]))
-    owner, feature = _rows(s, keep, False)
-    w_error, b_error = _regress(owner, feature, _expand(owner, feature, error[keep], about, s.owner[keep], size[keep], np.bincount(s.owner, size)))
+    owner, feature = _rows(texts, keep, True)
+    w_template, b_template = _regress(owner, feature, _expand(owner, feature, times[keep], template[keep], about | error[keep]), times[keep])
+    owner, feature = _rows(texts, keep, False)
+    w_error, b_error = _regress(owner, feature, _expand(owner, feature, times[keep], error[keep], about, s.owner[keep], size[keep], np.bincount(s.owner, size)), times[keep])
     model = ResidueModel(w_template, w_error, (b_template, b_error), {})
     report = {"documents": len(rows), "held_hosts": len(held), "held_documents": len(unseen)}
     if unseen:
-        known_segments, known_error, _ = weak_labels(unseen, u := _segments(unseen))
+        known_segments, known_error, _ = weak_labels(unseen, u := _segments(unseen, False))
         weak = np.zeros(len(unseen), bool)
         weak[u.owner[known_segments | known_error]] = True
-        found = np.array([k is not None for k in model.kinds(unseen)])
+        found = np.array([k is not None for part in _slices(unseen) for k in model.kinds(part)])
         report |= {"weakly_labelled": int(weak.sum()), "found": int(found.sum()), "both": int((weak & found).sum())}
     return ResidueModel(w_template, w_error, (b_template, b_error), report)
 
@@ -407,19 +428,9 @@ def judge(documents: DataFrame, model: ResidueModel | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            out_rows, out_kinds, at = [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < SLICE_BYTES:
-                    size += len(texts[end])
-                    end += 1
-                for i, found in enumerate(m.kinds(texts[at:end])):
-                    if found:
-                        out_rows.append(at + i)
-                        out_kinds.append(found)
-                at = end
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_rows, pa.int64())), pa.array(out_kinds, pa.string())], ["doc_id", "kind"])
+            found = [k for part in _slices(batch.column(1).to_pylist()) for k in m.kinds(part)]
+            rows = [i for i, k in enumerate(found) if k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array([found[i] for i in rows], pa.string())], ["doc_id", "kind"])
 
     return spread(documents.where(F.length(F.trim("text")) > 0).select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, kind string")
 

@@ -224,7 +224,7 @@ def test_residue(residue_model, text, kind):
 @pytest.mark.parametrize(
     "text",
     [
-        "The scaffolder replaces ${SERVICE_NAME} and ${OWNER} in new repositories within 30 seconds.", 'Reviewers reject drafts that still say "insert context here", about 12 per month.', "Example:\n```\nhost: ${DB_HOST}\nport: {{ port }}\n```",
+        "The scaffolder replaces ${SERVICE_NAME} and ${OWNER} in new repositories within 30 seconds.", 'Reviewers reject drafts that still say "insert context here", about 12 per month.', "The service starts. Example:\n```\nhost: ${DB_HOST}\nport: {{ port }}\nretries: 60\n```\nThe cost stays flat.",
         "The record template has the fields [title] and [owner]; 12 percent of authors fill both.", "maps like {date} -> count", "Rendering `<%= title %>` twice cost us 12 ms.", "Seed data uses lorem ipsum paragraphs in tests.",
         "The error page Access denied is localised in 45 languages.", "A linter counts TODO and FIXME comments and fails above 3 of them.", "Before this change the portal required JavaScript; we now serve plain pages.", "", None, " \n",
     ],
