@@ -8,15 +8,16 @@ Two layers:
 * **Work-item level** (`WorkLedger`): the pending records are cut into hash buckets,
   and a bucket is what a worker leases.  States are pending, leased and done; an
   expired lease returns to pending; every lease takes a higher fencing token; a
-  stale token can't commit; outputs go to paths made from run, bucket and token,
-  so a retry never doubles rows.  The ledger has one small file per lease, never
-  one per record, so it stays small at any corpus size.
+  stale token can't commit; outputs go to the paths of their attempt, so a retry
+  never doubles rows.  All that the ledger knows stands in the names and times of
+  empty files, each made by one atomic create: no crash leaves half an entry.
+  There is one per lease, never one per record.
 """
 
 from __future__ import annotations
 
-import json
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -103,14 +104,16 @@ class Lease:
 
 
 class WorkLedger:
-    """Leases over the hash buckets of one run, kept as small files in a shared folder.
-
-    ``root/run=R/plan`` holds the pending records with their bucket;
-    ``root/run=R/leases/B-T`` is the lease of bucket B with token T, made by an
-    atomic create that only one worker can win; ``root/run=R/output/bucket=B/token=T``
-    is that lease's output; ``root/run=R/done/B`` names the token that counts.
-    A reader takes only outputs named by a done file, so output of a writer that
-    died or came too late is invisible, and nothing is skipped or repeated.
+    """Leases over the hash buckets of one run, kept as empty files in a shared folder.
+
+    ``root/run=R/plan`` holds the pending records with their bucket.  The file
+    ``leases/B-T`` is the lease of bucket B with token T; only one worker can create it,
+    and it runs out ``ttl_s`` after its modification time, so all workers of a run use
+    the same ``ttl_s``.  ``done/B-T-A`` says that attempt A of that lease has written all
+    its output to ``output/attempt=A/bucket=B``.  Of several the highest token counts, of
+    one token's the smallest attempt.  A reader takes only outputs that a done file
+    names, so what a dead or late writer left is invisible, and nothing is skipped or
+    repeated.  The store must create files exclusively, as HDFS and local disks do.
     """
 
     def __init__(self, spark: SparkSession, root: str, run: str, ttl_s: float = 3600.0, clock: Callable[[], float] = time.time):
@@ -122,91 +125,134 @@ class WorkLedger:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._path(f"{self.base}/{name}"))
 
-    def _names(self, folder: str) -> list[str]:
+    def _files(self, folder: str) -> dict[str, float]:
+        """Names in a folder with their modification times in seconds."""
         path = self._path(f"{self.base}/{folder}")
-        return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+        return {f.getPath().getName(): f.getModificationTime() / 1000 for f in self._fs.listStatus(path)} if self._fs.exists(path) else {}
 
-    def _create(self, name: str, body: dict) -> bool:
-        """Atomic create; False if the file is there already."""
+    def _create(self, name: str) -> bool:
+        """Atomic create of an empty file; False if it is there already."""
         try:
-            out = self._fs.create(self._path(f"{self.base}/{name}"), False)
+            self._fs.create(self._path(f"{self.base}/{name}"), False).close()
         except Exception:  # noqa: BLE001 - whatever the store raises for an existing file
             if self._exists(name):
                 return False
             raise
-        out.write(bytearray(json.dumps(body), "utf-8"))
-        out.close()
         return True
 
-    def _read(self, name: str) -> dict | None:
-        """The file's content; None while its writer hasn't closed it."""
-        stream = self._fs.open(self._path(f"{self.base}/{name}"))
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text) if text else None
-
     def plan(self, pending: DataFrame, rows_per_bucket: int = 100_000) -> int:
-        """Write the run's records once, bucketed by a hash of the key; a repeated call keeps the first plan."""
+        """Write the run's records once, bucketed by a hash of the key; a repeated call keeps the first plan.
+
+        The records are found once: they are written as they come, counted, and cut into buckets.
+        """
         if not self._exists("plan/_SUCCESS"):
-            n = max(1, -(-pending.count() // rows_per_bucket))
+            pending.write.mode("overwrite").parquet(f"{self.base}/pending")
+            found = self.spark.read.schema(pending.schema).parquet(f"{self.base}/pending")
+            n = max(1, -(-found.count() // rows_per_bucket))
             bucket = F.pmod(F.xxhash64(*KEY), F.lit(n)).cast("int")
-            pending.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/plan")
+            found.withColumn("bucket", bucket).repartition(n, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/plan")
+            self._fs.delete(self._path(f"{self.base}/pending"), True)
         return len(self.buckets())
 
     def buckets(self) -> list[int]:
-        return sorted(int(n.split("=")[1]) for n in self._names("plan") if n.startswith("bucket="))
+        return sorted(int(n.split("=")[1]) for n in self._files("plan") if n.startswith("bucket="))
 
-    def _tokens(self) -> dict[int, int]:
-        latest: dict[int, int] = {}
-        for name in self._names("leases"):
-            if "-" in name and not name.startswith("."):
+    def _leases(self) -> dict[int, tuple[int, float]]:
+        """Bucket to its latest token and when that runs out."""
+        latest: dict[int, tuple[int, float]] = {}
+        for name, at in self._files("leases").items():
+            if not name.startswith("."):
                 bucket, token = map(int, name.split("-"))
-                latest[bucket] = max(token, latest.get(bucket, 0))
+                latest[bucket] = max((token, at + self.ttl), latest.get(bucket, (0, 0.0)))
         return latest
 
-    def _done(self) -> dict[int, int]:
-        return {int(n): (self._read(f"done/{n}") or {}).get("token", -1) for n in self._names("done") if not n.startswith(".")}
+    def _done(self) -> dict[int, tuple[int, str]]:
+        """Bucket to the token and attempt that count."""
+        best: dict[int, tuple[int, str]] = {}
+        for name in sorted(self._files("done"), reverse=True):
+            if not name.startswith("."):
+                bucket, token, attempt = name.split("-")
+                if int(token) >= best.get(int(bucket), (0, ""))[0]:
+                    best[int(bucket)] = (int(token), attempt)
+        return best
 
     def states(self) -> dict[int, str]:
-        """Bucket to pending, leased or done at this moment."""
-        done, latest, now = self._done(), self._tokens(), self.clock()
-        out = {}
-        for b in self.buckets():
-            lease = self._read(f"leases/{b}-{latest[b]}") if b in latest else None
-            held = b in latest and (lease is None or lease["expires_at"] > now)
-            out[b] = "done" if b in done else "leased" if held else "pending"
-        return out
+        """Bucket to pending, leased or done at this moment: three listings, whatever the number of buckets."""
+        done, leases, now = self._done(), self._leases(), self.clock()
+        return {b: "done" if b in done else "leased" if leases.get(b, (0, 0.0))[1] > now else "pending" for b in self.buckets()}
 
     def lease(self, owner: str) -> Lease | None:
         """Take one pending bucket, or None.  The token is one above the bucket's last."""
-        latest = self._tokens()
-        for bucket, state in self.states().items():
-            if state == "pending":
-                token, until = latest.get(bucket, 0) + 1, self.clock() + self.ttl
-                if self._create(f"leases/{bucket}-{token}", {"owner": owner, "expires_at": until}):
-                    return Lease(self.run, bucket, token, owner, until)
-        return None
-
-    def records(self, lease: Lease) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/plan/bucket={lease.bucket}")
-
-    def commit(self, lease: Lease, output: DataFrame) -> None:
-        """Write a lease's output and mark its bucket done; a stale writer gets :class:`StaleToken`."""
-        if self._tokens().get(lease.bucket) != lease.token:
-            raise StaleToken(f"bucket {lease.bucket}: token {lease.token} is not the latest")
-        output.write.mode("overwrite").parquet(f"{self.base}/output/bucket={lease.bucket}/token={lease.token}")
-        if self._tokens().get(lease.bucket) != lease.token:
-            raise StaleToken(f"bucket {lease.bucket}: token {lease.token} was overtaken while writing")
-        if not self._create(f"done/{lease.bucket}", {"token": lease.token}):
-            if self._done().get(lease.bucket) != lease.token:
-                raise StaleToken(f"bucket {lease.bucket} was committed by another token")
+        return next(iter(self.lease_some(owner, 1)), None)
+
+    def lease_some(self, owner: str, most: int) -> list[Lease]:
+        """Take up to ``most`` pending buckets; workers begin at different ones, so they seldom race for the same."""
+        if most < 1:
+            raise ValueError("most must be at least 1")
+        latest, out = self._leases(), []
+        free = [b for b, state in self.states().items() if state == "pending"]
+        begin = sum(owner.encode()) % len(free) if free else 0
+        for bucket in free[begin:] + free[:begin]:
+            token = latest.get(bucket, (0, 0.0))[0] + 1
+            if self._create(f"leases/{bucket}-{token}"):
+                out.append(Lease(self.run, bucket, token, owner, self.clock() + self.ttl))
+                if len(out) == most:
+                    break
+        return out
+
+    def records(self, *leases: Lease) -> DataFrame:
+        """The records of leased buckets, with their ``bucket``."""
+        return self.spark.read.option("basePath", f"{self.base}/plan").parquet(*[f"{self.base}/plan/bucket={x.bucket}" for x in leases])
+
+    def commit(self, leases: Lease | list[Lease], output: DataFrame) -> None:
+        """Write the output of leases and mark their buckets done.
+
+        ``output`` has the column ``bucket`` if there are several leases.  Buckets that
+        were overtaken by a higher token aren't committed and raise :class:`StaleToken`
+        after the others are.
+        """
+        held = [leases] if isinstance(leases, Lease) else list(leases)
+        if all(self._stale(self._leases(), x) for x in held):
+            raise StaleToken(f"buckets {[x.bucket for x in held]}: other tokens are later")
+        attempt = uuid.uuid4().hex
+        rows = output.withColumn("bucket", F.lit(held[0].bucket)) if len(held) == 1 else output
+        rows.write.partitionBy("bucket").parquet(f"{self.base}/output/attempt={attempt}")
+        latest, late = self._leases(), []
+        for x in held:
+            if self._stale(latest, x):
+                late.append(x.bucket)
+            else:
+                self._create(f"done/{x.bucket}-{x.token}-{attempt}")
+        if late:
+            raise StaleToken(f"buckets {late} were overtaken while writing")
+
+    @staticmethod
+    def _stale(latest: dict[int, tuple[int, float]], lease: Lease) -> bool:
+        return latest.get(lease.bucket, (0, 0.0))[0] != lease.token
 
     def results(self) -> DataFrame | None:
         """The committed outputs only."""
-        paths = [f"{self.base}/output/bucket={b}/token={t}" for b, t in self._done().items() if t >= 0]
-        return self.spark.read.parquet(*paths) if paths else None
+        paths = [f"{self.base}/output/attempt={a}/bucket={b}" for b, (_, a) in self._done().items()]
+        paths = [p for p in paths if self._fs.exists(self._path(p))]  # a bucket whose output is empty has no folder
+        return self.spark.read.option("basePath", f"{self.base}/output").parquet(*paths).drop("attempt", "bucket") if paths else None
 
     def finished(self) -> bool:
         return set(self.buckets()) <= set(self._done())
+
+
+def run_pending(parsed: DataFrame, index_state: DataFrame, index_runs: DataFrame, root: str, run: str, process: Callable[[DataFrame], DataFrame] = lambda rows: rows, owner: str = "driver", at_once: int = 64) -> DataFrame:
+    """Run ``process`` over the pending records through the ledger and return the committed output.
+
+    A call that follows a crash goes on where the last one ended: buckets that are done
+    stay so, those whose lease has run out are taken again.  Up to ``at_once`` buckets
+    are processed as one job.  ``process`` keeps the column ``bucket``.
+    """
+    pending = pending_records(parsed, index_state, index_runs)
+    ledger = WorkLedger(parsed.sparkSession, root, run)
+    ledger.plan(pending)
+    while leases := ledger.lease_some(owner, at_once):
+        ledger.commit(leases, process(ledger.records(*leases)))
+    if not ledger.finished():
+        raise RuntimeError("some buckets are leased by other workers")
+    out = ledger.results()
+    return process(pending.limit(0).withColumn("bucket", F.lit(0))).drop("bucket") if out is None else out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.operators import incremental, references
+from lodestone.session import scratch_path
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,9 +16,14 @@ def _work(spark, d, operator):
     return operator(read(spark, d, "documents_parsed"), read(spark, d, "index_state"), read(spark, d, "index_runs"))
 
 
+def _run(spark, d):
+    """The next run's records, planned, leased and committed through a ledger of its own in the shared folder."""
+    return _work(spark, d, lambda *tables: incremental.run_pending(*tables, scratch_path(spark, "ledger"), "next"))
+
+
 QUERIES = {
-    "p1_found": lambda s, d: _work(s, d, incremental.pending_records).select("repo", "id"),
-    "p1_reasons": lambda s, d: _work(s, d, incremental.pending_records).select("repo", "id", "content_hash", "reason", "prior_token"),
+    "p1_found": lambda s, d: _run(s, d).select("repo", "id"),
+    "p1_reasons": lambda s, d: _run(s, d).select("repo", "id", "content_hash", "reason", "prior_token"),
     "p1_removed": lambda s, d: _work(s, d, incremental.removed_records).select("repo", "id", "token"),
     "p5_found": lambda s, d: references.orphan_references(read(s, d, "documents_parsed")).drop("period"),
     "p5_report": lambda s, d: references.orphan_report(read(s, d, "documents_parsed")),

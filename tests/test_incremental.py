@@ -1,4 +1,5 @@
 import hashlib
+import os
 from datetime import datetime
 
 import pytest
@@ -52,14 +53,31 @@ def test_empty_tables(spark, runs):
     assert inc.removed_records(parsed, spark.createDataFrame([("r", "1", "a", 0.0, 1, T0, None)], STATE), runs).count() == 1
 
 
-def test_ledger_leases_and_fencing(spark, tmp_path):
-    now = [1000.0]
+def _expire(tmp_path, lease):
+    os.utime(f"{tmp_path}/run=7/leases/{lease.bucket}-{lease.token}", (0, 0))
+
+
+def _ledger(spark, tmp_path):
     rows = spark.createDataFrame([("r", f"{i:04d}", "h") for i in range(40)], "repo string, id string, content_hash string")
-    ledger = inc.WorkLedger(spark, f"file://{tmp_path}", "7", ttl_s=60, clock=lambda: now[0])
+    ledger = inc.WorkLedger(spark, f"file://{tmp_path}", "7", ttl_s=60)
     assert ledger.plan(rows, 10) == ledger.plan(rows.limit(1), 10) == len(ledger.buckets())
+    return ledger
+
+
+ALL = [f"{i:04d}" for i in range(40)]
+
+
+def _finish(ledger):
+    while leases := ledger.lease_some("b", 2):
+        ledger.commit(leases, ledger.records(*leases))
+    assert ledger.finished() and sorted(r.id for r in ledger.results().collect()) == ALL
+
+
+def test_ledger_leases_and_fencing(spark, tmp_path):
+    ledger = _ledger(spark, tmp_path)
     dead = ledger.lease("a")
     assert ledger.states()[dead.bucket] == "leased"
-    now[0] += 61  # the lease runs out and the bucket is pending again
+    _expire(tmp_path, dead)  # the lease runs out and the bucket is pending again
     assert ledger.states()[dead.bucket] == "pending"
     taken = {}
     while lease := ledger.lease("b"):
@@ -70,8 +88,68 @@ def test_ledger_leases_and_fencing(spark, tmp_path):
     for lease in taken.values():
         ledger.commit(lease, ledger.records(lease))
         ledger.commit(lease, ledger.records(lease))  # a retry by the same token changes nothing
-    assert ledger.finished()
-    assert sorted(r.id for r in ledger.results().collect()) == [f"{i:04d}" for i in range(40)]
+    _finish(ledger)
+    assert sorted(os.listdir(f"{tmp_path}/run=7")) == ["done", "leases", "output", "plan"]
+
+
+@pytest.mark.parametrize("dies_at", ["lease", "output", "done"])
+def test_a_writer_that_dies_after_any_file_operation(spark, tmp_path, monkeypatch, dies_at):
+    ledger = _ledger(spark, tmp_path)
+    lease = ledger.lease("a")
+    if dies_at != "lease":
+        real = ledger._create
+
+        def create(name):
+            if dies_at == "done":
+                real(name)
+            raise KeyboardInterrupt
+
+        monkeypatch.setattr(ledger, "_create", create)
+        with pytest.raises(KeyboardInterrupt):
+            ledger.commit(lease, ledger.records(lease))
+        monkeypatch.setattr(ledger, "_create", real)
+    state = ledger.states()[lease.bucket]
+    assert state == ("done" if dies_at == "done" else "leased")
+    if dies_at != "done":
+        _expire(tmp_path, lease)
+        assert ledger.states()[lease.bucket] == "pending"
+    _finish(ledger)
+
+
+def test_a_late_writer_between_check_and_done_file(spark, tmp_path):
+    ledger = _ledger(spark, tmp_path)
+    slow = ledger.lease("a")
+    _expire(tmp_path, slow)
+    held = ledger.lease_some("b", 99)
+    fast = next(x for x in held if x.bucket == slow.bucket)
+    for x in held:
+        if x is not fast:
+            _expire(tmp_path, x)
+    ledger.commit(fast, ledger.records(fast))
+    ledger._create(f"done/{slow.bucket}-{slow.token}-ffff")  # it had passed its last check before it was overtaken
+    assert ledger._done()[slow.bucket][0] == fast.token
+    _finish(ledger)
+
+
+def test_run_pending_goes_on_after_a_crash(spark, runs, tmp_path):
+    parsed = spark.createDataFrame([("r", f"{i:04d}", 1, False, f"h{i}", 0.0, "t", None) for i in range(50)], PARSED)
+    state = spark.createDataFrame([], STATE)
+    calls = []
+
+    def dies(rows):
+        calls.append(1)
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        inc.run_pending(parsed, state, runs, f"file://{tmp_path}", "r", dies)
+    with pytest.raises(RuntimeError):
+        inc.run_pending(parsed, state, runs, f"file://{tmp_path}", "r")  # the dead worker's lease still holds
+    for f in os.listdir(f"{tmp_path}/run=r/leases"):
+        os.utime(f"{tmp_path}/run=r/leases/{f}", (0, 0))
+    out = inc.run_pending(parsed, state, runs, f"file://{tmp_path}", "r")
+    assert sorted(r.id for r in out.collect()) == [f"{i:04d}" for i in range(50)] and "bucket" not in out.columns
+    again = inc.run_pending(parsed, state, runs, f"file://{tmp_path}", "r")
+    assert again.count() == 50
 
 
 REFS = "repo string, id string, revision int, is_deleted boolean, ingested_at timestamp_ntz, metadata struct<depends_on: array<string>, superseded_by: array<string>, required_by: array<string>>, kind string"
