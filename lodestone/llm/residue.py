@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from lodestone.session import spread
 
-#: Documents the classifier is fitted and reported on, at most; drawn by a hash of the id.
-SAMPLE_DOCS = 10_000
+#: Documents the classifier is fitted and reported on, at most, and further ones of at most ``SHORT`` characters, among which error pages are; drawn by a hash of the id.
+SAMPLE_DOCS, SAMPLE_SHORT = 8_000, 10_000
 #: Plain segments the fit uses, at most; those with unusual signs and short ones all count, each once.
 SAMPLE_SEGMENTS = 12_000
 #: Hashed n-grams: (reading, length); bits of a hash.
@@ -405,13 +405,15 @@ def fit(rows: list[tuple[str, str]]) -> ResidueModel:
     return ResidueModel(w_template, w_error, (b_template, b_error), report)
 
 
-def train(documents: DataFrame, max_docs: int = SAMPLE_DOCS) -> ResidueModel:
-    """Fit on at most ``max_docs`` texts, drawn by a hash of the id, with the repository as host."""
-    usable = documents.where(F.length(F.trim("text")) > 0)
-    n = documents.count()
-    share = min(1.0, max_docs / max(1, n))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1
-    rows = usable.where(draw).select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), "text").limit(max_docs).collect()
+def train(documents: DataFrame, max_docs: int = SAMPLE_DOCS, max_short: int = SAMPLE_SHORT) -> ResidueModel:
+    """Fit on at most ``max_docs`` texts and ``max_short`` more short ones, drawn by a hash of the id, with the repository as host."""
+    usable = documents.where(F.length(F.trim("text")) > 0).select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), "text")
+    short = F.length("text") <= SHORT
+    n = usable.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(short, 1)).alias("short")).first()
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    upto = lambda most, of: int(min(1.0, most / max(1, of)) * 1_000_000) + 1
+    first = place < upto(max_docs, n["all"])
+    rows = usable.where(first).limit(max_docs).unionByName(usable.where(~first & short & (place >= 1_000_000 - upto(max_short, n["short"]))).limit(max_short)).collect()
     return fit([(r.repo, r.text) for r in sorted(rows, key=lambda r: (r.doc_id or 0, r.text))])
 
 
