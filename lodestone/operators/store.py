@@ -55,7 +55,7 @@ def embed(texts: DataFrame, make: Callable[[], EmbeddingProvider], column: str =
 
 
 class Store:
-    """Versioned tables under a folder; a manifest names the version that counts, so a reader never sees half a write."""
+    """Versioned tables under a folder; the latest manifest names the versions that count, so neither a reader nor a crash ever meets half a write."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -64,10 +64,13 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _manifest(self) -> dict:
-        path = self._path(f"{self.root}/manifest.json")
-        if not self._fs.exists(path):
+        """The manifest of the latest version; each is made whole by a rename, and none is ever replaced."""
+        root = self._path(self.root)
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        versions = [n for n in names if n.startswith("manifest-") and n.endswith(".json")]
+        if not versions:
             return {}
-        stream = self._fs.open(path)
+        stream = self._fs.open(self._path(f"{self.root}/{max(versions)}"))
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
@@ -79,17 +82,28 @@ class Store:
 
     def write(self, **tables: DataFrame) -> None:
         """Write new versions and then switch to all of them at once; older versions stay for readers that hold them."""
-        version = f"{time.time_ns():x}"
-        manifest = self._manifest() | {"created_at": time.time()}
+        version = f"{time.time_ns():020d}"
+        before = self._manifest()
+        manifest = before | {"created_at": time.time()}
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{name}-{version}")
             manifest[name] = f"{name}-{version}"
-        out = self._fs.create(self._path(f"{self.root}/manifest.json.new"), True)
+        new = self._path(f"{self.root}/new-{version}.json")
+        out = self._fs.create(new, False)
         out.write(bytearray(json.dumps(manifest), "utf-8"))
         out.close()
-        target = self._path(f"{self.root}/manifest.json")
-        self._fs.delete(target, False)
-        self._fs.rename(self._path(f"{self.root}/manifest.json.new"), target)
+        self._fs.rename(new, self._path(f"{self.root}/manifest-{version}.json"))
+
+    def vacuum(self) -> int:
+        """Remove the versions of tables and manifests that the latest manifest doesn't name; returns how many."""
+        held = self._manifest()
+        keep = {v for v in held.values() if isinstance(v, str)}
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        latest = max((n for n in names if n.startswith("manifest-")), default="")
+        stale = [n for n in names if n != latest and n not in keep and ("-" in n) and n.split("-")[-1].removesuffix(".json").isdigit()]
+        for n in stale:
+            self._fs.delete(self._path(f"{self.root}/{n}"), True)
+        return len(stale)
 
     def upsert(self, table: str, rows: DataFrame, key: list[str]) -> None:
         """Replace the rows whose key occurs in ``rows``, add the others.  Of rows with one key all are kept: pass one each."""
