@@ -27,7 +27,7 @@ def _pieces(s, d):
 QUERIES = {
     "p2_found": lambda s, d: _pieces(s, d).where("piece = 0 AND n_pieces > 1").select("repo", "id", "item"),
     "p2_pieces": lambda s, d: _pieces(s, d),
-    "p3_found": lambda s, d: distinctiveness.distinctive_terms(_scored(s, d)).select("chunk_id", "term"),
+    "p3_found": lambda s, d: distinctiveness.distinctive_terms(_read(s, d, "bm25_entries"), _read(s, d, "chunks")).select("chunk_id", "term"),
     "p3_scores": lambda s, d: _scored(s, d),
     "p3_spread": lambda s, d: distinctiveness.vocabulary_spread(_read(s, d, "vocabulary_terms")),
     "p4_found": lambda s, d: ideal_point.undisputed(ideal_point.ideal_point_ranking(_read(s, d, "candidate_evaluations"))),

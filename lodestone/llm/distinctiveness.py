@@ -98,31 +98,38 @@ def _with_degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column("chunk_id"), terms, b.column("tfs"), window_degrees(b.column("text"), terms)], ["chunk_id", "terms", "tfs", "degrees"])
 
 
-def score_terms(entries: DataFrame, chunks: DataFrame) -> DataFrame:
+def score_terms(entries: DataFrame, chunks: DataFrame, min_tf: int = 0, df_range: tuple[int, int] | None = None) -> DataFrame:
     """Every term of every chunk: (chunk_id, term, tf, degree, df, score).
 
+    With ``min_tf`` and ``df_range`` only the terms counted so often in the chunk and
+    found in so many chunks; they have the same scores, but what can't be among them is
+    left out before graphs are built and before anything is joined.
+
     Texts come from ``chunks`` (repeated rows collapse).  A chunk without a row there
     uses the stored order of its terms.  Empty maps give no rows; empty tables an
     empty result; other columns of the inputs are ignored.
     """
     counted = counting_entries(entries)
     texts = chunks.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.max("text").alias("text"))
-    graph = counted.join(texts, "chunk_id", "left").mapInArrow(_with_degrees, "chunk_id string, terms array<string>, tfs array<bigint>, degrees array<int>")
+    wanted = counted.where(F.exists("tfs", lambda n: n >= min_tf)) if min_tf else counted
+    graph = wanted.join(texts, "chunk_id", "left").mapInArrow(_with_degrees, "chunk_id string, terms array<string>, tfs array<bigint>, degrees array<int>")
     df = document_frequencies(counted)
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avg_len"))
     long = graph.select("chunk_id", F.size("terms").alias("len"), F.explode(F.arrays_zip("terms", "tfs", "degrees")).alias("t"))
-    rows = long.select("chunk_id", "len", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"), F.col("t.degrees").alias("degree"))
+    rows = long.select("chunk_id", "len", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"), F.col("t.degrees").alias("degree")).where(F.col("tf") >= min_tf)
     weight = F.col("degree") / (1 - SLOPE + SLOPE * F.col("len") / F.col("avg_len"))
+    rare = df if df_range is None else df.where(F.col("df").between(*df_range))
+    # terms of few chunks can't be hot
+    joined = rows.join(rare, "term") if df_range and df_range[1] <= 1000 else hot_key_join(rows, rare, "term", "df", "chunk_id")
     return (
-        hot_key_join(rows, df, "term", "df", "chunk_id")
-        .crossJoin(totals)  # one row
+        joined.crossJoin(totals)  # one row
         .select("chunk_id", "term", "tf", "degree", "df", (weight * F.log((F.col("n") + 1) / F.col("df"))).alias("score"))
     )
 
 
-def distinctive_terms(scored: DataFrame, min_tf: int = 4, min_df: int = 2, max_df: int = 6) -> DataFrame:
-    """Terms frequent in their chunk and in only a few chunks of the collection."""
-    return scored.where((F.col("tf") >= min_tf) & F.col("df").between(min_df, max_df))
+def distinctive_terms(entries: DataFrame, chunks: DataFrame, min_tf: int = 4, min_df: int = 2, max_df: int = 6) -> DataFrame:
+    """Terms frequent in their chunk and in only a few chunks of the collection, with their scores."""
+    return score_terms(entries, chunks, min_tf, (min_df, max_df))
 
 
 def vocabulary_spread(terms: DataFrame) -> DataFrame:

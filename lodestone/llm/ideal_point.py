@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.session import salted_join
+from lodestone.session import materialize, salted_join, spread
 
 SCORES = ("dense_score", "sparse_score", "blended_score")
 #: Quantiles at which scores are winsorised, and the accuracy of their estimate.
@@ -93,10 +93,10 @@ def _beats(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.nan_to_num(a, nan=-np.inf, neginf=-1.7e308) > np.nan_to_num(b, nan=-np.inf, neginf=-1.7e308)).sum(axis=-1) >= 2
 
 
-def _survivor(ids: np.ndarray, x: np.ndarray) -> int:
+def _survivor(x: np.ndarray) -> int:
     """Fold in the given order: who doesn't beat the next candidate gives way to it."""
     held, i = 0, 1
-    while i < len(ids):
+    while i < len(x):
         lost = ~_beats(x[held], x[i:])
         if not lost.any():
             break
@@ -110,16 +110,18 @@ _OUT = "query_id bigint, chunk_id string, closeness double, dense_score double,
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """At most one candidate per query and partition that may still beat all others."""
-    held: dict[int, pd.DataFrame] = {}
+    held: pd.DataFrame | None = None
     for pdf in batches:
-        for query, group in pdf.groupby("query_id", sort=False):
-            group = group.sort_values(["closeness", "chunk_id"], ascending=[False, True])
-            if query in held:
-                group = pd.concat([held[query], group])
-            k = _survivor(group["chunk_id"].to_numpy(), group[list(SCORES)].to_numpy(float))
-            held[query] = group.iloc[k : k + 1]
-    if held:
-        yield pd.concat(held.values())[["query_id", "chunk_id", "closeness", *SCORES]]
+        both = (pdf if held is None else pd.concat([held, pdf])).sort_values(["query_id", "closeness", "chunk_id"], ascending=[True, False, True], kind="stable", ignore_index=True)
+        if not len(both):
+            continue
+        x, query = both[list(SCORES)].to_numpy(float), both["query_id"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        ends = np.append(first[1:], len(both))
+        keep = [lo + _survivor(x[lo:hi]) for lo, hi in zip(first, ends)]
+        held = both.iloc[keep]
+    if held is not None:
+        yield held[["query_id", "chunk_id", "closeness", *SCORES]]
 
 
 def undisputed(ranked: DataFrame) -> DataFrame:
@@ -130,8 +132,9 @@ def undisputed(ranked: DataFrame) -> DataFrame:
     ranking then checks each survivor exactly.  Nobody who beats all others can be
     lost in a fold, so the result doesn't depend on the partitioning.
     """
-    part = ranked.select("query_id", "chunk_id", "closeness", *SCORES)
-    last = part.mapInPandas(_fold, _OUT).groupBy("query_id").applyInPandas(lambda g: next(_fold(iter([g]))), _OUT)
+    part = materialize(ranked.select("query_id", "chunk_id", "closeness", *SCORES), "ranking")  # ranked once, read by the fold and by the check
+    tasks = max(8, part.sparkSession.sparkContext.defaultParallelism)
+    last = spread(part).mapInPandas(_fold, _OUT).repartition(tasks, "query_id").mapInPandas(_fold, _OUT)
     rival = last.select("query_id", F.col("chunk_id").alias("best"), *[F.col(s).alias(f"b_{s}") for s in SCORES])
     higher = lambda s: F.when(F.col(f"b_{s}").isNotNull() & (F.col(s).isNull() | (F.col(f"b_{s}") > F.col(s))), 1).otherwise(0)
     won = (F.col("chunk_id") == F.col("best")) | (sum((higher(s) for s in SCORES), F.lit(0)) >= 2)

@@ -155,7 +155,7 @@ def oversized_items(parsed: DataFrame, limits: DataFrame) -> DataFrame:
     oversized ones are shuffled, so the size of a normal record doesn't matter.  Null
     texts, items without a limit and null limits give no rows.
     """
-    bound = {r["item"]: (r["max_chars"], r["overlap_chars"] or 0) for r in limits.where("max_chars IS NOT NULL").limit(1000).collect() if r["item"] in ITEMS}
+    bound = {r["item"]: (r["max_chars"], r["overlap_chars"] or 0) for r in limits.where(F.col("max_chars").isNotNull() & F.col("item").isin(*ITEMS)).groupBy("item").agg(F.min(F.struct("max_chars", "overlap_chars")).alias("l")).select("item", "l.*").collect()}
     schema = "repo string, id string, item string, text string, max_chars int, overlap_chars int"
     if not bound:
         return parsed.sparkSession.createDataFrame([], schema)
