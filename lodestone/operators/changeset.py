@@ -12,15 +12,17 @@ KEYWORDS = (
     "postgres|postgresql|mysql|sqlite|redis|kafka|rabbitmq|grpc|protobuf|rest|graphql|oauth|jwt|openid|docker|kubernetes|helm|terraform|vault|aws|azure|gcp|s3|sqs|sns|dynamodb|tracer|otel|"
     "opentelemetry|zap|winston|prometheus"
 )
+#: A slice to the end: more elements than a row can hold.
+MOST = 1 << 30
 ADVISORY = ("proposed", "draft", "in-review", "under-review")
 HISTORICAL = ("superseded", "deprecated", "rejected", "obsolete")
 
 
 def files(diffs: DataFrame, key: str = "diff_id", diff: str = "diff") -> DataFrame:
     """(diff_id, file_ord, path, change_type, added, deleted): one row per file of each diff."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "\ndiff --git "), 2, 1_000_000)
+    parts = F.slice(F.split(F.concat(F.lit("\n"), F.coalesce(diff, F.lit(""))), "\ndiff --git "), 2, MOST)
     rows = diffs.select(F.col(key).alias("diff_id"), F.posexplode(parts).alias("file_ord", "part"))
-    rows = rows.withColumn("lines", F.slice(F.split("part", "\n"), 2, 10_000_000)).withColumn("head", F.substring_index("part", "\n", 1))
+    rows = rows.withColumn("lines", F.slice(F.split("part", "\n"), 2, MOST)).withColumn("head", F.substring_index("part", "\n", 1))
     path = F.regexp_extract("head", r"^a/(.+?) b/(.+)$", 2)
     signal = lambda *starts: F.exists("lines", lambda x: F.startswith(x, F.lit(starts[0])) if len(starts) == 1 else F.startswith(x, F.lit(starts[0])) | F.startswith(x, F.lit(starts[1])))
     last = F.element_at(F.filter("lines", lambda x: x.rlike(r"^(?:new file mode|deleted file mode|similarity index|rename from)")), -1)

@@ -135,6 +135,7 @@ x AS (SELECT sha256(concat_ws('|', repo, relative_path, raw_content)) AS diff_id
 
 ORACLE = {
     "vocabulary": _vocabulary_sql(),
+    "vocabulary_top": f"SELECT term, doc_count, total_occurrences FROM ({_vocabulary_sql()}) WHERE doc_count >= 2 ORDER BY doc_count DESC, total_occurrences DESC, term LIMIT 50",
     "overlap_verdicts": f"WITH {_OVERLAP} SELECT draft_id, doc_id, overall, context, decision, verdict FROM j",
     "overlap_summary": f"""WITH {_OVERLAP}, t AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY overall DESC, doc_id) <= 5)
 SELECT draft_id, CASE max(CASE verdict WHEN 'DUPLICATE_RISK' THEN 3 WHEN 'CONFLICT_RISK' THEN 2 WHEN 'EXTENSION_CANDIDATE' THEN 1 ELSE 0 END) WHEN 3 THEN 'DUPLICATE_RISK' WHEN 2 THEN 'CONFLICT_RISK' WHEN 1 THEN 'EXTENSION_CANDIDATE' ELSE 'NOVEL' END AS verdict,

@@ -22,6 +22,13 @@ def _list(c):
     return F.coalesce(F.array_join(F.col(c), "|"), F.lit(""))
 
 
+def _catalog(s, d, status=None):
+    """Live records in the catalogue's order, each with its place in its repository."""
+    keep = F.max_by(F.struct("is_deleted", F.struct(F.coalesce("metadata.status", F.lit("")).alias("status")).alias("metadata")), "revision")
+    live = read(s, d, "documents_parsed").groupBy("repo", "id").agg(keep.alias("c")).select("repo", "id", "c.*").where("is_deleted = false")
+    return records.catalog_places(live, status).select("repo", "id", F.col("metadata.status").alias("status"), "place")
+
+
 QUERIES = {
     "record_fields": lambda s, d: _parsed(s, d).select(
         "repo", F.col("file_path").alias("path"), "content_hash", "parsed_id", F.col("metadata.title").alias("title"), F.col("metadata.status").alias("status"), F.col("metadata.date").alias("date"),
@@ -31,7 +38,10 @@ QUERIES = {
     "record_chunks": lambda s, d: records.chunks(_parsed(s, d)).groupBy("repo", "section_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")),
     "record_entities": lambda s, d: _raw(s, d).select("repo", F.col("relative_path").alias("path"), F.sha2("raw_content", 256).alias("content_hash"), F.array_join(T.entities(F.col("raw_content")), "|").alias("entities")),
     "record_citations": lambda s, d: _parsed(s, d).select("repo", F.col("file_path").alias("path"), "content_hash", F.array_join("inline_references", "|").alias("citations")),
-    "catalog_order": lambda s, d: read(s, d, "documents_parsed").where("is_deleted = false").groupBy(records.status_word(F.col("metadata.status")).alias("status")).agg(F.countDistinct("repo", "id").alias("records")),
+    "catalog_order": lambda s, d: _catalog(s, d),
+    "catalog_by_status": lambda s, d: _catalog(s, d, "accepted"),
+    "record_diagrams": lambda s, d: _parsed(s, d).select("repo", F.col("file_path").alias("path"), "content_hash", F.size(F.coalesce("sections.diagrams", F.array().cast("array<string>"))).cast("bigint").alias("n_diagrams"), _list("sections.diagrams").alias("diagrams")),
+    "record_links": lambda s, d: _parsed(s, d).select("repo", F.col("file_path").alias("path"), "content_hash", *[_list(f"metadata.{k}").alias(k) for k in ("supersedes", "extends", "amends", "required_by")]),
 }
 
 _WS = r"[\s\x{00A0}\x{FEFF}]"
@@ -94,6 +104,12 @@ _ENTITIES = f"""list_concat(list_concat(list_concat(
   list_transform(regexp_extract_all(t, '(?i)\\b({T.TECHNOLOGIES})\\b'), lambda x: regexp_replace(lower(x), '\\s+', '-', 'g'))),
   list_transform(regexp_extract_all(t, '(?i)ADR[-:\\s]*([0-9]{{1,4}})', 1), lambda x: 'adr-' || lpad(x, 4, '0')))"""
 
+_CATALOG = """WITH cur AS (SELECT repo, id, max(revision) AS revision FROM documents_parsed GROUP BY repo, id),
+live AS (
+  SELECT d.repo, d.id, any_value(coalesce(d.metadata.status, '')) AS status, TRY_CAST(regexp_extract(d.id, '([0-9]+)', 1) AS BIGINT) AS n
+  FROM documents_parsed d JOIN cur ON d.repo = cur.repo AND d.id = cur.id AND d.revision = cur.revision WHERE d.is_deleted = false GROUP BY d.repo, d.id
+)"""
+
 ORACLE = {
     "record_fields": f"""WITH {_LINES}
 SELECT repo, path, content_hash, {_ID} AS parsed_id, {_TITLE} AS title, coalesce(lower({_value('status')}), 'proposed') AS status,
@@ -101,5 +117,9 @@ SELECT repo, path, content_hash, {_ID} AS parsed_id, {_TITLE} AS title, coalesce
   coalesce({_joined(_value('deciders'))}, '') AS deciders, {_value('technical_story')} AS story, {_numbers(_value('depends_on'))} AS depends_on, {_numbers(_value('superseded_by'))} AS superseded_by, {_value('category')} AS category FROM k""",
     "record_sections": f"WITH {_LINES} SELECT repo, path, content_hash, " + ", ".join(f"{_section(n)} AS {n}" for n in records.SECTIONS) + " FROM k",
     "record_entities": f"WITH {_RAW}, e AS (SELECT repo, path, t, {_ENTITIES} AS e FROM raw) SELECT repo, path, sha256(t) AS content_hash, array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), '|') AS entities FROM e",
-    "catalog_order": "SELECT lower(regexp_extract(metadata.status, '[A-Za-z][A-Za-z-]*')) AS status, count(DISTINCT repo || '/' || id) AS records FROM documents_parsed WHERE is_deleted = false GROUP BY 1",
+    "catalog_order": f"{_CATALOG} SELECT repo, id, status, row_number() OVER (PARTITION BY repo ORDER BY n NULLS LAST, id) AS place FROM live",
+    "catalog_by_status": f"{_CATALOG} SELECT repo, id, status, row_number() OVER (PARTITION BY repo ORDER BY n NULLS LAST, id) AS place FROM live WHERE lower(status) = 'accepted'",
+    "record_diagrams": f"""WITH {_LINES}, g AS (SELECT repo, path, content_hash, list_transform(regexp_extract_all(replace(t, chr(13) || chr(10), chr(10)), '(?s)```mermaid(.*?)```', 1), lambda x: {_trim('x')}) AS g FROM k)
+SELECT repo, path, content_hash, len(g) AS n_diagrams, array_to_string(g, '|') AS diagrams FROM g""",
+    "record_links": f"WITH {_LINES} SELECT repo, path, content_hash, " + ", ".join(f"{_numbers(_value(name))} AS {name}" for name in ("supersedes", "extends", "amends", "required_by")) + " FROM k",
 }
