@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import hot_key_join
+from lodestone.session import hot_key_join, materialize
 
 #: Tokens within a window are neighbours of each other.
 WINDOW = 4
+#: Entries that a task of the joins by chunk holds, about.
+TASK_ROWS = 25_000
 #: Length damping of the weight (TW-IDF uses a small value, as degrees grow slowly).
 SLOPE = 0.003
 
@@ -109,10 +111,12 @@ def score_terms(entries: DataFrame, chunks: DataFrame, min_tf: int = 0, df_range
     uses the stored order of its terms.  Empty maps give no rows; empty tables an
     empty result; other columns of the inputs are ignored.
     """
-    counted = counting_entries(entries)
-    texts = chunks.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.max("text").alias("text"))
-    wanted = counted.where(F.exists("tfs", lambda n: n >= min_tf)) if min_tf else counted
-    graph = wanted.join(texts, "chunk_id", "left").mapInArrow(_with_degrees, "chunk_id string, terms array<string>, tfs array<bigint>, degrees array<int>")
+    # tasks by the number of rows, not by the session's setting: a task's share doesn't grow with the table
+    tasks = max(entries.sparkSession.sparkContext.defaultParallelism, -(-entries.count() // TASK_ROWS))
+    counted = materialize(counting_entries(entries.repartition(tasks, "chunk_id")).withColumn("most", F.array_max("tfs")), "counted")  # read for frequencies, totals and graphs
+    texts = chunks.where(F.col("chunk_id").isNotNull()).select("chunk_id", "text").repartition(tasks, "chunk_id").groupBy("chunk_id").agg(F.max("text").alias("text"))
+    wanted = counted.where(F.col("most") >= min_tf) if min_tf else counted
+    graph = wanted.select("chunk_id", "terms", "tfs").repartition(tasks, "chunk_id").join(texts, "chunk_id", "left").mapInArrow(_with_degrees, "chunk_id string, terms array<string>, tfs array<bigint>, degrees array<int>")
     df = document_frequencies(counted)
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avg_len"))
     long = graph.select("chunk_id", F.size("terms").alias("len"), F.explode(F.arrays_zip("terms", "tfs", "degrees")).alias("t"))

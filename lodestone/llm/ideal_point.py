@@ -42,7 +42,8 @@ def closeness(candidates: DataFrame, weights: dict[str, float] | None = None, sc
 
     A null score counts as the lower winsor bound of its query, a score that is null
     throughout as 0.  Where best and worst point coincide (one candidate, or all
-    equal) closeness is 0.5.  Infinite scores end at the winsor bounds, or at the
+    equal) closeness is 0.5.  It has nine digits, so that ranks don't depend on the order
+    in which sums were made.  Infinite scores end at the winsor bounds, or at the
     greatest double where the bound itself is infinite.
     """
     weights = weights or {s: 1.0 / len(scores) for s in scores}
@@ -64,7 +65,7 @@ def closeness(candidates: DataFrame, weights: dict[str, float] | None = None, sc
     to = lambda edge: F.sqrt(sum((F.pow(scaled(f"x_{s}", s) - scaled(f"{edge}_{s}", s), 2) for s in scores), F.lit(0.0)))
     near, far = to("hi"), to("lo")
     value = F.when(near + far > 0, far / (near + far)).otherwise(F.lit(0.5))
-    return salted_join(wins, peaks, ["query_id"], on="chunk_id").select("query_id", "chunk_id", *scores, value.alias("closeness"))
+    return salted_join(wins, peaks, ["query_id"], on="chunk_id").select("query_id", "chunk_id", *scores, F.round(value, 9).alias("closeness"))
 
 
 def rank(scored: DataFrame) -> DataFrame:
