@@ -110,4 +110,4 @@ def citations(content: Column, own_id: Column) -> Column:
     """Numbers of other records that a text names, in order of first mention."""
     pattern = r"(?i)(?:legacy\s+adr[-:\s]*[0-9]{1,4}|adr[-:\s]*[0-9]{3,4}|(?:docs/adr|legacy_adr)/(?:adr-)?[0-9]{3,4})"
     numbers = F.transform(F.regexp_extract_all(content, F.lit(pattern), 0), lambda m: F.regexp_extract(m, r"([0-9]+)$", 1))
-    return F.array_remove(F.array_distinct(numbers), own_id)
+    return F.array_remove(F.array_distinct(numbers), F.coalesce(own_id, F.lit("")))

@@ -104,6 +104,15 @@ _ENTITIES = f"""list_concat(list_concat(list_concat(
   list_transform(regexp_extract_all(t, '(?i)\\b({T.TECHNOLOGIES})\\b'), lambda x: regexp_replace(lower(x), '\\s+', '-', 'g'))),
   list_transform(regexp_extract_all(t, '(?i)ADR[-:\\s]*([0-9]{{1,4}})', 1), lambda x: 'adr-' || lpad(x, 4, '0')))"""
 
+
+def _prose(x):
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '(?s)```.*?```', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[|:-]{{3,}}', ' ', 'g'), '{_WS}+', ' ', 'g'))"
+
+
+def _words(x, n):
+    return f"CASE WHEN len(string_split({x}, ' ')) <= {n} THEN {x} ELSE array_to_string(list_slice(string_split({x}, ' '), 1, {n}), ' ') || '...' END"
+
+
 _CATALOG = """WITH cur AS (SELECT repo, id, max(revision) AS revision FROM documents_parsed GROUP BY repo, id),
 live AS (
   SELECT d.repo, d.id, any_value(coalesce(d.metadata.status, '')) AS status, TRY_CAST(regexp_extract(d.id, '([0-9]+)', 1) AS BIGINT) AS n
@@ -122,4 +131,17 @@ SELECT repo, path, content_hash, {_ID} AS parsed_id, {_TITLE} AS title, coalesce
     "record_diagrams": f"""WITH {_LINES}, g AS (SELECT repo, path, content_hash, list_transform(regexp_extract_all(replace(t, chr(13) || chr(10), chr(10)), '(?s)```mermaid(.*?)```', 1), lambda x: {_trim('x')}) AS g FROM k)
 SELECT repo, path, content_hash, len(g) AS n_diagrams, array_to_string(g, '|') AS diagrams FROM g""",
     "record_links": f"WITH {_LINES} SELECT repo, path, content_hash, " + ", ".join(f"{_numbers(_value(name))} AS {name}" for name in ("supersedes", "extends", "amends", "required_by")) + " FROM k",
+    "record_citations": f"""WITH {_LINES},
+c AS (SELECT repo, path, content_hash, {_ID} AS own, list_transform(regexp_extract_all(t, '(?i)(?:legacy\\s+adr[-:\\s]*[0-9]{{1,4}}|adr[-:\\s]*[0-9]{{3,4}}|(?:docs/adr|legacy_adr)/(?:adr-)?[0-9]{{3,4}})'), lambda x: regexp_extract(x, '([0-9]+)$', 1)) AS n FROM k)
+SELECT repo, path, content_hash, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i AND x <> coalesce(own, '')), '|') AS citations FROM c""",
+    "record_chunks": f"""WITH {_LINES},
+p AS (SELECT repo, {_ID} AS id, {_TITLE} AS title, coalesce(lower({_value('status')}), 'proposed') AS status, {_value('category')} AS category, {_prose(_section('context'))} AS c, {_prose(_section('decision'))} AS d, {_prose(_section('considered_options'))} AS o,
+  length({_section('context')}) > 0 AS has_c, length({_section('decision')}) > 0 AS has_d FROM k),
+t AS (
+  SELECT repo, 'summary' AS section_type, concat_ws(chr(10), 'ADR ' || id || ': ' || title, 'Status: ' || status, CASE WHEN length(category) > 0 THEN 'Category: ' || category END, CASE WHEN has_c THEN 'Context: ' || {_words('c', 120)} END, CASE WHEN has_d THEN 'Decision: ' || {_words('d', 120)} END) AS text FROM p
+  UNION ALL SELECT repo, 'context', 'ADR ' || id || ' Context: ' || {_words('c', 250)} FROM p WHERE length(c) > 0
+  UNION ALL SELECT repo, 'decision', 'ADR ' || id || ' Decision: ' || {_words('d', 250)} FROM p WHERE length(d) > 0
+  UNION ALL SELECT repo, 'options', 'ADR ' || id || ' Options: ' || {_words('o', 200)} FROM p WHERE length(o) > 0
+)
+SELECT repo, section_type, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM t GROUP BY 1, 2""",
 }
