@@ -22,7 +22,7 @@ from lodestone.session import hot_key_join, materialize
 #: Tokens within a window are neighbours of each other.
 WINDOW = 4
 #: Entries that a task of the joins by chunk holds, about.
-TASK_ROWS = 25_000
+TASK_ROWS = 10_000
 #: Length damping of the weight (TW-IDF uses a small value, as degrees grow slowly).
 SLOPE = 0.003
 
