@@ -1,3 +1,4 @@
+from lodestone.session import materialize
 from lodestone.operators import changeset, graph, overlap, records, vocabulary
 
 TEXT = """# ADR-0007: Keep sessions in a cache
@@ -133,7 +134,12 @@ def test_overlap_by_titles_and_shared_entities(spark):
     titles = overlap.title_similarities(
         spark.createDataFrame([("a", "Queue for billing events")], "draft_id string, text string"), spark.createDataFrame([("v", "Queue for billing events"), ("w", "Unlike name")], "doc_id string, text string"), store.HashingEmbedder
     )
-    got = {r.doc_id: r.verdict for r in overlap.verdicts(overlap.with_evidence(near, titles, mine, theirs)).collect()}
+    drafts = spark.createDataFrame([("a", "summary", [1.0, 0.0])], "draft_id string, section_type string, embedding array<float>")
+    chunks = spark.createDataFrame([("v#summary", "v", "summary", [0.0, 1.0]), ("w#summary", "w", "summary", [0.6, 0.8])], "chunk_id string, doc_id string, section_type string, embedding array<float>")
+    got = {r.doc_id: r.verdict for r in overlap.verdicts(overlap.with_evidence(near, titles, mine, theirs, drafts, chunks)).collect()}
+    assert [tuple(round(v, 3) for v in r[2:]) for r in overlap.similarities(drafts, chunks).collect()] == [(0.6, 0.6, 0.6)]
+    words = overlap.shared_words(spark.createDataFrame([("a", "Use the cache for billing"), ("b", ""), ("c", "one")], "draft_id string, text string"), spark.createDataFrame([("x", "Cache for the billing"), ("y", "one two three"), ("z", "use the CACHE for billing"), ("n", None)], "doc_id string, text string"))
+    assert {(r.draft_id, r.doc_id): round(r.title, 4) for r in words.collect()} == {("a", "x"): 0.8944, ("a", "z"): 1.0}
     assert got == {"x": "DUPLICATE_RISK", "y": "EXTENSION_CANDIDATE", "z": "CONFLICT_RISK", "v": "EXTENSION_CANDIDATE"}
 
 
@@ -142,7 +148,7 @@ def test_graph_deeper_than_fifty(spark):
     name = lambda i: f"{i:04d}"
     rows = [("r", name(i + 1), name(i), "OBSOLETES") for i in range(n)] + [("r", name(i), name(i + 1), "DEPENDS_ON") for i in range(n)] + [("r", name(n), name(0), "DEPENDS_ON")]
     rows += [("s", name(i % 5 + 1), name(i), "OBSOLETES") for i in range(1, 6)] + [("s", name(1), "0900", "OBSOLETES"), ("s", "0900", "0901", "OBSOLETES"), ("s", "0950", "0950", "OBSOLETES")]
-    edge = spark.createDataFrame(rows, "repo string, source string, target string, type string").repartition(2).localCheckpoint()
+    edge = materialize(spark.createDataFrame(rows, "repo string, source string, target string, type string").repartition(2), "edges")
     start = spark.createDataFrame([("r", name(0)), ("r", name(n)), ("s", "0901"), ("s", "0003"), ("s", "0950"), ("s", "0999")], "repo string, id string")
     got = {(r.repo, r.start): (r.active, r.steps) for r in graph.lineage(start, edge).collect()}
     assert got == {("r", name(0)): (name(n), n), ("r", name(n)): (name(n), 0), ("s", "0901"): ("0005", 6), ("s", "0003"): ("0002", 4), ("s", "0950"): ("0950", 0), ("s", "0999"): ("0999", 0)}

@@ -99,3 +99,25 @@ def test_streaming_merge(spark, tmp_path):
     assert sorted((r.id, r.title) for r in store.read("documents").collect()) == [("1", "b"), ("2", "d"), ("3", "e")]
     store.delete("documents", spark.createDataFrame([("r", "2")], "repo string, id string"), ["repo", "id"])
     assert store.read("documents").count() == 2
+
+
+def test_a_store_outlives_a_crash_before_the_switch(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    one, two = (spark.createDataFrame([(i,)], "id int") for i in (1, 2))
+    store.write(documents=one)
+
+    class Dies:
+        def __getattr__(self, name):
+            if name == "rename":
+                raise KeyboardInterrupt
+            return getattr(fs, name)
+
+    fs = store._fs
+    monkeypatch.setattr(store, "_fs", Dies())
+    with pytest.raises(KeyboardInterrupt):
+        store.write(documents=two)
+    monkeypatch.setattr(store, "_fs", fs)
+    assert [r.id for r in store.read("documents").collect()] == [1]
+    store.write(documents=two)
+    assert store.vacuum() >= 3 and [r.id for r in store.read("documents").collect()] == [2]
+    assert len([n for n in (tmp_path / "store").iterdir() if not n.name.startswith(".")]) == 2
