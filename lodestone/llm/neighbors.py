@@ -42,6 +42,8 @@ BATCH, GROWTH, SLACK_FACTOR, PRUNE_FACTOR, PRUNE_BLOCK = 512, 1.12, 1.25, 1.5, 5
 #: Beam width of the searches that tell which vectors have a similar one; from other cells twice that.
 PROBE_BEAM = 12
 QUERY_BLOCK = 128
+#: Products that are formed, and rows that are pruned, at once: about what a core's cache holds.
+DOT_BLOCK, PRUNE_ROWS = 1024, 128
 #: Single precision may miss the threshold by this much.
 SLACK = 1e-4
 #: Candidate pairs that are held at once when all above a threshold are wanted.
@@ -88,67 +90,110 @@ def _top(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), order
 
 
+#: A place of a beam that holds no node: last in order, and nothing to expand.
+_EMPTY = np.iinfo(np.int64).max
+
+
+def _keys(sims: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """A beam's entries: integers whose order is that of the similarities, greatest first, and then of the nodes; even until a node is expanded."""
+    bits = (-sims).view(np.int32)
+    return ((bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) << 32) | (nodes << 1)
+
+
+def _nodes(keys: np.ndarray) -> np.ndarray:
+    return (keys & 0xFFFFFFFF) >> 1
+
+
+def _sims(keys: np.ndarray) -> np.ndarray:
+    bits = (keys >> 32).astype(np.int32)
+    return -(bits ^ ((bits >> 31) & 0x7FFFFFFF)).view(np.float32)
+
+
+def _dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the rows ``i`` of ``x`` and ``j`` of ``y``, by blocks that stay in the cache."""
+    out = np.empty(len(i), np.float32)
+    a, b = np.empty((2, min(len(i), DOT_BLOCK), x.shape[1]), np.float32)
+    for lo in range(0, len(i), DOT_BLOCK):
+        n = len(i[lo : lo + DOT_BLOCK])
+        x.take(i[lo : lo + n], 0, a[:n], "clip")
+        y.take(j[lo : lo + n], 0, b[:n], "clip")
+        np.einsum("nd,nd->n", a[:n], b[:n], out=out[lo : lo + n])
+    return out
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """The ``beam`` best nodes found for each query, best first; -1 where fewer were found.
 
     ``starts`` are nodes per query (-1 for none).  Each step expands the ``EXPAND`` best
     nodes not yet expanded, until the beam holds none.  A bitmap per query tells what it
-    has seen, so a node is compared once.
+    has seen, so a node is compared once; only what is better than a beam's last entry is
+    sorted into it.
     """
-    n, none = len(queries), len(x)
-    seen = np.zeros((n, none + 1), bool)
-    seen[:, none] = True
-    # a beam's entry is twice the node, plus one once it has been expanded
-    held, sims = np.full((n, beam), -1, np.int32), np.full((n, beam), -np.inf, np.float32)
-    live, near, asked = np.arange(n), starts.astype(np.int32), queries
+    n, width = len(queries), len(x) + 1
+    seen = np.zeros(n * width, bool)
+    seen[::width] = True  # a row's first place is that of -1
+    held = np.full((n, beam), _EMPTY)
+    live, rows, near = np.arange(n), np.arange(n), starts
     while len(live):
-        near[near < 0] = none
-        near.sort(1)
-        row = live[:, None]
-        fresh = ~seen[row, near]
-        fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
-        r, c = np.nonzero(fresh)
-        node = near[r, c]
-        seen[live[r], node] = True
-        all_sims = np.full((len(live), beam + near.shape[1]), -np.inf, np.float32)
-        all_sims[:, :beam] = sims[live]
-        all_sims[r, beam + c] = np.einsum("nd,nd->n", x[node], asked[r])
-        top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-        line = np.arange(len(live))[:, None]
-        part = all_sims[line, top]
-        order = np.argsort(-part, axis=1)
-        top, part = top[line, order], part[line, order]
-        entry = np.concatenate([held[live], near * 2], 1)[line, top]
-        entry[part == -np.inf] = -1  # odd: nothing to expand
-        open_ = entry & 1 == 0
-        turn = np.cumsum(open_, 1)
-        pick = open_ & (turn <= EXPAND)
-        more = np.flatnonzero(pick.any(1))
-        r, c = np.nonzero(pick[more])
-        slot = np.full((len(more), EXPAND), -1, np.int32)
-        slot[r, turn[more[r], c] - 1] = entry[more[r], c] >> 1
-        held[live], sims[live] = entry | pick, part
-        near = np.where(slot[:, :, None] >= 0, graph[slot], -1).reshape(len(more), EXPAND * graph.shape[1])
-        live, asked = live[more], asked[more]
-    return np.where(sims > -np.inf, held >> 1, -1), sims
+        place = (rows[:, None] * width + 1 + near).ravel()
+        place = place[~seen.take(place)]
+        place.sort()
+        place = place[np.concatenate([[True], place[1:] != place[:-1]])[: len(place)]]
+        seen[place] = True
+        r = place // width
+        node = place - r * width - 1
+        keys = _keys(_dots(x, node, queries, r), node)
+        better = np.flatnonzero(keys < held[:, -1].take(r))
+        if len(better):
+            r, keys = r[better], keys[better]
+            count = np.bincount(r, minlength=n)
+            line = np.flatnonzero(count)
+            first = np.cumsum(count) - count
+            merged = np.full((len(line), beam + count.max()), _EMPTY)
+            merged[:, :beam] = held[line]
+            merged[np.repeat(np.arange(len(line)), count[line]), np.arange(beam, beam + len(r)) - first[r]] = keys
+            merged.sort(1)
+            held[line] = merged[:, :beam]
+        own = held[live]
+        open_ = own & 1 == 0
+        pick = open_ & (np.cumsum(open_, 1) <= EXPAND)
+        held[live] = own | pick
+        rows, at = np.nonzero(pick)
+        near = graph.take(_nodes(own[rows, at]), 0)
+        rows, live = live[rows], live[pick.any(1)]
+    return np.where(held < _EMPTY, _nodes(held), -1), np.where(held < _EMPTY, _sims(held), np.float32(-np.inf))
 
 
 def robust_prune(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Up to ``degree`` diverse neighbours per row of candidates (best first, -1 for none)."""
+    return np.concatenate([_pruned(x, cand[lo : lo + PRUNE_ROWS], sims[lo : lo + PRUNE_ROWS], degree, alpha) for lo in range(0, max(1, len(cand)), PRUNE_ROWS)])
+
+
+def _pruned(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     n, k = cand.shape
-    alive = cand >= 0
-    v = x[np.maximum(cand, 0)]
-    between = np.matmul(v, v.transpose(0, 2, 1))
-    out, count, rows = np.full((n, degree), -1, np.int64), np.zeros(n, np.int64), np.arange(n)
+    v = x.take(np.maximum(cand, 0), 0)
+    # the candidates that are left, and those that each of them drops: bits in 64-bit words, with the rows along the last axis
+    drops = _bits(alpha * (1 - np.matmul(v, v.transpose(0, 2, 1))) <= (1 - sims)[:, None, :]).transpose(1, 2, 0).copy()
+    alive, kept, count = _bits(cand >= 0).T.copy(), np.zeros((k, n), bool), np.zeros(n, np.int64)
     for i in range(k):
-        take = alive[:, i] & (count < degree)
-        out[rows[take], count[take]] = cand[take, i]
+        take = (alive[i // 64] >> np.uint64(i % 64)).astype(np.uint8) & 1 & (count < degree)
+        kept[i] = take
         count += take
-        near = alpha * (1 - between[:, i, i + 1 :]) <= (1 - sims[:, i + 1 :])
-        alive[:, i + 1 :] &= ~(near & take[:, None])
+        alive &= ~(drops[i] * take)
+    out = np.full((n, degree), -1, np.int64)
+    r, c = np.nonzero(kept.T)
+    out[r, np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)] = cand[r, c]
     return out
 
 
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Flags along the last axis as 64-bit words, the first flag lowest."""
+    packed = np.packbits(flags, axis=-1, bitorder="little")
+    words = np.zeros((*flags.shape[:-1], -(-flags.shape[-1] // 64) * 8), np.uint8)
+    words[..., : packed.shape[-1]] = packed
+    return words.view("<u8")
+
+
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Neighbours of each node, -1 where there are fewer, and the best similarity that each met on its insertion.
 
@@ -211,7 +256,7 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, fresh: np.ndarray, degree: in
         step = np.arange(len(rows)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
         added[rows, step] = source[np.repeat(first[part], count[part]) + step]
         cand = np.concatenate([graph[nodes[part]], added], 1)
-        s = np.where(cand >= 0, np.matmul(x[cand], x[nodes[part]][:, :, None])[:, :, 0], -np.inf)
+        s = np.where(cand >= 0, np.matmul(x.take(np.maximum(cand, 0), 0), x[nodes[part]][:, :, None])[:, :, 0], -np.inf)
         cand, s, _ = _top(cand, s, min(cand.shape[1], int(PRUNE_FACTOR * degree)))
         kept = robust_prune(x, np.where(s > -np.inf, cand, -1), s, degree)
         graph[nodes[part]] = np.pad(kept, ((0, 0), (0, width_of - degree)), constant_values=-1)
