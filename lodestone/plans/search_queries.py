@@ -56,7 +56,7 @@ QUERIES = {
     "token_counts": lambda s, d: _documents(s, d).select("doc_id", F.size(T.tokenize(F.col("text"))).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(T.tokenize(F.col("text")))).cast("bigint").alias("n_distinct")),
     "idf_table": lambda s, d: _round(bm25.idf_table(_index(s, d)), "idf"),
     "bm25_search": lambda s, d: _with_terms(s, d, lambda x: search.top_k(x, "query_id", [F.desc("score"), F.asc("chunk_id")], 10)).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "terms"),
-    "bm25_attribution": lambda s, d: _round(search.top_k(bm25.attribution(_index(s, d), bm25.query_terms(_queries(s, d))).withColumn("weight", F.round("weight", 6)), "query_id", [F.desc("weight"), F.asc("doc_id"), F.asc("term")], 6).select("query_id", "doc_id", "term", "tf", "idf", "weight"), "idf", "weight"),
+    "bm25_attribution": lambda s, d: _round(bm25.best_attribution(_index(s, d), bm25.query_terms(_queries(s, d)), 6), "idf"),
     "sparse_search": lambda s, d: _with_terms(s, d, lambda x: search.sparse_search(x, _text_docs(s, d), 5, 0.2, ["en"])).select("query_id", "doc_id", "relative", "terms"),
     "dense_search": lambda s, d: search.dense_search(_dense(s, d).withColumn("similarity", F.round("similarity", 6)), _vector_docs(s, d), 5, 0.2).select("query_id", "doc_id", "similarity"),
     "hybrid_search": lambda s, d: _round(search.hybrid_search(_dense(s, d).withColumn("similarity", F.round("similarity", 6)), _bm25(s, d), _text_docs(s, d), 5, 0.2, statuses=["en", "de", "fr", "es"]).select("query_id", "doc_id", "fused", "blended"), "fused", "blended"),

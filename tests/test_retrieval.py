@@ -99,3 +99,24 @@ def test_text_queries_ask_with_the_whole_row(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {(r.query_id, r.doc_id): r.terms for r in search_queries.QUERIES["bm25_search"](spark, str(tmp_path)).collect()}
     assert found[20, 1] == "billing" and found[40, 2] == "kafka" and set(found) == {(20, 20), (20, 1), (40, 40), (40, 2)}
+
+
+def test_best_attribution_meets_each_term_only_with_its_first_documents(spark):
+    docs = [(d, f"cache {'redis ' * (d % 7 + 1)}" + ("kafka" if d % 3 else "zebra_crossing a--b")) for d in range(60)]
+    index = bm25.stored(bm25.build(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "doc_id"))
+    terms = bm25.query_terms(spark.createDataFrame([(q, t) for q, t in docs if q % 20 == 0] + [(-1, ""), (-2, None)], "query_id bigint, text string"))
+    every = bm25.attribution(index, terms).withColumn("weight", F.round("weight", 6))
+    want = search.top_k(every, "query_id", [F.desc("weight"), F.asc("doc_id"), F.asc("term")], 6).select("query_id", "doc_id", "term", "tf", "weight")
+    got = bm25.best_attribution(index, terms, 6)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect()) and got.count() == 18
+    split = bm25.Index(index.postings, index.frequencies, index.totals, index.packed, whole=False)
+    assert sorted(bm25.best_attribution(split, terms, 6).select(want.columns).collect()) == sorted(want.collect())
+
+
+def test_index_counts_texts_of_one_key_together_and_packs_tokens_in_order(spark):
+    rows = [(1, "b_side a--b -b_side- Über"), (2, "cache redis cache"), (2, "redis cache redis")]
+    index = bm25.stored(bm25.build(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "doc_id"))
+    got = {(r.chunk_id, r.term): (r.tf, r.length) for r in index.postings.collect()}
+    assert got == {(1, "b_side"): (2, 6), (1, "side"): (2, 6), (1, "a--b"): (1, 6), (1, "ber"): (1, 6), (2, "cache"): (3, 3), (2, "redis"): (3, 3)}
+    terms = bm25.query_terms(spark.createDataFrame([(7, rows[0][1])], "query_id bigint, text string"))
+    assert [r.term for r in terms.orderBy("ord").collect()] == ["b_side", "side", "a--b", "ber"]
