@@ -160,10 +160,14 @@ def score(index: Index, terms: DataFrame, k1: float = K1, b: float = B, section:
 
 def matched_terms(index: Index, terms: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds ``matched_terms``, in the query's order, to rows of (query_id, chunk_id, ...)."""
-    wanted = index.postings.select("chunk_id", "term").join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    pairs = rows.select("query_id", "chunk_id").distinct().join(wanted, "chunk_id").join(terms, ["query_id", "term"])
-    found = pairs.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("m"))
-    return rows.join(found.select("query_id", "chunk_id", F.transform("m", lambda x: x["term"]).alias("matched_terms")), ["query_id", "chunk_id"], "left")
+    chosen = rows.select("chunk_id").distinct()
+    if chosen.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:  # else all chunks are shuffled
+        chosen = F.broadcast(chosen)
+    held = index.packed.select("chunk_id", F.col("terms").alias("held")).join(chosen, "chunk_id", "left_semi")
+    held = held.groupBy("chunk_id").agg(F.flatten(F.collect_list("held")).alias("held"))
+    asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("asked"))
+    both = rows.join(held, "chunk_id", "left").join(asked, "query_id", "left")
+    return both.withColumn("matched_terms", F.array_intersect("asked.term", "held")).drop("held", "asked")
 
 
 def attribution(index: Index, terms: DataFrame) -> DataFrame:

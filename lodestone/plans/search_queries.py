@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import bm25, search
+from lodestone.operators.best import best
 from lodestone.plans.record_queries import read
+from lodestone.session import materialize
 
 
 def _documents(s, d):
@@ -26,10 +28,10 @@ def _bm25(s, d):
     return bm25.score(_index(s, d), bm25.query_terms(_queries(s, d))).withColumn("score", F.round("score", 6))
 
 
-def _with_terms(s, d, pick):
-    """Rows that ``pick`` keeps of all scores, with the terms that matched."""
+def _with_terms(s, d, k, pick):
+    """Rows that ``pick`` keeps of the k best scores, with the terms that matched."""
     index, terms = _index(s, d), bm25.query_terms(_queries(s, d))
-    kept = pick(bm25.score(index, terms).withColumn("score", F.round("score", 6)))
+    kept = materialize(pick(best(index, terms, k)), "kept")
     return bm25.matched_terms(index, terms, kept).withColumn("terms", F.array_join("matched_terms", " "))
 
 
@@ -55,9 +57,9 @@ def _round(df, *columns):
 QUERIES = {
     "token_counts": lambda s, d: _documents(s, d).select("doc_id", F.size(T.tokenize(F.col("text"))).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(T.tokenize(F.col("text")))).cast("bigint").alias("n_distinct")),
     "idf_table": lambda s, d: _round(bm25.idf_table(_index(s, d)), "idf"),
-    "bm25_search": lambda s, d: _with_terms(s, d, lambda x: search.top_k(x, "query_id", [F.desc("score"), F.asc("chunk_id")], 10)).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "terms"),
+    "bm25_search": lambda s, d: _with_terms(s, d, 10, lambda x: search.top_k(x, "query_id", [F.desc("score"), F.asc("chunk_id")], 10)).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "terms"),
     "bm25_attribution": lambda s, d: _round(bm25.best_attribution(_index(s, d), bm25.query_terms(_queries(s, d)), 6), "idf"),
-    "sparse_search": lambda s, d: _with_terms(s, d, lambda x: search.sparse_search(x, _text_docs(s, d), 5, 0.2, ["en"])).select("query_id", "doc_id", "relative", "terms"),
+    "sparse_search": lambda s, d: _with_terms(s, d, 15, lambda x: search.sparse_search(x, _text_docs(s, d), 5, 0.2, ["en"])).select("query_id", "doc_id", "relative", "terms"),
     "dense_search": lambda s, d: search.dense_search(_dense(s, d).withColumn("similarity", F.round("similarity", 6)), _vector_docs(s, d), 5, 0.2).select("query_id", "doc_id", "similarity"),
     "hybrid_search": lambda s, d: _round(search.hybrid_search(_dense(s, d).withColumn("similarity", F.round("similarity", 6)), _bm25(s, d), _text_docs(s, d), 5, 0.2, statuses=["en", "de", "fr", "es"]).select("query_id", "doc_id", "fused", "blended"), "fused", "blended"),
 }

@@ -120,3 +120,21 @@ def test_index_counts_texts_of_one_key_together_and_packs_tokens_in_order(spark)
     assert got == {(1, "b_side"): (2, 6), (1, "side"): (2, 6), (1, "a--b"): (1, 6), (1, "ber"): (1, 6), (2, "cache"): (3, 3), (2, "redis"): (3, 3)}
     terms = bm25.query_terms(spark.createDataFrame([(7, rows[0][1])], "query_id bigint, text string"))
     assert [r.term for r in terms.orderBy("ord").collect()] == ["b_side", "side", "a--b", "ber"]
+
+
+def test_best_gives_the_first_rows_of_all_scores_ties_by_key(spark):
+    from lodestone.operators.best import best
+
+    words = "redis cache kafka broker queue zebra ledger".split()
+    docs = [(d, " ".join(w for i, w in enumerate(words) if (d % 97 >> i) & 1) + f" cache word{d % 50}" * (d % 3), "en" if d % 4 else "xx") for d in range(1300)] + [(2000, "", "en")]
+    chunks = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    index = bm25.stored(bm25.build(chunks, "doc_id", "doc_id", "lang"))
+    terms = bm25.query_terms(spark.createDataFrame([(q, t) for q, t, _ in docs if q % 100 == 7] + [(-1, ""), (-2, "unknown")], "query_id bigint, text string"))
+    every = bm25.score(index, terms).withColumn("score", F.round("score", 6))
+    ordered = [F.desc("score"), F.asc("chunk_id")]
+    want = search.top_k(every, "query_id", ordered, 4).select("query_id", "chunk_id", "score")
+    assert sorted(search.top_k(best(index, terms, 4), "query_id", ordered, 4).select(want.columns).collect()) == sorted(want.collect())
+    ranked = every.withColumn("r", F.row_number().over(search.W.partitionBy("query_id").orderBy(*ordered)))
+    some = best(index, terms, 4, counts=F.col("section_type") == "xx").withColumn("r", F.row_number().over(search.W.partitionBy("query_id").orderBy(*ordered)))
+    first = lambda df: sorted(search.top_k(df.where("section_type = 'xx'"), "query_id", ordered, 4).select("query_id", "chunk_id", "score", "r").collect())
+    assert first(some) == first(ranked)
