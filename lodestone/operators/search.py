@@ -148,10 +148,15 @@ def hybrid_search(
     relative = salted_join(sparse.select("query_id", "chunk_id", "score"), peak, ["query_id"], on="chunk_id").withColumn("relative", F.col("score") / F.col("most"))
     s = row_number_by_cells(relative.select("query_id", "chunk_id", "relative"), "query_id", "relative", "chunk_id", 0.0, 1.0, "sparse_rank")
     both = d.join(s, ["query_id", "chunk_id"], "full").join(kept.select("chunk_id", "doc_id"), "chunk_id")
+    return fused(both, k, threshold, weight)
+
+
+def fused(both: DataFrame, k: int, threshold: float, weight: float) -> DataFrame:
+    """The k best documents per query of (query_id, chunk_id, doc_id, similarity, dense_rank, relative, sparse_rank)."""
     similarity, rel = F.coalesce("similarity", F.lit(0.0)), F.coalesce("relative", F.lit(0.0))
-    fused = F.coalesce(1.0 / (RRF_K + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("sparse_rank")), F.lit(0.0))
+    score = F.coalesce(1.0 / (RRF_K + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("sparse_rank")), F.lit(0.0))
     blend = F.when(similarity > 0, F.greatest(similarity, (1 - weight) * similarity + weight * rel)).otherwise(rel)
-    scored = both.select("query_id", "chunk_id", "doc_id", fused.alias("fused"), blend.alias("blended")).where(F.col("blended") >= threshold)
+    scored = both.select("query_id", "chunk_id", "doc_id", score.alias("fused"), blend.alias("blended")).where(F.col("blended") >= threshold)
     best = scored.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("chunk_id", "fused", "blended"), F.struct(-F.col("fused"), -F.col("blended"), F.col("chunk_id"))).alias("b"))
     rows = best.select("query_id", "doc_id", "b.chunk_id", "b.fused", "b.blended")
     return top_k(rows, "query_id", [F.desc("fused"), F.desc("blended"), F.asc("doc_id")], k)

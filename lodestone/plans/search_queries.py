@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import bm25, search
-from lodestone.operators.best import best
+from lodestone.operators.best import best, hybrid_search
 from lodestone.plans.record_queries import read
 from lodestone.session import materialize
 
@@ -15,8 +15,8 @@ def _documents(s, d):
     return read(s, d, "documents").where(F.col("text").isNotNull())
 
 
-def _index(s, d):
-    return bm25.stored(bm25.build(_documents(s, d), "doc_id", "doc_id"))
+def _index(s, d, status=None):
+    return bm25.stored(bm25.build(_documents(s, d) if status is None else _documents(s, d).withColumn("status", status), "doc_id", "doc_id", None if status is None else "status"))
 
 
 def _queries(s, d):
@@ -24,10 +24,6 @@ def _queries(s, d):
     return _documents(s, d).where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
 
 
-def _bm25(s, d):
-    return bm25.score(_index(s, d), bm25.query_terms(_queries(s, d))).withColumn("score", F.round("score", 6))
-
-
 def _with_terms(s, d, k, pick):
     """Rows that ``pick`` keeps of the k best scores, with the terms that matched."""
     index, terms = _index(s, d), bm25.query_terms(_queries(s, d))
@@ -61,7 +57,7 @@ QUERIES = {
     "bm25_attribution": lambda s, d: _round(bm25.best_attribution(_index(s, d), bm25.query_terms(_queries(s, d)), 6), "idf"),
     "sparse_search": lambda s, d: _with_terms(s, d, 15, lambda x: search.sparse_search(x, _text_docs(s, d), 5, 0.2, ["en"])).select("query_id", "doc_id", "relative", "terms"),
     "dense_search": lambda s, d: search.dense_search(_dense(s, d).withColumn("similarity", F.round("similarity", 6)), _vector_docs(s, d), 5, 0.2).select("query_id", "doc_id", "similarity"),
-    "hybrid_search": lambda s, d: _round(search.hybrid_search(_dense(s, d).withColumn("similarity", F.round("similarity", 6)), _bm25(s, d), _text_docs(s, d), 5, 0.2, statuses=["en", "de", "fr", "es"]).select("query_id", "doc_id", "fused", "blended"), "fused", "blended"),
+    "hybrid_search": lambda s, d: _round(hybrid_search(_dense(s, d).withColumn("similarity", F.round("similarity", 6)), _index(s, d, F.coalesce("lang", F.lit("none"))), bm25.query_terms(_queries(s, d)), ["en", "de", "fr", "es"], 5, 0.2).select("query_id", "doc_id", "fused", "blended"), "fused", "blended"),
 }
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)

@@ -138,3 +138,19 @@ def test_best_gives_the_first_rows_of_all_scores_ties_by_key(spark):
     some = best(index, terms, 4, counts=F.col("section_type") == "xx").withColumn("r", F.row_number().over(search.W.partitionBy("query_id").orderBy(*ordered)))
     first = lambda df: sorted(search.top_k(df.where("section_type = 'xx'"), "query_id", ordered, 4).select("query_id", "chunk_id", "score", "r").collect())
     assert first(some) == first(ranked)
+
+
+def test_hybrid_search_by_counts_equals_ranking_all_pairs(spark):
+    from lodestone.operators import best
+
+    words = "redis cache kafka broker queue zebra ledger".split()
+    docs = [(d, " ".join(w for i, w in enumerate(words) if (d % 61 >> i) & 1) + f" word{d % 17}", "en" if d % 5 else "xx") for d in range(200)]
+    chunks = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    index = bm25.stored(bm25.build(chunks, "doc_id", "doc_id", "lang"))
+    terms = bm25.query_terms(chunks.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "text"))
+    vectors = spark.createDataFrame([(d, [float(d % 7) - 3, float(d % 11) - 4, 1.0]) for d in range(90)], "chunk_id bigint, embedding array<double>")
+    dense = search.dense_scores(vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), vectors).withColumn("similarity", F.round("similarity", 6))
+    every = bm25.score(index, terms).withColumn("score", F.round("score", 6))
+    want = search.hybrid_search(dense, every, chunks.selectExpr("doc_id AS chunk_id", "doc_id", "lang AS status"), 5, 0.2, statuses=["en"])
+    plain = lambda df: sorted((r.query_id, r.doc_id, round(r.fused, 9), round(r.blended, 9)) for r in df.collect())
+    assert plain(best.hybrid_search(dense, index, terms, ["en"], 5, 0.2)) == plain(want)
